@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: What separates words in shingles: anything but letters and digits.
 WORD_GAP = r"[^\p{L}\p{N}]+"
 SHINGLE_WORDS = 5
+#: Bits of a filter of hashes that is broadcast (8 MB, whatever the table): where it lets others through, a join drops them.
+FILTER_BITS = 1 << 26
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -88,3 +90,28 @@ def sample_threshold(count: int, cap: int) -> int:
 def in_sample(threshold: int | Column, *cols: str) -> Column:
     """A fixed pseudo-random choice of rows by their content."""
     return F.xxhash64(*cols).bitwiseAND((1 << 20) - 1) < threshold
+
+
+def filter_bit(digest: bytes) -> int:
+    return int.from_bytes(digest[:4], "big") >> 6
+
+
+def hash_filter(df: DataFrame, column: str):
+    """A broadcast bit table of a binary column of hashes, put together from at most FILTER_BITS / 64 numbers."""
+    bit = F.shiftright(F.conv(F.hex(F.substring(column, 1, 4)), 16, 10).cast("long"), 6)
+    words = df.select(F.shiftright(bit, 6).cast("int").alias("w"), bit.bitwiseAND(63).cast("int").alias("b"))
+    rows = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v")).toArrow()
+    table = np.zeros(FILTER_BITS // 64, np.uint64)
+    table[np.asarray(rows.column("w"))] = np.asarray(rows.column("v")).view(np.uint64)
+    return df.sparkSession.sparkContext.broadcast(table.tobytes())
+
+
+def passes(hashes: Column, bits) -> Column:
+    """Whether a filter has each of the hashes; false for null."""
+
+    @F.arrow_udf("boolean")
+    def inside(digests: pa.Array) -> pa.Array:
+        table = bits.value
+        return pa.array([d is not None and bool(table[(i := filter_bit(d)) >> 3] >> (i & 7) & 1) for d in digests.to_pylist()], pa.bool_())
+
+    return inside(hashes)

@@ -14,13 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import mix, written
+from tapewright.llm.common import filter_bit, hash_filter, mix, written
 
 #: Lines under the rolling hash; one of so many places is a boundary.
 ROLL, DIVISOR = 2, 2
 MIN_LINES = 2
-#: Bits of the filter of repeated chunks that is broadcast (8 MB): where it lets others through, the join drops them.
-FILTER_BITS = 1 << 26
 _HIGH = 2**63 - 1
 
 
@@ -45,10 +43,6 @@ def text_chunks(text: str | None, least: int = MIN_LINES) -> list[tuple[int, int
     return [(a, b - a, b"\n".join(lines[a:b])) for a, b in zip([0, *ends[:-1]], ends, strict=True) if b - a >= least]
 
 
-def _bit(digest: bytes) -> int:
-    return int.from_bytes(digest[:4], "big") >> 6
-
-
 def _chunks(text: Column, with_bytes: bool, bits=None) -> Column:
     """array of struct(at, lines, hash[, chunk]); with bits, a broadcast filter, only of chunks that it lets through."""
     kind = "array<struct<at:int,lines:int,hash:binary" + (",chunk:binary" if with_bytes else "") + ">>"
@@ -60,7 +54,7 @@ def _chunks(text: Column, with_bytes: bool, bits=None) -> Column:
         for t in texts.to_pylist():
             for a, n, chunk in text_chunks(t):
                 digest = hashlib.md5(chunk).digest()
-                if table is None or table[(i := _bit(digest)) >> 3] >> (i & 7) & 1:
+                if table is None or table[(i := filter_bit(digest)) >> 3] >> (i & 7) & 1:
                     at.append(a)
                     lines.append(n)
                     digests.append(digest)
@@ -87,17 +81,6 @@ def _without(text: Column, at: Column, lines: Column) -> Column:
     return rest(text, at, lines)
 
 
-def _filter_of(repeated: DataFrame):
-    """A broadcast bit table of the repeated chunks' hashes, put together from at most FILTER_BITS / 64 numbers."""
-    spark = repeated.sparkSession
-    bit = F.shiftright(F.conv(F.hex(F.substring("hash", 1, 4)), 16, 10).cast("long"), 6)
-    words = repeated.select(F.shiftright(bit, 6).cast("int").alias("w"), bit.bitwiseAND(63).cast("int").alias("b"))
-    rows = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v")).toArrow()
-    table = np.zeros(FILTER_BITS // 64, np.uint64)
-    table[np.asarray(rows.column("w"))] = np.asarray(rows.column("v")).view(np.uint64)
-    return spark.sparkContext.broadcast(table.tobytes())
-
-
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """k1, k2 (the row's id and its text's md5), at, lines: the chunks to remove of the rows of docs (doc_id, text).
 
@@ -108,7 +91,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     slim = docs.where(F.contains("text", F.lit("\n"))).select(*keys, F.explode(_chunks(F.col("text"), False)).alias("c")).select("k1", "k2", F.col("c.at").alias("at"), F.col("c.hash").alias("hash"))
     own = F.struct("k1", "k2", "at")
     stats = written(slim.groupBy("hash").agg(F.count("*").alias("n"), F.min(own).alias("first")).where("n > 1").select("hash", "first"))
-    bits = _filter_of(stats)
+    bits = hash_filter(stats, "hash")
     copies = docs.where(F.contains("text", F.lit("\n"))).select(*keys, F.explode(_chunks(F.col("text"), True, bits)).alias("c")).select("k1", "k2", "c.*")
     copies = written(copies.join(stats, "hash").withColumn("is_first", own == F.col("first")).drop("first"))
     firsts = copies.where("is_first").dropDuplicates(["hash"]).select("hash", F.col("chunk").alias("first_chunk"))

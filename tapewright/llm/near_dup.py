@@ -16,11 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import flat, mix, shingles, word_hashes, written
+from tapewright.llm.common import flat, hash_filter, mix, passes, shingles, word_hashes, written
 
 #: 20 bands of 4 coordinates: texts of similarity 0.8 share a band but for 3 in 100,000.
 BANDS, ROWS = 20, 4
 THRESHOLD = 0.8
+#: Signatures of texts of similarity 0.8 agree in less than so much for 4 in a million.
+ESTIMATE = 0.6
+#: Members of a bucket that lead in the first turn.
+LEADERS = 8
 _BASE = 2.0**-6  # the lowest cell's height; the next ones double up to 1, then each is 1 high
 _SEED = np.uint64(0xD1B54A32D192ED03)
 
@@ -96,26 +100,40 @@ def signature(elements: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
         height *= 2
 
 
-def bands(text: Column, n_bands: int = BANDS, rows: int = ROWS) -> Column:
-    """array<bigint>: a hash of each band of the text's signature; empty for a text without words."""
+def sketches(text: Column, n_bands: int = BANDS, rows: int = ROWS) -> Column:
+    """struct(bands array<bigint>, short binary): a hash of each band of the text's signature, and 16 bits of each coordinate. No bands for a text without words."""
 
-    @F.arrow_udf("array<bigint>")
-    def hashed(lists: pa.Array) -> pa.Array:
+    @F.arrow_udf("struct<bands:array<bigint>,short:binary>")
+    def sketched(lists: pa.Array) -> pa.Array:
         values, offsets = flat(lists)
-        out = []
+        out, short = [], []
         for a, b in zip(offsets[:-1], offsets[1:], strict=True):
             if a == b:
                 out.append(np.empty(0, np.int64))
+                short.append(b"")
                 continue
-            ids = signature(weighted_elements(shingles(values[a:b])), n_bands * rows).reshape(n_bands, rows)
+            ids = signature(weighted_elements(shingles(values[a:b])), n_bands * rows)
+            short.append((ids >> np.uint64(48)).astype("<u2").tobytes())
             h = np.arange(1, n_bands + 1, dtype=np.uint64) * _SEED
-            for column in ids.T:
+            for column in ids.reshape(n_bands, rows).T:
                 h = mix(h + column)
             out.append(h.view(np.int64))
         ends = np.concatenate(([0], np.cumsum([len(x) for x in out])))
-        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))
+        bands = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))
+        return pa.StructArray.from_arrays([bands, pa.array(short, pa.binary())], ["bands", "short"])
+
+    return sketched(word_hashes(text))
 
-    return hashed(word_hashes(text))
+
+def agreement(left: Column, right: Column) -> Column:
+    """The share of coordinates in which two shortened signatures agree: an estimate of the similarity."""
+
+    @F.arrow_udf("double")
+    def share(a: pa.Array, b: pa.Array) -> pa.Array:
+        x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(len(c), -1) for c in (a, b))
+        return pa.array((x == y).mean(axis=1) if len(x) else np.empty(0))
+
+    return share(left, right)
 
 
 def elements(text: Column) -> Column:
@@ -171,47 +189,55 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int = BANDS, rows: int = ROWS, leaders: int = LEADERS) -> DataFrame:
     """key (binary, the text's md5), root (binary): the class of each distinct text of docs.text that has a class mate of another text.
 
-    Equal texts are one node, so copies cost nothing beyond their own row. In each band bucket the least node is
-    compared with all others, which gives links; buckets whose members still lie in different classes are gone through
-    again with other leaders until a round links nothing new. Pairs of a group are never all listed. A text without
-    words has no near duplicate. An empty table gives no row.
+    Equal texts are one node, so copies cost nothing beyond their own row. In each band bucket some members lead: they
+    are compared with all others, which gives links. Of a bucket whose members are not yet of one class, those outside
+    its largest class lead in the next turn, eight times as many each turn, until all of them have led; so no link that
+    would join two classes is lost, and a bucket of near copies costs a few comparisons a member. Pairs whose shortened
+    signatures agree in less than ESTIMATE of the coordinates aren't compared in full. A text without words has no near
+    duplicate. An empty table gives no row.
     """
     keyed = docs.where(F.col("text").isNotNull()).select(F.unhex(F.md5("text")).alias("key"), "text")
-    members = written(
-        keyed.select("key", bands(F.col("text"), n_bands, rows).alias("bands")).where(F.size("bands") > 0).groupBy("key").agg(F.first("bands").alias("bands")).select("key", F.explode("bands").alias("bucket"))
-    )
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("leader")).where("n > 1")
-    shared = written(members.join(buckets, "bucket").select("bucket", "key", "leader"))
-    pairs = shared.where(F.col("key") != F.col("leader")).select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
-    sets = None
-    links = tried = None
+    signed = written(keyed.select("key", sketches(F.col("text"), n_bands, rows).alias("s")).where(F.size("s.bands") > 0).groupBy("key").agg(F.first("s").alias("s")).select("key", "s.*"))
+    members = signed.select("key", F.explode("bands").alias("bucket"))
+    shared = members.join(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "bucket")
+    shared = shared.join(signed.select("key", "short"), "key")
+    sets = links = roots = None
     turn = 0
     while True:
-        pairs = written(pairs)
-        if pairs.isEmpty():
+        at = shared.withColumn("root", F.col("key")) if roots is None else shared.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        if turn == 0:
+            at = written(at)
+            if at.isEmpty():
+                break
+        top = F.max(F.struct("n", "root"))
+        tops = at.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("size"), top.alias("top")).where(F.col("size") > F.col("top.n"))
+        outside = F.col("root") != F.col("top.root")
+        shared = written(at.join(tops, "bucket").select("bucket", "key", "short", "root", (F.col("size") - F.col("top.n")).alias("others"), outside.alias("outside")))
+        if shared.isEmpty():
             break
+        most = leaders * 8**turn
+        lead = F.col("outside") & ((F.col("others") <= most) | (F.pmod(F.xxhash64("key", "bucket", F.lit(turn)), "others") < most))
+        leading = shared.where(lead).select("bucket", F.col("key").alias("other"), F.col("root").alias("other_root"), F.col("short").alias("other_short"))
+        near = shared.join(leading, "bucket").where(F.col("root") != F.col("other_root")).where(agreement(F.col("short"), F.col("other_short")) >= ESTIMATE)
+        pairs = near.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
         if sets is None:
-            wanted = shared.select("key").distinct()
-            sets = written(keyed.join(wanted, "key", "left_semi").dropDuplicates(["key"]).select("key", elements(F.col("text")).alias("items")))
+            # written in between, so that no task needs the Python workers of both functions at once
+            wanted = written(keyed.where(passes(F.col("key"), hash_filter(shared, "key"))))
+            sets = written(wanted.select("key", elements(F.col("text")).alias("items")).groupBy("key").agg(F.first("items").alias("items")))
         joined = pairs.join(sets.select(F.col("key").alias("b"), F.col("items").alias("right")), "b").join(sets.select(F.col("key").alias("a"), F.col("items").alias("left")), "a")
         new = written(joined.select("a", "b", similarity(F.col("left"), F.col("right")).alias("similarity")).where(F.col("similarity") >= threshold).select("a", "b"))
-        if new.isEmpty():
-            break
-        links = new if links is None else links.unionByName(new)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        roots = written(components(links))
-        at = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            roots = written(components(links))
+            roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+        shared = shared.where(F.col("others") > most).select("bucket", "key", "short")
         turn += 1
-        # one leader of each bucket that isn't yet of one class, by another order each time
-        mixed = at.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("key", "root"), F.xxhash64("key", "bucket", F.lit(turn))).alias("lead")).where(F.col("low") != F.col("high")).select("bucket", "lead")
-        open_pairs = at.join(mixed, "bucket").where(F.col("root") != F.col("lead.root")).select(F.least("key", "lead.key").alias("a"), F.greatest("key", "lead.key").alias("b")).distinct()
-        pairs = open_pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    if links is None:
+    if roots is None:
         return keyed.select("key", F.col("key").alias("root")).limit(0)
-    return roots.where(F.lit(True)).select(F.col("node").alias("key"), "root").unionByName(roots.select(F.col("root").alias("key"), "root").distinct())
+    return roots.select(F.col("node").alias("key"), "root")
 
 
 def classes(docs: DataFrame, **options) -> DataFrame:
