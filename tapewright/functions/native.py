@@ -74,7 +74,7 @@ def cci(df: DataFrame, n: int = 9, name: str = "CCI") -> DataFrame:
 
 def williams(df: DataFrame, n: int = 14) -> DataFrame:
     high, low = F.max("high").over(last(n)), F.min("low").over(last(n))
-    return df.withColumn("WIL", full(F.coalesce(-100 * ratio(high - F.col("close"), high - low), F.lit(0.0)), n))
+    return df.withColumn("WIL", full(F.coalesce(100 * ratio(F.col("close") - high, high - low), F.lit(0.0)), n))
 
 
 def stochastic(df: DataFrame, n: int = 14, smooth: int = 3) -> DataFrame:

@@ -2,9 +2,410 @@
 
 from __future__ import annotations
 
+import datetime
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tapewright.functions import divergence, native, tpd
+from tapewright.functions.consensus import consensus
+from tapewright.functions.indicators import columns_of, indicators
+from tapewright.operators import relational, reports, serving, store
+from tapewright.operators.bars import all_bars, derive, keep_last, merge_poll, resample
+from tapewright.operators.blocks import blocked, finished
+from tapewright.plans import oracles as sql
+from tapewright.plans.dims import DEFAULT_SET, KEY, PRESETS, derived_table
+from tapewright.sources.ticks import event_ticks, order_ticks, table
+from tapewright.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+NOW = datetime.datetime(2024, 1, 31)
+
+
+def query(oracle: str | None = None, name: str | None = None):
+    """Registers a function of (spark, sf_dir) under its name."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name or f.__name__] = f
+        if oracle:
+            ORACLES[name or f.__name__] = oracle
+        return f
+
+    return put
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles to so many places, for comparison with another engine's sums."""
+    return df.select(*[F.round(f"`{c}`", places).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_ticks(table(spark, sf_dir, "events"))
+
+
+def bars(spark: SparkSession, sf_dir: str, interval: str = "4h") -> DataFrame:
+    return resample(ticks(spark, sf_dir), interval)
+
+
+def indicator_rows(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    rows = indicators(bars(spark, sf_dir), names)
+    return rounded(rows.select(*KEY, "ts", *[F.col(f"`{c}`") for n in names for c in columns_of(n)]))
+
+
+# --- bars ---------------------------------------------------------------------------------------------------------
+for _width in ("15m", "1h", "4h", "1d"):
+    query(sql.bar_query(f"{sql.TICKS}, {sql.bars(_width)}", "bars"), f"bars_resample_{_width}")(lambda spark, sf_dir, w=_width: rounded(bars(spark, sf_dir, w)))
+for _width, _source in (("2h", "1h"), ("6h", "1h"), ("12h", "1h"), ("3d", "1d")):
+    query(sql.bar_query(f"{sql.TICKS}, {sql.bars(_source)}, {sql.wider(_width, 'wide', 'bars')}", "wide"), f"bars_derived_{_width}")(lambda spark, sf_dir, w=_width, s=_source: rounded(derive(bars(spark, sf_dir, s), w, s)))
+
+
+@query(
+    f"""WITH {sql.TICKS}, {sql.bars("1d")}, f AS (SELECT symbol, CAST(min(ts) AS DATE) AS first_day FROM bars GROUP BY symbol), c AS (SELECT b.*, f.first_day + CAST(floor(date_diff('day', f.first_day, CAST(ts AS DATE)) / 3) * 3 AS INTEGER) AS day FROM bars b JOIN f USING (symbol))
+SELECT symbol, '3d' AS "interval", CAST(day AS TIMESTAMP) AS ts, round(arg_min(open, ts), 6) AS open, max(high) AS high, min(low) AS low, round(arg_max(close, ts), 6) AS close, sum(volume) AS volume FROM c GROUP BY symbol, day"""
+)
+def bars_first_day_anchor(spark, sf_dir):
+    return rounded(derive(bars(spark, sf_dir, "1d"), "3d", "1d", anchor="first_day"))
+
+
+_ORDERS = sql.bars("1d").replace("arg_min(price, ts)", "arg_min(price, (ts, id))").replace("arg_max(price, ts)", "arg_max(price, (ts, id))")
+ORDER_TICKS = "ticks AS (SELECT o_orderpriority AS symbol, o_orderdate AS ts, o_orderkey AS id, o_totalprice AS price, 1.0::DOUBLE AS size FROM orders WHERE o_totalprice > 0)"
+
+
+@query(sql.bar_query(f"{ORDER_TICKS}, {_ORDERS}", "bars"))
+def bars_orders_daily(spark, sf_dir):
+    """A long series with ties in time."""
+    return rounded(resample(order_ticks(table(spark, sf_dir, "orders")), "1d"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def decode_props_json(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+# --- indicators -----------------------------------------------------------------------------------------------------
+for _name, _inds, _texts in (
+    ("ind_sma", ("SMA_20", "SMA_50", "SMA_200"), ""),
+    ("ind_bollinger", ("BOL",), ""),
+    ("ind_rsm", ("RSM",), ""),
+    ("ind_trp", ("TRP",), ""),
+    ("ind_force", ("FRC",), ""),
+    ("ind_williams_r", ("WIL",), ""),
+    ("ind_stochastic", ("STOCH",), ""),
+    ("ind_mfi", ("MFI",), ""),
+    ("ind_cmf", ("CMF",), ""),
+    ("ind_vortex", ("VRT",), ""),
+    ("ind_obv_add", ("OBV",), ""),
+    ("ind_cci", ("CCI",), ""),
+    ("ind_net_volume", ("VOL",), ""),
+    ("ind_cvd", ("CVD",), ""),
+    ("ind_vwap_daily", ("VWAP",), ""),
+    ("ind_rsi", ("RSI",), ""),
+    ("ind_ema", ("EMA",), ""),
+    ("ind_macd", ("MCD",), ""),
+    ("ind_smi", ("SMI",), ""),
+    ("ind_adosc", ("ADO",), ""),
+    ("ind_adx_di", ("ADX",), ""),
+    ("ind_support_resistance", ("SR",), "SR_SIGNAL"),
+    ("ind_fibonacci", ("Fibonacci",), ""),
+):
+    _numbers = ",".join(c for n in _inds for c in columns_of(n) if c != _texts)
+    query(sql.series_query(_numbers, _texts), _name)(lambda spark, sf_dir, names=_inds: indicator_rows(spark, sf_dir, *names))
+
+
+@query(sql.series_query("OBV_zero"))
+def ind_obv_zero(spark, sf_dir):
+    return rounded(finished(native.obv(blocked(bars(spark, sf_dir)), "zero", "OBV_zero")).select(*KEY, "ts", "OBV_zero"))
+
+
+@query(f"""WITH {sql.SERIES} SELECT symbol, "interval", ts, "COMBINED_TREND_SIGNAL", CASE "COMBINED_TREND_SIGNAL" WHEN 'BUY' THEN 1 WHEN 'SELL' THEN -1 ELSE 0 END AS "COMBINED_TREND" FROM series""")
+def ind_trend_combined(spark, sf_dir):
+    return indicators(bars(spark, sf_dir), ["TRD"]).select(*KEY, "ts", "COMBINED_TREND_SIGNAL", "COMBINED_TREND")
+
+
+_LEVELS = " UNION ALL ".join(f"""SELECT symbol, ts, {i} AS place, '{n}' AS name, "{n}" AS level, abs("{n}" - close) AS distance FROM series WHERE "Fib_0" IS NOT NULL""" for i, n in enumerate(native.FIB_LEVELS))
+
+
+@query(f"""WITH {sql.SERIES}, levels AS ({_LEVELS}) SELECT symbol, ts, name, round(level, 6) AS level FROM levels QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY distance, place) = 1""")
+def fib_nearest_level(spark, sf_dir):
+    rows = indicators(bars(spark, sf_dir), ["Fibonacci"]).withColumn("near", native.fib_nearest(F.col("close"))).where("near IS NOT NULL")
+    return rounded(rows.select("symbol", "ts", "near.name", "near.level"))
+
+
+@query()
+def ind_divergence_simple(spark, sf_dir):
+    rows = indicators(bars(spark, sf_dir), ["MFI", "RSI", "MCD", "VOL", "CCI", "CMF", "WIL", "+DI"])
+    return finished(divergence.simple_divergence(blocked(rows))).select(*KEY, "ts", "DIV")
+
+
+@query()
+def ind_default_set_filled(spark, sf_dir):
+    """All default indicators with the reference fill."""
+    return rounded(indicators(bars(spark, sf_dir), DEFAULT_SET, fill="reference"))
+
+
+# --- swings and divergence --------------------------------------------------------------------------------------------
+@query()
+def swing_points(spark, sf_dir):
+    return divergence.swings(divergence.recent(bars(spark, sf_dir)), "close").select(*KEY, F.to_json("highs").alias("highs"), F.to_json("lows").alias("lows"))
+
+
+def _swing_rows(spark, sf_dir):
+    return indicators(bars(spark, sf_dir), divergence.SWING_INDICATORS)
+
+
+@query()
+def divergence_pairs(spark, sf_dir):
+    return rounded(divergence.divergence_pairs(_swing_rows(spark, sf_dir)))
+
+
+@query()
+def divergence_consensus(spark, sf_dir):
+    return rounded(divergence.divergence_consensus(_swing_rows(spark, sf_dir)))
+
+
+# --- composite ----------------------------------------------------------------------------------------------------------
+for _name, _cols in {
+    "tpd_score": ("TPD", "TPD_Volatility_Factor", "TPD_Reliability", "TPD_Momentum"),
+    "tpd_signals": ("TPD_Raw_Signal", "TPD_Signal", "TPD_Divergence", "TPD_Trend", "TPD_Risk"),
+    "tpd_strength": ("TPD_MTF_Confluence", "TPD_Strength"),
+    "tpd_volatility": ("tpd_std", "tpd_parkinson", "tpd_garman_klass"),
+}.items():
+    query(None, _name)(lambda spark, sf_dir, cols=_cols: rounded(tpd.tpd(bars(spark, sf_dir)).select(*KEY, "ts", *cols)))
+_RET = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+ORACLES["tpd_volatility"] = f"""WITH {sql.TICKS}, {sql.bars("4h")}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret, pow(ln(high / low), 2) AS hl2, pow(ln(close / open), 2) AS co2 FROM bars),
+g AS (SELECT *, 0.5 * hl2 - (2 * ln(2) - 1) * co2 AS gk FROM r), m AS (SELECT *, avg(gk) {_RET} AS gkm FROM g) SELECT symbol, "interval", ts, CASE WHEN rn >= 21 THEN round(stddev_samp(ret) {_RET}, 6) END AS tpd_std, CASE WHEN rn >= 20 THEN round(sqrt(avg(hl2) {_RET}) * sqrt(252), 6) END AS tpd_parkinson, CASE WHEN rn >= 20 AND gkm >= 0 THEN round(sqrt(greatest(gkm, 0)) * sqrt(252), 6) END AS tpd_garman_klass FROM m"""
+
+
+@query()
+def tpd_analysis(spark, sf_dir):
+    return reports.analysis(tpd.tpd(bars(spark, sf_dir))).withColumn("recent_signals", F.to_json("recent_signals"))
+
+
+@query()
+def tpd_recommendation(spark, sf_dir):
+    return reports.recommendation(reports.analysis(tpd.tpd(bars(spark, sf_dir))))
+
+
+@query()
+def tpd_metrics(spark, sf_dir):
+    return rounded(reports.metrics(tpd.tpd(bars(spark, sf_dir))))
+
+
+@query()
+def tpd_signal_shares(spark, sf_dir):
+    return rounded(reports.shares(tpd.tpd(bars(spark, sf_dir)), "TPD_Signal"))
+
+
+# --- consensus ------------------------------------------------------------------------------------------------------------
+for _name, _members in PRESETS.items():
+    query(sql.consensus_query(_members), f"kns_{_name.lower()}")(
+        lambda spark, sf_dir, names=_members: consensus(serving.latest(indicators(bars(spark, sf_dir), names)), names).select(*KEY, "kns_signal", "kns_score", "kns_strength", "kns_buy", "kns_sell", "kns_neutral")
+    )
+
+
+# --- reports ----------------------------------------------------------------------------------------------------------------
+def _trend(spark, sf_dir):
+    return indicators(bars(spark, sf_dir), ["TRD"])
+
+
+_SIDE = """CASE "COMBINED_TREND_SIGNAL" WHEN 'BUY' THEN 1 WHEN 'SELL' THEN -1 ELSE 0 END"""
+
+
+@query(
+    f"""WITH {sql.SERIES}, r AS (SELECT *, {_SIDE} * (lead(close) OVER (PARTITION BY symbol ORDER BY ts) - close) / close AS ret FROM series), k AS (SELECT * FROM r WHERE rn > 50)
+SELECT symbol, "interval", round(sum(ret) * 100, 6) AS total_return, round(avg(CASE WHEN ret IS NOT NULL THEN CAST(ret > 0 AS INTEGER) END) * 100, 6) AS win_rate, round(CASE WHEN stddev_pop(ret) > 0 THEN avg(ret) / stddev_pop(ret) ELSE 0 END, 6) AS sharpe_ratio, count(*) AS total_signals FROM k GROUP BY ALL"""
+)
+def backtest(spark, sf_dir):
+    return rounded(reports.backtest(_trend(spark, sf_dir), threshold=0.5))
+
+
+@query(
+    f"""WITH {sql.SERIES}, t AS (SELECT *, {_SIDE} AS score FROM series QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 24)
+SELECT symbol, "interval", arg_max(score, ts) AS latest_score, arg_max("COMBINED_TREND_SIGNAL", ts) AS latest_signal, CASE WHEN arg_max(score, ts) > arg_min(score, ts) THEN 'UP' ELSE 'DOWN' END AS direction, round(avg(score), 6) AS avg_score, round(stddev_samp(score), 6) AS volatility FROM t GROUP BY ALL"""
+)
+def trend_report(spark, sf_dir):
+    return rounded(reports.trend_report(_trend(spark, sf_dir)))
+
+
+@query(f"""WITH {sql.SERIES} SELECT symbol, "interval", ts, round(CASE WHEN rn >= 5 THEN avg("RSM") {sql._w(5)} * (1 - stddev_pop("RSM") {sql._w(5)} / 100) ELSE 0 END, 6) AS trend_strength FROM series""")
+def trend_strength(spark, sf_dir):
+    rows = blocked(indicators(bars(spark, sf_dir), ["RSM"]))
+    return rounded(finished(reports.trend_strength(rows, "RSM")).select(*KEY, "ts", "trend_strength"))
+
+
+_PREV2 = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING)"
+
+
+@query(f"""WITH {sql.TICKS}, {sql.bars("4h")} SELECT symbol, "interval", ts, round(CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY ts) > 2 AND abs(close - avg(close) {_PREV2}) > 5 THEN 0.7 * avg(close) {_PREV2} + 0.3 * close ELSE close END, 6) AS filtered FROM bars""")
+def spike_filter(spark, sf_dir):
+    return rounded(finished(reports.spike_filter(blocked(bars(spark, sf_dir)), "close")).select(*KEY, "ts", "filtered"))
+
+
+@query(
+    f"""WITH {sql.TICKS}, {sql.bars("4h")}, r AS (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret FROM bars)
+SELECT symbol, "interval", count(*) AS rows, 0.0::DOUBLE AS missing, round(stddev_samp(ret), 6) AS volatility, count(*) >= 50 AND stddev_samp(ret) >= 0.001 AS passed FROM r GROUP BY ALL"""
+)
+def quality_gate(spark, sf_dir):
+    return rounded(reports.quality_gate(bars(spark, sf_dir)))
+
+
+# --- serving ------------------------------------------------------------------------------------------------------------------
+@query(f"""WITH {sql.SERIES}, {sql.LATEST} SELECT symbol, "interval", ts, {sql.rounded("close, SMA_20, RSM, VWAP")} FROM latest""")
+def latest_row(spark, sf_dir):
+    return rounded(serving.latest(indicators(bars(spark, sf_dir), ["SMA_20", "RSM", "VWAP"])).select(*KEY, "ts", "close", "SMA_20", "RSM", "VWAP"))
+
+
+@query(
+    f"""WITH {sql.TICKS}, {sql.bars("4h", "b4")}, {sql.bars("1d", "b1")}, s AS (SELECT * FROM b1 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1), l AS (SELECT * FROM b4 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1)
+SELECT s.symbol, s."interval", l.ts, s.open, l.high, l.low, l.close, s.volume FROM s LEFT JOIN (SELECT * FROM l WHERE symbol <> 'view') l USING (symbol) WHERE l.ts IS NOT NULL UNION ALL SELECT symbol, "interval", ts, open, high, low, close, volume FROM s WHERE symbol = 'view'"""
+)
+def latest_overlay(spark, sf_dir):
+    """The newest daily row with the newest 4-hour row over it, as if it were live; one key has no live row, and open and volume are missing in it."""
+    snapshot = serving.latest(bars(spark, sf_dir, "1d"))
+    forming = serving.latest(bars(spark, sf_dir)).where(F.col("symbol") != "view").withColumns({"interval": F.lit("1d"), "open": F.lit(None).cast("double"), "volume": F.lit(None).cast("double")})
+    return serving.overlay(snapshot, forming)
+
+
+@query(
+    f"""WITH {sql.SERIES}, {sql.LATEST}, c AS (SELECT symbol, "interval", 'RSM' AS indicator, "RSM" AS v, 75 AS blue, 50 AS green, "RSM" < 35 AS flash FROM latest UNION ALL SELECT symbol, "interval", 'TRP', "TRP", 50, 20, "TRP" BETWEEN -50 AND -10 FROM latest)
+SELECT symbol, "interval", indicator, printf('%.2f', v) AS text, CASE WHEN v > blue THEN 'blue' WHEN v > green THEN 'green' ELSE 'red' END AS colour, flash FROM c"""
+)
+def cell_classification(spark, sf_dir):
+    return serving.cells(serving.latest(indicators(bars(spark, sf_dir), ["RSM", "TRP"])), ["RSM", "TRP"])
+
+
+@query()
+def user_selection_grid(spark, sf_dir):
+    names = [*DEFAULT_SET, "KNS"]
+    rows = consensus(serving.latest(indicators(bars(spark, sf_dir), DEFAULT_SET)), PRESETS["DEFAULT"])
+    return serving.grid(rows, None, ["4h"], names)
+
+
+@query(
+    f"""WITH {sql.TICKS}, {sql.bars("4h")}, n AS (SELECT symbol, "interval", count(*) AS n FROM bars GROUP BY ALL)
+SELECT symbol, "interval", n, CASE WHEN symbol = 'view' THEN 1000 WHEN symbol = 'click' THEN 200 END AS stored_rows, CASE WHEN symbol = 'view' THEN n >= 500 WHEN symbol = 'click' THEN n >= 100 ELSE true END AS write FROM n"""
+)
+def snapshot_shrink_guard(spark, sf_dir):
+    stored = spark.createDataFrame([("view", "4h", 1000), ("click", "4h", 200)], "symbol string, interval string, rows long")
+    return store.guard(bars(spark, sf_dir).withColumn("SMA", F.lit(0.0)), stored)
+
+
+@query(f"""WITH {sql.TICKS}, {sql.bars("4h")} SELECT symbol, "interval", max(ts) AS updated_at, date_diff('second', max(ts), TIMESTAMP '2024-01-31') AS age_s, date_diff('second', max(ts), TIMESTAMP '2024-01-31') <= 14400 AS fresh FROM bars GROUP BY ALL""")
+def freshness(spark, sf_dir):
+    newest = bars(spark, sf_dir).groupBy(*KEY).agg(F.max("ts").alias("updated_at"))
+    age = F.timestamp_diff("SECOND", F.col("updated_at"), F.lit("2024-01-31").cast("timestamp_ntz")).cast("long")
+    return newest.withColumn("age_s", age).withColumn("fresh", F.col("age_s") <= 14400)
+
+
+# --- relational ------------------------------------------------------------------------------------------------------------------
+_PATCH = "patch AS (SELECT symbol, \"interval\", ts, close + 1 AS close FROM bars WHERE ts >= TIMESTAMP '2024-01-20' UNION ALL SELECT DISTINCT symbol, \"interval\", TIMESTAMP '2024-02-05' AS ts, 1.0::DOUBLE AS close FROM bars)"
+
+
+@query(f"""WITH {sql.TICKS}, {sql.bars("4h")}, {_PATCH} SELECT symbol, "interval", ts, round(coalesce(p.close, b.close), 6) AS close, b.volume FROM bars b FULL JOIN patch p USING (symbol, "interval", ts)""")
+def upsert_poll_merge(spark, sf_dir):
+    base = bars(spark, sf_dir)
+    changed = base.where(F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz")).select(*KEY, "ts", (F.col("close") + 1).alias("close"))
+    added = base.select(*KEY).distinct().select(*KEY, F.lit("2024-02-05").cast("timestamp_ntz").alias("ts"), F.lit(1.0).alias("close"))
+    new = changed.unionByName(added).select(*KEY, "ts", *[(F.col("close") if c == "close" else F.lit(None).cast("double")).alias(c) for c in ("open", "high", "low", "close", "volume")])
+    return rounded(merge_poll(base, new).select(*KEY, "ts", "close", "volume"))
+
+
+@query("SELECT event_type, user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY ALL")
+def keep_last_dedupe(spark, sf_dir):
+    return keep_last(table(spark, sf_dir, "events").select("event_type", "user_id", "event_id", "value").withColumn("order", F.col("event_id")), "order", ("event_type", "user_id")).drop("order")
+
+
+@query(f"""WITH {sql.TICKS}, {sql.bars("1d", "a")}, {sql.bars("4h", "b")} SELECT symbol, "interval", ts, {sql.rounded(sql.OHLCV)} FROM a UNION ALL SELECT symbol, "interval", ts, {sql.rounded(sql.OHLCV)} FROM b""")
+def union_all_bars(spark, sf_dir):
+    return rounded(all_bars(bars(spark, sf_dir, "1d"), bars(spark, sf_dir)))
+
+
+@query("SELECT event_id FROM events WHERE event_type IN (SELECT DISTINCT event_type FROM events WHERE value > 490)")
+def active_semi_join(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    active = events.where(F.col("value") > 490).select("event_type").distinct()
+    return relational.active(events, active, "event_type").select("event_id")
+
+
+@query("SELECT DISTINCT o_custkey AS key FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def unknown_anti_join(spark, sf_dir):
+    known = table(spark, sf_dir, "customer").where(F.col("c_acctbal") > 0).select(F.col("c_custkey").alias("key"))
+    return relational.unknown(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")), known, "key").distinct()
+
+
+_SYM = {"symbols_union": "UNION", "symbols_intersect": "INTERSECT", "symbols_except": "EXCEPT"}
+for _name, _op in _SYM.items():
+    query(f"SELECT c_nationkey AS n FROM customer {_op} SELECT s_nationkey AS n FROM supplier WHERE s_acctbal > 5000", _name)(
+        lambda spark, sf_dir, op=_op: relational.set_operation(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n")), table(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 5000).select(F.col("s_nationkey").alias("n")), op)
+    )
+
+
+@query("""SELECT symbol, "interval" FROM (SELECT DISTINCT event_type AS symbol FROM events), (SELECT unnest(['3m', '2h', '6h', '12h', '3d']) AS "interval")""")
+def symbol_interval_pairs(spark, sf_dir):
+    symbols = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol")).distinct()
+    return relational.pairs(symbols, [r.interval for r in derived_table(spark).collect()])
+
+
+@query(f"""WITH {sql.TICKS}, {sql.bars("1h", "a")}, {sql.bars("1d", "b")}, c AS (SELECT symbol, "interval", count(*) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL) SELECT symbol, "interval", n, CASE "interval" WHEN '1h' THEN 3600 ELSE 86400 END AS seconds, CASE "interval" WHEN '1h' THEN 12 ELSE 30 END AS volume_period FROM c""")
+def param_lookup(spark, sf_dir):
+    counts = all_bars(bars(spark, sf_dir, "1h"), bars(spark, sf_dir, "1d")).groupBy(*KEY).agg(F.count("*").alias("n"))
+    return relational.with_parameters(counts).select(*KEY, "n", "seconds", "volume_period")
+
+
+@query(
+    """WITH q AS (SELECT symbol, rn, price FROM (SELECT event_type AS symbol, value AS price, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events)), a AS (SELECT symbol, rn AS place FROM q WHERE price > 470), b AS (SELECT symbol, rn AS other FROM q WHERE price < 15)
+SELECT symbol, place, other FROM a JOIN b USING (symbol) WHERE abs(place - other) <= 10 QUALIFY row_number() OVER (PARTITION BY symbol, place ORDER BY abs(place - other), other) = 1"""
+)
+def nearest_asof_tolerance(spark, sf_dir):
+    """Each high price with the nearest low price within 10 ticks."""
+    from pyspark.sql import Window
+
+    numbered = ticks(spark, sf_dir).withColumn("place", F.row_number().over(Window.partitionBy("symbol").orderBy("ts", "id")))
+    return relational.nearest(numbered.where("price > 470").select("symbol", "place"), numbered.where("price < 15").select("symbol", F.col("place").alias("other")), "symbol", "place", "other", 10)
+
+
+# --- streams, run over all there is --------------------------------------------------------------------------------------------------
+def _scratch(spark: SparkSession) -> str:
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{(shared or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/streams/{uuid.uuid4().hex}"
+
+
+def _tick_stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """The ticks as a stream of a few files in the order of time; times become TIMESTAMP, as watermarks need them."""
+    rows = ticks(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+@query(sql.bar_query(f"{sql.TICKS}, {sql.bars('1d')}", "bars"))
+def stream_tumbling_bars(spark, sf_dir):
+    """Daily bars of a finished stream: the newest state of each bar, which is the batch's bar."""
+    folder = _scratch(spark)
+    stream = live.tumbling_bars(_tick_stream(spark, sf_dir, folder), "1d", late="40 days")
+    live.serve(stream, lambda df, i: df.withColumn("_batch", F.lit(i)).write.mode("append").parquet(f"{folder}/out"), f"{folder}/state").awaitTermination()
+    newest = keep_last(spark.read.parquet(f"{folder}/out"), "_batch").drop("_batch")
+    return rounded(newest.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+
+
+@query(f"""WITH {sql.TICKS}, {sql.bars("1d")} SELECT symbol, "interval", ts, {sql.rounded(sql.OHLCV)} FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1""")
+def stream_live_upsert(spark, sf_dir):
+    """The forming bar of each key after all of a stream of bars, upserted by key."""
+    folder = _scratch(spark)
+    rows = bars(spark, sf_dir, "1d").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("seq", F.unix_seconds("ts"))
+    rows.repartitionByRange(3, "ts").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    live.serve(live.live_rows(live.events(bars=stream)), lambda df, i: df.withColumn("_batch", F.lit(i)).write.mode("append").parquet(f"{folder}/out"), f"{folder}/state").awaitTermination()
+    newest = keep_last(spark.read.parquet(f"{folder}/out").drop("seq"), "_batch", KEY).drop("_batch")
+    return rounded(newest.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+
+
+@query()
+def stream_throttle_ttl(spark, sf_dir):
+    """Live rows that are due, with the time at which they expire."""
+    rows = serving.latest(bars(spark, sf_dir))
+    emitted = rows.select(*KEY, F.when(F.col("symbol") == "view", F.lit(NOW)).otherwise(F.lit(NOW) - F.expr("INTERVAL 1 HOUR")).alias("emitted_at"))
+    return live.with_ttl(live.due(rows, emitted, NOW), NOW).select(*KEY, "ts", "close", "expires_at")

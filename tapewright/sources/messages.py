@@ -48,7 +48,7 @@ def deal_frames(raw: DataFrame, column: str = "value") -> DataFrame:
 def klines(messages: DataFrame) -> DataFrame:
     """Bars of kline events; the numbers are texts."""
     k = messages.where(F.col("t") == "bnc_kline").select(F.from_json("k", _KLINE).alias("k")).select("k.*")
-    number = lambda c: F.try_to_number(c, F.lit("S9999999999999999.99999999")).cast("double") if False else F.col(c).try_cast("double")
+    number = lambda c: F.col(c).try_cast("double")
     return k.select(F.col("s").alias("symbol"), F.col("i").alias("interval"), moment(F.col("t")).alias("ts"), *[number(c).alias(n) for c, n in zip("ohlcv", (*PRICES, "volume"), strict=True)]).dropna(subset=["symbol", "interval", "ts", "close"])
 
 
