@@ -31,7 +31,7 @@ HEAD_WORDS, HEAD_LENGTH = 1 << 17, 32
 TASK_LEAST = 4
 _NONE = 2**31 - 1
 #: Encoded pieces that a Python worker remembers at most.
-_REMEMBERED = 800_000
+_REMEMBERED = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
