@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +24,8 @@ BANDS, ROWS = 20, 4
 THRESHOLD = 0.8
 #: Signatures of texts of similarity 0.8 agree in less than so much for 4 in a million.
 ESTIMATE = 0.6
-#: Members of a bucket that lead in the first turn.
-LEADERS = 8
+#: About so many members of a bucket are compared with so many others in one task.
+PART = 512
 _BASE = 2.0**-6  # the lowest cell's height; the next ones double up to 1, then each is 1 high
 _SEED = np.uint64(0xD1B54A32D192ED03)
 
@@ -125,17 +126,6 @@ def sketches(text: Column, n_bands: int = BANDS, rows: int = ROWS) -> Column:
     return sketched(word_hashes(text))
 
 
-def agreement(left: Column, right: Column) -> Column:
-    """The share of coordinates in which two shortened signatures agree: an estimate of the similarity."""
-
-    @F.arrow_udf("double")
-    def share(a: pa.Array, b: pa.Array) -> pa.Array:
-        x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(len(c), -1) for c in (a, b))
-        return pa.array((x == y).mean(axis=1) if len(x) else np.empty(0))
-
-    return share(left, right)
-
-
 def elements(text: Column) -> Column:
     """Binary: the sorted elements of a text's shingle multiset, shortened to 32 bits each, to compare two texts exactly but for clashes of these hashes."""
 
@@ -147,24 +137,28 @@ def elements(text: Column) -> Column:
     return packed(word_hashes(text))
 
 
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Similarity of two sorted arrays of distinct elements; 0 for an empty one."""
+    short, long = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(short):
+        return 0.0
+    at = np.minimum(np.searchsorted(long, short), len(long) - 1)
+    both = int((long[at] == short).sum())
+    return both / (len(x) + len(y) - both)
+
+
 def similarity(left: Column, right: Column) -> Column:
-    """Jaccard similarity of two packed element sets."""
+    """Jaccard similarity of two struct(short, items); 0 where the shortened signatures agree in less than ESTIMATE of the coordinates."""
 
     @F.arrow_udf("double")
-    def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
+    def compared(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
         for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-            x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-            short, long = (x, y) if len(x) <= len(y) else (y, x)
-            if not len(short):
-                out.append(0.0)
-                continue
-            at = np.minimum(np.searchsorted(long, short), len(long) - 1)
-            both = int((long[at] == short).sum())
-            out.append(both / (len(x) + len(y) - both))
+            agree = np.frombuffer(x["short"], "<u2") == np.frombuffer(y["short"], "<u2")
+            out.append(jaccard(np.frombuffer(x["items"], "<u4"), np.frombuffer(y["items"], "<u4")) if agree.mean() >= ESTIMATE else 0.0)
         return pa.array(out, pa.float64())
 
-    return jaccard(left, right)
+    return compared(left, right)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -189,55 +183,76 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int = BANDS, rows: int = ROWS, leaders: int = LEADERS) -> DataFrame:
+def links_within(rows: pd.DataFrame, threshold: float, n_bands: int) -> pd.DataFrame:
+    """a, b of the links between the leading rows and the others of one part of a bucket.
+
+    rows: lead, key, root, band, short, items. Pairs of one root, and those that an earlier band holds too, are left
+    to it.
+    """
+    leading, others = rows[rows["lead"]], rows[~rows["lead"]]
+    if leading.empty or others.empty:
+        return pd.DataFrame({"a": [], "b": []}, dtype=object)
+    band = int(rows["band"].iloc[0])
+    unpack = lambda part: np.frombuffer(b"".join(part["short"]), "<u2").reshape(len(part), n_bands, -1)
+    lead_short, short = unpack(leading), unpack(others)
+    keys, roots, items = others["key"].tolist(), others["root"].to_numpy(object), [np.frombuffer(x, "<u4") for x in others["items"]]
+    found = []
+    for key, root, own, bits in zip(leading["key"], leading["root"], leading["items"], lead_short, strict=True):
+        same = short == bits
+        near = (same.mean(axis=(1, 2)) >= ESTIMATE) & (roots != root) & ~same[:, :band].all(axis=2).any(axis=1)
+        own = np.frombuffer(own, "<u4")
+        joined = set()  # classes that this row is linked with already
+        for i in np.flatnonzero(near):
+            if roots[i] not in joined and jaccard(own, items[i]) >= threshold:
+                joined.add(roots[i])
+                found.append((min(key, keys[i]), max(key, keys[i])))
+    return pd.DataFrame(found, columns=["a", "b"], dtype=object)
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int = BANDS, rows: int = ROWS, part: int = PART) -> DataFrame:
     """key (binary, the text's md5), root (binary): the class of each distinct text of docs.text that has a class mate of another text.
 
-    Equal texts are one node, so copies cost nothing beyond their own row. In each band bucket some members lead: they
-    are compared with all others, which gives links. Of a bucket whose members are not yet of one class, those outside
-    its largest class lead in the next turn, eight times as many each turn, until all of them have led; so no link that
-    would join two classes is lost, and a bucket of near copies costs a few comparisons a member. Pairs whose shortened
-    signatures agree in less than ESTIMATE of the coordinates aren't compared in full. A text without words has no near
-    duplicate. An empty table gives no row.
+    Equal texts are one node, so copies cost nothing beyond their own row. In each band bucket the least member is
+    compared with all others, which gives links, and by their components classes. In a bucket whose members are not yet
+    of one class, those outside its largest class are then compared with all members of other classes; so no link that
+    would join two classes is lost, and a bucket of near copies costs little more than a comparison a member. A large
+    bucket is cut into parts of about `part` outsiders by `part` members for that, so no task holds a whole bucket, and
+    only links come out. Pairs whose shortened signatures agree in less than ESTIMATE of the coordinates aren't compared
+    in full. A text without words has no near duplicate. An empty table gives no row.
     """
     keyed = docs.where(F.col("text").isNotNull()).select(F.unhex(F.md5("text")).alias("key"), "text")
     signed = written(keyed.select("key", sketches(F.col("text"), n_bands, rows).alias("s")).where(F.size("s.bands") > 0).groupBy("key").agg(F.first("s").alias("s")).select("key", "s.*"))
-    members = signed.select("key", F.explode("bands").alias("bucket"))
-    shared = members.join(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "bucket")
-    shared = shared.join(signed.select("key", "short"), "key")
-    sets = links = roots = None
-    turn = 0
-    while True:
-        at = shared.withColumn("root", F.col("key")) if roots is None else shared.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        if turn == 0:
-            at = written(at)
-            if at.isEmpty():
-                break
-        top = F.max(F.struct("n", "root"))
-        tops = at.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("size"), top.alias("top")).where(F.col("size") > F.col("top.n"))
-        outside = F.col("root") != F.col("top.root")
-        shared = written(at.join(tops, "bucket").select("bucket", "key", "short", "root", (F.col("size") - F.col("top.n")).alias("others"), outside.alias("outside")))
-        if shared.isEmpty():
-            break
-        most = leaders * 8**turn
-        lead = F.col("outside") & ((F.col("others") <= most) | (F.pmod(F.xxhash64("key", "bucket", F.lit(turn)), "others") < most))
-        leading = shared.where(lead).select("bucket", F.col("key").alias("other"), F.col("root").alias("other_root"), F.col("short").alias("other_short"))
-        near = shared.join(leading, "bucket").where(F.col("root") != F.col("other_root")).where(agreement(F.col("short"), F.col("other_short")) >= ESTIMATE)
-        pairs = near.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
-        if sets is None:
-            # written in between, so that no task needs the Python workers of both functions at once
-            wanted = written(keyed.where(passes(F.col("key"), hash_filter(shared, "key"))))
-            sets = written(wanted.select("key", elements(F.col("text")).alias("items")).groupBy("key").agg(F.first("items").alias("items")))
-        joined = pairs.join(sets.select(F.col("key").alias("b"), F.col("items").alias("right")), "b").join(sets.select(F.col("key").alias("a"), F.col("items").alias("left")), "a")
-        new = written(joined.select("a", "b", similarity(F.col("left"), F.col("right")).alias("similarity")).where(F.col("similarity") >= threshold).select("a", "b"))
-        if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            roots = written(components(links))
-            roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-        shared = shared.where(F.col("others") > most).select("bucket", "key", "short")
-        turn += 1
-    if roots is None:
-        return keyed.select("key", F.col("key").alias("root")).limit(0)
-    return roots.select(F.col("node").alias("key"), "root")
+    members = signed.select("key", F.posexplode("bands").alias("band", "bucket"))
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("leader")).where("n > 1")
+    shared = written(members.join(buckets, "bucket"))
+    none = keyed.select("key", F.col("key").alias("root")).limit(0)
+    if shared.isEmpty():
+        return none
+    # written in between, so that no task needs the Python workers of both functions at once
+    wanted = written(keyed.where(passes(F.col("key"), hash_filter(shared, "key"))))
+    sets = written(wanted.select("key", elements(F.col("text")).alias("items")).groupBy("key").agg(F.first("items").alias("items")).join(signed.select("key", "short"), "key"))
+    pairs = shared.where(F.col("key") != F.col("leader")).select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
+    sides = [sets.select(F.col("key").alias(side), F.struct("short", "items").alias(f"of_{side}")) for side in "ba"]
+    joined = pairs.join(sides[0], "b").join(sides[1], "a")
+    links = written(joined.select("a", "b", similarity(F.col("of_a"), F.col("of_b")).alias("similarity")).where(F.col("similarity") >= threshold).select("a", "b"))
+    roots = written(components(links)) if not links.isEmpty() else none.withColumnRenamed("key", "node")
+    # a bucket of two has been gone through
+    at = shared.where("n > 2").select("bucket", "band", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    tops = at.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("top")).where(F.col("size") > F.col("top.n"))
+    outside = F.col("root") != F.col("top.root")
+    cut = lambda n: F.ceil(n / part).cast("int")
+    turn = lambda n, salt: F.pmod(F.xxhash64("key", F.lit(salt)), n).cast("int")
+    rows_in, leads_in = cut(F.col("size")), cut(F.col("size") - F.col("top.n"))
+    places = lambda n: F.sequence(F.lit(0), n - 1)
+    place = lambda i, j, lead: F.struct(i.alias("i"), j.alias("j"), F.lit(lead).alias("lead"))
+    as_member = F.transform(places(leads_in), lambda i: place(i, turn(rows_in, 1), False))
+    as_leader = F.when(outside, F.transform(places(rows_in), lambda j: place(turn(leads_in, 2), j, True))).otherwise(F.array().cast("array<struct<i:int,j:int,lead:boolean>>"))
+    parts = at.join(tops, "bucket").select("bucket", "band", "key", "root", F.explode(F.concat(as_member, as_leader)).alias("p")).select("bucket", "band", "key", "root", "p.*").join(sets, "key")
+    more = parts.groupBy("bucket", "i", "j").applyInPandas(lambda rows: links_within(rows, threshold, n_bands), "a binary, b binary").distinct()
+    more = written(more)
+    if not more.isEmpty():
+        roots = written(components(links.unionByName(more)))
+    return roots.select(F.col("node").alias("key"), "root").unionByName(roots.select(F.col("root").alias("key"), "root").distinct())
 
 
 def classes(docs: DataFrame, **options) -> DataFrame:
