@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.llm import bpe, decontamination, language_id, line_dedup, near_dup
-from tapewright.llm.common import shared_folder, table
+from tapewright.llm.common import shared_folder, table, written
 from tapewright.llm.queries import BPE_RANKS
 
 
@@ -48,8 +48,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids, and whether they decode to the text's bytes."""
     path = public_tokenizers.path(BPE_RANKS)
-    packed = docs.withColumn("ids", bpe.encode(docs, path, public_tokenizers.PATTERN))
-    same = F.sha2(bpe.decode(F.col("ids"), path), 256) == F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("text_sha256")
+    packed = written(docs.select("doc_id", "lang", "source", bpe.encode(docs, path, public_tokenizers.PATTERN).alias("ids"), digest))
+    same = F.sha2(bpe.decode(F.col("ids"), path), 256) == F.col("text_sha256")
     return packed.select("doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
 
