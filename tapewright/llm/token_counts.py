@@ -39,8 +39,9 @@ class CountTree:
         return [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)]
 
     def _sums(self, leaf: list[str]) -> tuple[int, int]:
-        self.encoded += sum(map(len, leaf))
-        return sum(map(len, leaf)), sum(len(self.own.pieces[p]) for p in leaf) // 4
+        chars = sum(map(len, leaf))
+        self.encoded += chars
+        return chars, sum(map(len, map(self.own.pieces.__getitem__, leaf))) // 4
 
     def _pull(self, i: int) -> None:
         self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
