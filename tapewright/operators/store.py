@@ -57,7 +57,7 @@ class SnapshotStore:
         good = judged.where("write")
         out = rows.join(good.select(*KEY), list(KEY), "left_semi")
         # one file for each interval and hash of the symbol, however many keys there are
-        out.repartition("interval", F.col("symbol")).write.option("compression", "lz4raw").partitionBy("interval").parquet(f"{self.path}/data/generation={generation}")
+        out.repartition("interval", F.col("symbol")).write.option("compression", "lz4_raw").partitionBy("interval").parquet(f"{self.path}/data/generation={generation}")
         entry = good.select(*KEY, F.lit(generation).alias("generation"), F.col("n").alias("rows"), F.lit("completed").alias("status"), F.current_timestamp().alias("updated_at"))
         entry.coalesce(1).write.mode("append").parquet(f"{self.path}/meta")
         return judged
