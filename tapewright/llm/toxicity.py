@@ -174,11 +174,11 @@ def counts(text: Column, words: list[str], stems: list[str]) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """text, toxic: about sample_docs documents at most of each class, of those that may be learned from."""
+    """text, toxic: about sample_docs documents at most of each class, of those that may be learned from. That bounds the ids that are broadcast."""
     known = labels.where(training_row() & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
     n = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     limit = F.when(F.col("toxic") == 1, sample_threshold(n.get(1, 0), sample_docs)).otherwise(sample_threshold(n.get(0, 0), sample_docs))
-    return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(known.where(in_sample(limit, "doc_id")), "doc_id").select("text", "toxic")
+    return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(known.where(in_sample(limit, "doc_id"))), "doc_id").select("text", "toxic")
 
 
 def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
@@ -187,11 +187,15 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
     own = sample.select("toxic", words.alias("words")).withColumn("sketch", F.array_min(F.transform("words", lambda w: F.xxhash64(w)))).where(F.size("words") > 0)
     heads = {r.toxic: r.n for r in own.groupBy("toxic").agg(F.countDistinct("sketch").alias("n")).collect()}
     least = max(3, LEAST_SHARE * heads.get(1, 0))
-    term = F.explode(F.array_distinct(F.flatten(F.transform("words", lambda w: F.array(F.struct(F.lit("").alias("stem"), w.alias("term")), *[F.struct(F.lit("+").alias("stem"), F.when(F.length(w) > n, F.substring(w, 1, n)).alias("term")) for n in STEM_LENGTHS])))))
-    rows = own.select("toxic", "sketch", term.alias("t")).where(F.col("t.term").isNotNull()).groupBy("t.stem", "t.term").agg(
-        F.countDistinct(F.when(F.col("toxic") == 1, F.col("sketch"))).alias("toxic"), F.countDistinct(F.when(F.col("toxic") == 0, F.col("sketch"))).alias("clean")
-    )
+    term = F.explode(F.flatten(F.transform("words", lambda w: F.array(F.struct(F.lit("").alias("stem"), w.alias("term")), *[F.struct(F.lit("+").alias("stem"), F.when(F.length(w) > n, F.substring(w, 1, n)).alias("term")) for n in STEM_LENGTHS]))))
+    terms = lambda toxic: own.where(F.col("toxic") == toxic).select("sketch", term.alias("t")).where(F.col("t.term").isNotNull()).select("sketch", "t.*")
+    count = F.countDistinct("sketch")
+    # few terms stand in enough toxic documents (the sample bounds them, so they may be broadcast); only those are counted in the others
+    often = terms(1).groupBy("stem", "term").agg(count.alias("toxic")).where(F.col("toxic") >= least).persist()
+    clean = terms(0).join(F.broadcast(often.select("stem", "term")), ["stem", "term"], "left_semi").groupBy("stem", "term").agg(count.alias("clean"))
+    rows = often.join(clean, ["stem", "term"], "left").fillna(0, ["clean"])
     marks = rows.where((F.col("toxic") >= least) & (F.col("clean") <= MOST_CLEAN * F.col("toxic"))).orderBy(F.desc("toxic"), "stem", "term").limit(MOST_TERMS).collect()
+    often.unpersist()
     all_words = [r.term for r in marks if not r.stem]
     count = {r.term: r.toxic for r in marks if not r.stem}
     # a stem is one if its words are many: no single word accounts for most of it
