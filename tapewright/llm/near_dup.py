@@ -195,17 +195,28 @@ def links_within(rows: pd.DataFrame, threshold: float, n_bands: int) -> pd.DataF
     band = int(rows["band"].iloc[0])
     unpack = lambda part: np.frombuffer(b"".join(part["short"]), "<u2").reshape(len(part), n_bands, -1)
     lead_short, short = unpack(leading), unpack(others)
-    keys, roots, items = others["key"].tolist(), others["root"].to_numpy(object), [np.frombuffer(x, "<u4") for x in others["items"]]
+    keys, roots, sets = others["key"].tolist(), others["root"].to_numpy(object), [np.frombuffer(x, "<u4") for x in others["items"]]
+    # all sets end to end, as places in the sorted distinct elements: one pass counts what a row shares with every one of them
+    sizes = np.array([len(x) for x in sets])
+    starts = np.cumsum(sizes) - sizes
+    values, places = np.unique(np.concatenate(sets), return_inverse=True)
+    marked = np.zeros(len(values), bool)
     found = []
     for key, root, own, bits in zip(leading["key"], leading["root"], leading["items"], lead_short, strict=True):
         same = short == bits
         near = (same.mean(axis=(1, 2)) >= ESTIMATE) & (roots != root) & ~same[:, :band].all(axis=2).any(axis=1)
+        if not near.any():
+            continue
         own = np.frombuffer(own, "<u4")
-        joined = set()  # classes that this row is linked with already
-        for i in np.flatnonzero(near):
-            if roots[i] not in joined and jaccard(own, items[i]) >= threshold:
-                joined.add(roots[i])
-                found.append((min(key, keys[i]), max(key, keys[i])))
+        at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+        at = at[values[at] == own]
+        marked[at] = True
+        both = np.add.reduceat(marked[places], starts, dtype=np.int64)
+        marked[at] = False
+        linked = np.flatnonzero(near & (both / (len(own) + sizes - both) >= threshold))
+        # one link to each class is enough
+        for i in {roots[i]: i for i in linked}.values():
+            found.append((min(key, keys[i]), max(key, keys[i])))
     return pd.DataFrame(found, columns=["a", "b"], dtype=object)
 
 
