@@ -1,8 +1,11 @@
-"""Line dedup by content-defined chunks: repeated passages of several lines are removed wherever they stand.
-
-A rolling hash over the hashes of a few neighbouring lines chooses where a chunk ends, so the chunks of a passage are
-the same in every document that holds it, whatever stands before. Of each chunk of two or more lines that is found more
-than once in the corpus the first copy (least doc_id, then place) stays; the others go if their bytes are the same.
+"""Line dedup by content-defined chunks: repeated passages are removed wherever they stand.
+
+A line's own hash, and that of the line after it, choose where a chunk ends, so the chunks of a passage are the same in
+every document that holds it, whatever stands around it. Each two lines in sequence are a chunk too, blank lines between
+them included: they overlap the others, so a match grows line by line to both sides as far as the lines are equal, and a
+passage shorter than a chunk is found. A line of more than LONG_LINE words is a passage by itself. Of each chunk that is
+found more than once in the corpus the first copy (least doc_id, then place) stays; the others go if their bytes are the
+same.
 """
 
 from __future__ import annotations
@@ -16,31 +19,33 @@ from pyspark.sql import functions as F
 
 from tapewright.llm.common import filter_bit, hash_filter, mix, written
 
-#: Lines under the rolling hash; one of so many places is a boundary.
-ROLL, DIVISOR = 2, 2
-MIN_LINES = 2
+#: One of so many lines may end a chunk.
+DIVISOR = 2
+#: Lines with text in a chunk, at least, and words that a single line must have more of.
+MIN_LINES, LONG_LINE = 2, 50
 _HIGH = 2**63 - 1
 
 
-def chunk_ends(lines: list[bytes], roll: int = ROLL, divisor: int = DIVISOR) -> list[int]:
-    """Ends of the chunks: places after which the rolling hash of the last `roll` lines is 0 modulo the divisor, and the text's end."""
+def chunk_ends(lines: list[bytes], divisor: int = DIVISOR) -> list[int]:
+    """Ends of the chunks: after lines whose hash is 0 modulo the divisor, but not just before another such line (which would be a chunk of one line), and the text's end."""
     n = len(lines)
     h = np.fromiter((int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in lines), np.uint64, n)
-    rolled = np.zeros(n, np.uint64)
-    for i in range(min(roll, n)):
-        rolled[i:] += mix(h[: n - i] + np.uint64(i + 1))
-    cut = np.flatnonzero(mix(rolled) % np.uint64(divisor) == 0) + 1
-    cut = cut[(cut >= roll) & (cut < n)]
-    return [*cut.tolist(), n]
+    ends = mix(h) % np.uint64(divisor) == 0
+    return [*(np.flatnonzero(ends[:-1] & ~ends[1:]) + 1).tolist(), n]
 
 
 def text_chunks(text: str | None, least: int = MIN_LINES) -> list[tuple[int, int, bytes]]:
-    """First line, number of lines and bytes of each chunk of at least so many lines. None and empty texts have none."""
-    if not text or "\n" not in text:
+    """First line, number of lines and bytes of each chunk with at least so many lines that aren't blank, in order. None and empty texts have none."""
+    if not text:
         return []
     lines = text.encode("utf-8", "replace").split(b"\n")
-    ends = chunk_ends(lines)
-    return [(a, b - a, b"\n".join(lines[a:b])) for a, b in zip([0, *ends[:-1]], ends, strict=True) if b - a >= least]
+    full = [i for i, x in enumerate(lines) if x and not x.isspace()]
+    spans = {(full[i], full[i + least - 1] + 1) for i in range(len(full) - least + 1)}
+    if len(full) > least:
+        ends = chunk_ends([lines[i] for i in full])
+        spans |= {(full[a], full[b - 1] + 1) for a, b in zip([0, *ends[:-1]], ends, strict=True) if b - a >= least}
+    spans |= {(i, i + 1) for i in full if len(lines[i]) > 2 * LONG_LINE and len(lines[i].split(None, LONG_LINE)) > LONG_LINE}
+    return [(a, b - a, b"\n".join(lines[a:b])) for a, b in sorted(spans)]
 
 
 def _chunks(text: Column, with_bytes: bool, bits=None) -> Column:
@@ -88,11 +93,11 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     last in the order of ids. Null texts and an empty table have no chunk.
     """
     keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_HIGH)).alias("k1"), F.unhex(F.md5("text")).alias("k2")]
-    slim = docs.where(F.contains("text", F.lit("\n"))).select(*keys, F.explode(_chunks(F.col("text"), False)).alias("c")).select("k1", "k2", F.col("c.at").alias("at"), F.col("c.hash").alias("hash"))
+    slim = docs.where(F.length("text") > 0).select(*keys, F.explode(_chunks(F.col("text"), False)).alias("c")).select("k1", "k2", F.col("c.at").alias("at"), F.col("c.hash").alias("hash"))
     own = F.struct("k1", "k2", "at")
     stats = written(slim.groupBy("hash").agg(F.count("*").alias("n"), F.min(own).alias("first")).where("n > 1").select("hash", "first"))
     bits = hash_filter(stats, "hash")
-    copies = docs.where(F.contains("text", F.lit("\n"))).select(*keys, F.explode(_chunks(F.col("text"), True, bits)).alias("c")).select("k1", "k2", "c.*")
+    copies = docs.where(F.length("text") > 0).select(*keys, F.explode(_chunks(F.col("text"), True, bits)).alias("c")).select("k1", "k2", "c.*")
     copies = written(copies.join(stats, "hash").withColumn("is_first", own == F.col("first")).drop("first"))
     firsts = copies.where("is_first").dropDuplicates(["hash"]).select("hash", F.col("chunk").alias("first_chunk"))
     return copies.where(~F.col("is_first")).join(firsts, "hash").where(F.col("chunk") == F.col("first_chunk")).select("k1", "k2", "at", "lines").distinct()
@@ -109,5 +114,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     keyed = docs.select(row, F.coalesce(F.col("doc_id").cast("long"), F.lit(_HIGH)).alias("k1"), F.unhex(F.md5("text")).alias("k2"))
     joined = keyed.join(gone, ["k1", "k2"], "left")
     text = _without(F.col("row.text"), F.col("ats"), F.col("counts")).alias("text")
-    removed = F.coalesce(F.aggregate("counts", F.lit(0), lambda a, x: a + x), F.lit(0)).alias(taken)
+    # chunks overlap: a line is counted once
+    places = F.flatten(F.transform(F.arrays_zip("ats", "counts"), lambda c: F.sequence(c["ats"], c["ats"] + c["counts"] - 1)))
+    removed = F.coalesce(F.array_size(F.array_distinct(places)), F.lit(0)).alias(taken)
     return joined.select(*[text if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c != taken], removed)

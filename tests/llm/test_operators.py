@@ -179,6 +179,18 @@ def test_line_dedup_equals_brute_force_and_finds_shifted_passages(spark):
     assert rows[4].text == texts[4] and sum(rows[i].lines_removed for i in range(5, 24)) >= 0.5 * 19 * 14
 
 
+@pytest.mark.parametrize("length", [1, 2, 3, 5, 9])
+def test_line_dedup_takes_short_passages_whole(spark, length):
+    rng = random.Random(length)
+    line = lambda n: " ".join(rng.choice("alpha beta gamma delta epsilon zeta".split()) for _ in range(n))
+    passage = [line(60 if length == 1 else 20) for _ in range(length)]
+    around = [([line(9) for _ in range(rng.randint(0, 3))], [line(9) for _ in range(rng.randint(1, 3))]) for _ in range(12)]
+    rows = line_dedup.dedup_lines(docs_of(spark, ["\n".join([*a, *passage, *b]) for a, b in around])).collect()
+    for r in rows:
+        a, b = around[r.doc_id]
+        assert r.text == "\n".join([*a, *(passage if r.doc_id == 0 else []), *b]) and r.lines_removed == (length if r.doc_id else 0)
+
+
 def test_url_rules_and_graph(spark):
     urls = ["http://EXAMPLE.com/en/7x?a", "https://m.example.com/en/1", "http://x.net/de/", "http://example.net/de/8", "http://y.org/es/#f", "http://com/en/", "http://notcom/en/", "ftp://host", "nohost/en/", None]
     pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")
