@@ -1,8 +1,9 @@
 """URL filter by rules and by link-graph propagation over hosts. DataFrame operations only.
 
 Trust spreads from trusted hosts along links, as personalised PageRank; distrust spreads from blocked hosts against the
-links, to the hosts that point at them. A host whose distrust outweighs its trust by a threshold is blocked; a rule that
-fits a url decides before that.
+links, to the hosts that point at them: each takes the mean over the hosts that it links to, so its distrust is the same
+however many others point there. A host whose distrust outweighs its trust by a threshold is blocked; a rule that fits a
+url decides before that.
 """
 
 from __future__ import annotations
@@ -54,13 +55,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return named.where((F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst"))).distinct()
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, split: str = "src") -> DataFrame:
     """host, score: personalised PageRank with `seeds` (host, weight) as where walks begin; (1 - damping) x weight stays with a seed.
 
-    A host without outgoing links passes nothing on. Written out every fifth round, so that lineage stays short.
+    A host without outgoing links passes nothing on. A score is split among a host's outgoing links; with split="dst" a
+    host takes the mean of its incoming ones instead. Written out every fifth round, so that lineage stays short.
     """
     start = seeds.select("host", ((1 - damping) * F.col("weight")).alias("score"))
-    shares = written(edges.join(edges.groupBy("src").agg(F.count("*").alias("n")), "src").select("src", "dst", (damping / F.col("n")).alias("share")))
+    shares = written(edges.join(edges.groupBy(split).agg(F.count("*").alias("n")), split).select("src", "dst", (damping / F.col("n")).alias("share")))
     now = start
     for i in range(rounds):
         sent = now.join(shares, now["host"] == shares["src"]).select(F.col("dst").alias("host"), (F.col("score") * F.col("share")).alias("score"))
@@ -70,15 +72,18 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     return now
 
 
-def host_scores(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """host, trust, distrust. seeds: host, trusted and blocked (double weights, 0 or null: none). Without any edge the seeds keep their own."""
+def host_scores(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, distrust_split: str = "src") -> DataFrame:
+    """host, trust, distrust. seeds: host, trusted and blocked (double weights, 0 or null: none). Without any edge the seeds keep their own.
+
+    With distrust_split="dst" a host's distrust is the mean over the hosts that it links to, whatever links there besides.
+    """
     edges = written(edges)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     parts = []
     linked = not edges.isEmpty()
-    for name, weight, links in (("trust", "trusted", edges), ("distrust", "blocked", back)):
+    for name, weight, links, split in (("trust", "trusted", edges, "src"), ("distrust", "blocked", back, distrust_split)):
         own = seeds.where(F.col(weight) > 0).select("host", F.col(weight).alias("weight"))
-        score = propagate(own, links, damping, rounds) if linked else own.select("host", ((1 - damping) * F.col("weight")).alias("score"))
+        score = propagate(own, links, damping, rounds, split) if linked else own.select("host", ((1 - damping) * F.col("weight")).alias("score"))
         parts.append(score.select("host", *[(F.col("score") if name == x else F.lit(0.0)).alias(x) for x in ("trust", "distrust")]))
     return reduce(DataFrame.unionByName, parts).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
 
@@ -96,7 +101,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], limit: float = LIMIT,
     hosts = ruled.where(F.col("host") != "").groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked"))
     weight = lambda c: F.when(F.col(c) >= seed_share, 1.0).otherwise(0.0)
     seeds = hosts.select("host", weight("allowed").alias("trusted"), weight("blocked").alias("blocked"))
-    scores = host_scores(seeds, host_edges(pages))
+    scores = host_scores(seeds, host_edges(pages), distrust_split="dst")
     joined = ruled.join(scores, "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     by_graph = F.when(distrust - trust >= limit, "block").otherwise("allow")

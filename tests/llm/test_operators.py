@@ -224,6 +224,16 @@ def test_propagation_equals_brute_force(spark):
         assert (r.trust if r else 0) == pytest.approx(trust[h]) and (r.distrust if r else 0) == pytest.approx(distrust[h])
 
 
+def test_hosts_that_link_only_to_blocked_hosts_are_blocked_in_any_number(spark):
+    rows = [(f"http://bad{n}.com/", "") for n in (2, 10, 1000)]
+    rows += [(f"http://f{i}.farm{n}.org/", f"<a href='http://bad{n}.com/x'>x</a>") for n in (2, 10, 1000) for i in range(n)]
+    rows += [(f"http://fair{n}.org/", f"<a href='http://bad{n}.com/'>x</a>" + "".join(f"<a href='http://good{i}.net/'>x</a>" for i in range(9))) for n in (2, 10, 1000)]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = url_graph.judge(pages, [("block", f"bad{n}.com/") for n in (2, 10, 1000)]).collect()
+    assert {(r.host.split(".", 1)[1], r.verdict) for r in got if ".farm" in r.host} == {(f"farm{n}.org", "block") for n in (2, 10, 1000)}
+    assert [r.verdict for r in got if r.host.startswith("fair")] == ["allow"] * 3
+
+
 def test_html_main_text(spark):
     page = lambda body: f"<html><head><title>t</title><style>p{{}}</style></head><body><nav><a>menu</a></nav><div class='ad'>buy</div><article><h1>Head</h1><p>a &amp; b<br>c <b>d</b>e</p>{body}</article><div id='comments'>me too</div><footer>foot</footer><script>x()</script></body></html>"
     pages = spark.createDataFrame([(i, f"http://h.com/{i}", page(f"<p>own {i}</p>")) for i in range(6)] + [(9, "http://other.org/", "<p>bare &lt;text&gt;</p>"), (10, None, None)], "page_id long, url string, html string")
