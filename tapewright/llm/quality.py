@@ -2,7 +2,8 @@
 
 A document's shares of character classes and of a language's most common words are compared with the same shares of
 all documents of that language, by Jensen-Shannon distance (base 2: 0 to 1). A document whose distance to the nearest
-language is over the limit is rejected; one too short for a histogram to say anything is left alone.
+language is over the limit is rejected; one too short for a histogram to say anything is left alone. For words the limit
+is a share of the distance that a text without any of the language's common words has, which is far from 1.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ CLASSES = ("lower", "upper", "digit", "space", "mark", "symbol", "other")
 COMMON_WORDS, COMMON_LENGTH = 40, 6
 #: Fewer characters or words than these, and the distance isn't judged.
 GUARD_CHARS, GUARD_WORDS = 200, 50
-CHAR_LIMIT, WORD_LIMIT = 0.25, 0.6
+CHAR_LIMIT = 0.25
+#: Share of the distance of a text without common words.
+WORD_LIMIT = 0.9
 _class: np.ndarray | None = None
 _bare = re.compile(r"[^\W\d_]+")
 
@@ -80,6 +83,11 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return max(0.0, (part(p) + part(q)) / 2) ** 0.5
 
 
+def wordless(bins: np.ndarray) -> float:
+    """Distance to a language's word histogram of a text that has none of its common words, of any length."""
+    return distance(np.eye(len(bins))[-1], bins)
+
+
 def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, list[str], np.ndarray]]:
     """For each language: the character-class histogram, the COMMON_WORDS most common words, and their histogram with a last bin for all other words.
 
@@ -119,10 +127,11 @@ def judge(text: Column, refs: dict, char_limit: float = CHAR_LIMIT, word_limit:
     """struct of the base counts, base_failed, the two distances and kept, for each text.
 
     A null or empty text has zero counts and fails the base. The distances are null below the guards (GUARD_CHARS
-    characters, GUARD_WORDS letter words) or without references; then only the base decides.
+    characters, GUARD_WORDS letter words) or without references; then only the base decides. word_limit is a share of each
+    language's `wordless` distance; word_distance is the least distance itself.
     """
     fields = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("char_distance", pa.float64()), ("word_distance", pa.float64()), ("kept", pa.bool_())]
-    tables = [(chars, {w: i for i, w in enumerate(words)}, bins) for chars, words, bins in refs.values()]
+    tables = [(chars, {w: i for i, w in enumerate(words)}, bins, word_limit * wordless(bins)) for chars, words, bins in refs.values()]
 
     def one(text: str | None) -> tuple:
         text = text or ""
@@ -135,21 +144,23 @@ def judge(text: Column, refs: dict, char_limit: float = CHAR_LIMIT, word_limit:
         repeats = repeated_words(words)
         failed = n < MIN_WORDS or 100 * repeats > REPEAT_PERCENT * n
         by_char = by_word = None
+        strange = False
         if tables and len(text) >= GUARD_CHARS:
             own = char_histogram(text)
-            by_char = min(distance(own, chars) for chars, _, _ in tables)
+            by_char = min(distance(own, chars) for chars, *_ in tables)
             found = short_words(text)
             total = len(_bare.findall(text))
             if total >= GUARD_WORDS:
                 each = []
-                for _, at, bins in tables:
+                for _, at, bins, _ in tables:
                     hist = np.zeros(len(bins))
                     for w, i in at.items():
                         hist[i] = found.get(w, 0)
                     hist[-1] = total - hist.sum()
                     each.append(distance(hist, bins))
                 by_word = min(each)
-        kept = not failed and (by_char is None or by_char <= char_limit) and (by_word is None or by_word <= word_limit)
+                strange = all(x > most for x, (*_, most) in zip(each, tables, strict=True))
+        kept = not failed and (by_char is None or by_char <= char_limit) and not strange
         return n, n_chars, symbols, len(lines) - len(set(lines)), repeats, failed, by_char, by_word, kept
 
     @F.arrow_udf("struct<" + ",".join(f"{k}:{ {pa.int64(): 'bigint', pa.bool_(): 'boolean', pa.float64(): 'double'}[v] }" for k, v in fields) + ">")

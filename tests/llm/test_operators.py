@@ -268,6 +268,18 @@ def test_quality_keeps_clean_documents(spark):
     assert sum(r.kept for r in passed) >= 0.9 * len(passed)
 
 
+def test_quality_rejects_word_salad_and_keeps_clean_documents(spark):
+    rng = random.Random(3)
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    refs = quality.references(docs)
+    salad = [" ".join("".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(3, 4))) for _ in range(n)).capitalize() + "." for n in (60, 300, 3000)]
+    rows = docs_of(spark, salad).select(quality.judge(F.col("text"), refs).alias("q")).select("q.*").collect()
+    assert not any(r.base_failed or r.kept for r in rows) and all(r.char_distance <= quality.CHAR_LIMIT for r in rows)
+    clean = docs.join(table(spark, "/root/testdata/sf0.01", "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    rows = [r for r in clean.select(quality.judge(F.col("text"), refs).alias("q")).select("q.*").collect() if not r.base_failed]
+    assert sum(r.kept for r in rows) >= 0.99 * len(rows)
+
+
 def held_out_rows(spark, name):
     return [r for r in QUERIES[name](spark, "/root/testdata/sf0.01").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
 
