@@ -1,19 +1,22 @@
 """Main text of web pages by template deduction over the pages of a host.
 
-Tags with the same occurrence vector (how often on each of the host's pages) form an equivalence class. The class that
-stands once on every page is the page's frame; classes inside its slots are nested. From a host's classes comes a plan:
-the frame element that holds the article, and so which slots are text. A page is then read by its host's plan.
+Tags and pieces of text, told apart by where they stand, are counted on each of a host's pages. From the counts comes a
+plan: the element that stands once on every page and holds the article, and the pieces of text that stand on the host's
+pages and not just on one, which are template. A page is then read by its host's plan: the slots, whose text varies, stay.
 
-No vector is ever built: a token's vector is summarised by the exclusive or of hashes of (page, count), which are
-combined in tasks first, so a host may have any number of pages.
+Counts are combined in tasks first, so a host may have any number of pages. Tokens aren't grouped into equivalence
+classes by their occurrence vectors, and no nested plan is built.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import html
 import json
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,6 +26,11 @@ from tapewright.llm.url_graph import host
 
 #: A token of the template stands on this share of the host's pages at least.
 SUPPORT = 0.5
+#: On a host of fewer pages no text is taken for template.
+LEAST_PAGES = 3
+TEXT = "\t"
+#: Elements of an article's own text: what varies on no page is kept in them, and dropped in others inside the article.
+WRITTEN = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "hgroup", "li", "dt", "dd", "tr", "td", "th", "caption", "figcaption", "html", "body", "article", "main"}
 MAIN = ("article", "main")
 DROPPED = {"nav", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "svg", "button", "select", "textarea", "head", "title", "dialog", "menu", "object", "canvas"}
 DROPPED_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|side-?bar|breadcrumbs?|comments?|disqus|replies|cookies?|consent|notice|newsletter|subscribe|share|sharing|social|related|footer|popup|modal|login|signup)(?:$|[\s_-])", re.I)
@@ -95,10 +103,18 @@ def token_key(name: str, attrs: dict[str, str], path: list[str]) -> str:
     return "/".join([*path, name]) + (f".{attrs['class']}" if attrs.get("class") else "") + ("@main" if attrs.get("role", "").lower() == "main" else "")
 
 
+def text_key(text: str, path: list[str]) -> str:
+    """A text piece's token: its place and its words; empty for white space."""
+    words = " ".join(html.unescape(text).split())
+    return TEXT + base64.b64encode(hashlib.blake2b("/".join([*path, words]).encode("utf-8", "replace"), digest_size=9).digest()).decode() if words else ""
+
+
 def page_tokens(page: str) -> Counter:
     found: Counter = Counter()
     path: list[str] = []
-    for kind, name, attrs, _ in events(page):
+    for kind, name, attrs, text in events(page):
+        if kind == "text" and (key := text_key(text, path)):
+            found[key] += 1
         if kind in ("open", "void"):
             found[token_key(name, attrs, path)] += 1
         if kind == "open":
@@ -108,66 +124,69 @@ def page_tokens(page: str) -> Counter:
     return found
 
 
-def token_vectors(pages: DataFrame) -> DataFrame:
-    """host, token, pages, once, vector: for each token of each host the number of pages with it, of pages with just one, and its vector's hash."""
+def token_counts(pages: DataFrame) -> DataFrame:
+    """host, token, pages, once: for each token of each host the number of pages with it, and of pages with it just once."""
 
     def count(batches):
         for batch in batches:
             sums: dict = {}
-            for name, page, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for name, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for token, n in (page_tokens(page) + Counter({"": 1})).items():
-                    own = sums.setdefault((name, token), [0, 0, 0])
+                    own = sums.setdefault((name, token), [0, 0])
                     own[0] += 1
                     own[1] += n == 1
-                    own[2] ^= hash((row, n)) & 0x7FFFFFFFFFFFFFFF
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), *[pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(3)]],
-                ["host", "token", "pages", "once", "vector"],
+                [pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), *[pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(2)]],
+                ["host", "token", "pages", "once"],
             )
 
-    given = pages.where(F.col("html").isNotNull()).select(host(F.col("url")).alias("host"), "html", F.xxhash64("page_id", "url", "html").alias("row"))
-    rows = given.mapInArrow(count, "host string, token string, pages long, once long, vector long")
-    return rows.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("once").alias("once"), F.bit_xor("vector").alias("vector"))
+    given = pages.where(F.col("html").isNotNull()).select(host(F.col("url")).alias("host"), "html")
+    rows = given.mapInArrow(count, "host string, token string, pages long, once long")
+    return rows.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("once").alias("once"))
 
 
-def deduce_plan(tokens: list[tuple[str, int, int, int]], pages: int, support: float = SUPPORT) -> dict:
-    """The plan of a host from its tokens (token, pages, once, vector): the equivalence classes nested by their paths, and the frame element with the article.
+def deduce_plan(tokens: list[tuple[str, int, int]], pages: int, support: float = SUPPORT) -> dict:
+    """The plan of a host from its tokens (token, pages, once): the frame element with the article, and the template's text tokens.
 
-    main is that element's token: of the class members that stand once on each page that has them, the innermost article
-    or main that isn't inside a dropped element. It is None where no frame element is one; then the body less the
-    dropped elements is read.
+    main is that element's token: of the tags that stand once on each page that has them, the innermost article or main
+    that isn't inside a dropped element. It is None where no frame element is one; then the body less the dropped
+    elements is read.
     """
-    classes: dict[int, list[str]] = {}
-    for token, n, once, vector in sorted(tokens):
-        if token and n >= support * pages:
-            classes.setdefault(vector, []).append(token)
-    once_only = {t for t, n, once, _ in tokens if once == n}
-    frame = [t for members in classes.values() for t in members if t in once_only]
-    # a class is nested in the deepest frame token that is a path above all its tokens
-    nested = {min(members): max((f for f in frame if all(t.startswith(f.split(".")[0].split("@")[0] + "/") for t in members)), key=len, default="") for members in classes.values() if not set(members) & set(frame)}
+    often = [(token, n, once) for token, n, once in tokens if token and n >= support * pages]
     names = lambda t: [x.split(".")[0].split("@")[0] for x in t.split("/")]
+    frame = [t for t, n, once in often if once == n and not t.startswith(TEXT)]
     main = [t for t in frame if (names(t)[-1] in MAIN or t.endswith("@main")) and not set(names(t)[:-1]) & DROPPED]
-    return {"main": max(main, key=lambda t: (t.count("/"), t), default=None), "frame": sorted(frame), "nested": nested}
+    template = sorted(t for t, *_ in often if t.startswith(TEXT)) if pages >= LEAST_PAGES else []
+    return {"main": max(main, key=lambda t: (t.count("/"), t), default=None), "template": template}
 
 
-def main_text(page: str | None, main: str | None) -> str:
-    """The text of the slots that a plan keeps: white space made single, blocks parted by a space. Without the plan's element on the page, the body's."""
+def main_text(page: str | None, main: str | None, template: frozenset = frozenset()) -> str:
+    """The text of the slots that a plan keeps: white space made single, blocks parted by a space. Without the plan's element on the page, the body's.
+
+    Template text is left out, in the article only with an element (other than WRITTEN and inline ones) in which nothing
+    varies. A page on which nothing varies is read whole.
+    """
     if not page:
         return ""
 
-    def read(wanted: str | None) -> tuple[bool, str]:
+    def read(wanted: str | None, fixed: frozenset) -> tuple[bool, str]:
         out: list[str] = []
         path: list[str] = []
-        inside, dropped, seen = 0, 0, False
+        starts: list[tuple[int, int]] = []
+        inside, dropped, seen, varied = 0, 0, False, 0
         for kind, name, attrs, text in events(page):
             if kind == "text":
                 if not dropped and (inside or wanted is None):
-                    out.append(html.unescape(text))
+                    known = bool(fixed) and (not (key := text_key(text, path)) or key in fixed)
+                    varied += not known
+                    if not (known and wanted is None and key):
+                        out.append(html.unescape(text))
                 continue
             if name not in INLINE:
                 out.append("\n")
             if kind == "open":
                 path.append(name)
+                starts.append((len(out), varied))
                 if inside:
                     inside += 1
                 elif wanted is not None and not dropped and token_key(name, attrs, path[:-1]) == wanted:
@@ -176,23 +195,29 @@ def main_text(page: str | None, main: str | None) -> str:
                     dropped += 1
             elif kind == "close":
                 path.pop()
+                start, before = starts.pop()
+                if fixed and inside > 1 and not dropped and varied == before and name not in INLINE and name not in WRITTEN and not set(path[-inside + 1 :]) & {"p", "pre", "blockquote"}:
+                    out[start:] = ["\n"]
                 inside -= inside > 0
                 dropped -= dropped > 0
         return seen, " ".join("".join(out).split())
 
-    if main is not None:
-        seen, text = read(main)
-        if seen:
-            return text
-    return read(None)[1]
+    def whole(fixed: frozenset) -> str:
+        if main is not None:
+            seen, text = read(main, fixed)
+            if seen:
+                return text
+        return read(None, fixed)[1]
+
+    return whole(template) or (whole(frozenset()) if template else "")
 
 
 def plans(pages: DataFrame) -> DataFrame:
     """host, plan: the JSON of each host's plan. Of a host only tokens on at least SUPPORT of its pages are gathered, about as many as one page has."""
-    vectors = token_vectors(pages)
-    heads = vectors.where(F.col("token") == "").select("host", F.col("pages").alias("total"))
-    kept = vectors.join(heads, "host").where((F.col("token") != "") & (F.col("pages") >= SUPPORT * F.col("total")))
-    grouped = kept.groupBy("host").agg(F.first("total").alias("total"), F.collect_list(F.struct("token", "pages", "once", "vector")).alias("tokens"))
+    counts = token_counts(pages)
+    heads = counts.where(F.col("token") == "").select("host", F.col("pages").alias("total"))
+    kept = counts.join(heads, "host").where((F.col("token") != "") & (F.col("pages") >= SUPPORT * F.col("total")) & (~F.col("token").startswith(TEXT) | (F.col("total") >= LEAST_PAGES)))
+    grouped = kept.groupBy("host").agg(F.first("total").alias("total"), F.collect_list(F.struct("token", "pages", "once")).alias("tokens"))
 
     @F.arrow_udf("string")
     def plan(tokens: pa.Array, total: pa.Array) -> pa.Array:
@@ -201,16 +226,21 @@ def plans(pages: DataFrame) -> DataFrame:
     return grouped.select("host", plan(F.col("tokens"), F.col("total")).alias("plan"))
 
 
-def extract(text: Column, main: Column) -> Column:
+@lru_cache(256)
+def _read_plan(plan: str | None) -> tuple[str | None, frozenset]:
+    found = json.loads(plan) if plan else {}
+    return found.get("main"), frozenset(found.get("template", ()))
+
+
+def extract(text: Column, plan: Column) -> Column:
     @F.arrow_udf("string")
-    def read(pages: pa.Array, mains: pa.Array) -> pa.Array:
-        return pa.array([main_text(p, m) for p, m in zip(pages.to_pylist(), mains.to_pylist(), strict=True)], pa.string())
+    def read(pages: pa.Array, plans: pa.Array) -> pa.Array:
+        return pa.array([main_text(p, *_read_plan(x)) for p, x in zip(pages.to_pylist(), plans.to_pylist(), strict=True)], pa.string())
 
-    return read(text, main)
+    return read(text, plan)
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text for each row of pages (page_id, url, html). Null html gives an empty text; urls without a host are one host."""
-    found = plans(pages).select("host", F.get_json_object("plan", "$.main").alias("main"))
-    own = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(found, "host", "left")
-    return own.select("page_id", "url", extract(F.col("html"), F.col("main")).alias("text"))
+    own = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(plans(pages), "host", "left")
+    return own.select("page_id", "url", extract(F.col("html"), F.col("plan")).alias("text"))

@@ -241,6 +241,17 @@ def test_html_main_text(spark):
     assert all(got[i] == f"Head a & b c de own {i}" for i in range(6)) and got[9] == "bare <text>" and got[10] == ""
 
 
+def test_html_template_text_goes_by_what_varies(spark):
+    bare = lambda i: f"<html><body><div class='x1'>Read our paper every day</div><div class='x2'><p>story {i}</p><p>more of {i}</p></div><div class='x3'>All rights kept</div></body></html>"
+    framed = lambda i: f"<html><body><article><h1>Title</h1><p>own {i}</p><div class='x4'><p>Sign up for the letter</p></div><div class='x5'>part {i}</div></article></body></html>"
+    rows = [(f"http://bare.org/{i}", bare(i)) for i in range(6)] + [(f"http://framed.org/{i}", framed(i)) for i in range(6)]
+    rows += [("http://same.org/", bare(0))] * 4 + [("http://one.org/", bare(0))]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_template.main_texts(pages).collect()}
+    assert all(got[i] == f"story {i} more of {i}" and got[i + 6] == f"Title own {i} part {i}" for i in range(6))
+    assert all(got[i] == "Read our paper every day story 0 more of 0 All rights kept" for i in range(12, 17))
+
+
 def test_quality_base_counts_equal_brute_force(spark):
     rng = random.Random(1)
     texts = [*ODD, *[" ".join(rng.choice("a b c #d e%f \n \t \n\n".split(" ")) for _ in range(n)) for n in (5, 19, 20, 40, 300, 3000)], *[r.text for r in table(spark, SF, "documents").limit(40).collect()]]
