@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: What separates words in shingles: anything but letters and digits.
 WORD_GAP = r"[^\p{L}\p{N}]+"
 SHINGLE_WORDS = 5
+#: A table of so many bytes may be broadcast; beyond it, keys of more rows than HOT_ROWS are spread, and at most HOT_KEYS of them.
+BROADCAST_BYTES = 32 << 20
+HOT_ROWS, HOT_KEYS = 10_000, 100_000
 #: Bits of a filter of hashes that is broadcast (8 MB, whatever the table): where it lets others through, a join drops them.
 FILTER_BITS = 1 << 26
 
@@ -34,6 +37,24 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_spread(rows: DataFrame, facts: DataFrame, key: str, count: str, size: Column, spread: str) -> DataFrame:
+    """rows left joined with facts, which has a row a key; its column `count`, the number of rows with the key, is left out.
+
+    facts is broadcast if its measured size (the sum of `size`, in bytes) is at most BROADCAST_BYTES. Else a key of more
+    rows than a limit is dealt out to several partitions by a hash of the column `spread`, and its fact is repeated there.
+    The limit grows with the rows, so that those keys are HOT_KEYS at most, whatever the table.
+    """
+    measured = facts.agg(F.sum(size).alias("size"), F.sum(count).alias("rows")).first()
+    if (measured.size or 0) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(facts.drop(count)), key, "left")
+    limit = max(HOT_ROWS, measured.rows // HOT_KEYS)
+    parts = F.greatest(F.ceil(F.col(count) / limit), F.lit(1)).cast("int")
+    hot = facts.where(F.col(count) > limit).select(key, parts.alias("_parts"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_part", F.pmod(F.xxhash64(spread), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    repeated = facts.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop(count)
+    return dealt.join(repeated, [key, "_part"], "left").drop("_part")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
