@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding of whole texts by a file of token ranks.
 
-Encoding runs in three steps. (1) One pass counts the corpus' blank-separated words. (2) The frequent ones are encoded
-by Spark higher-order functions: a fold over the word's bytes merges, in each step, the neighbouring pair of lowest
-rank, looked up in a literal rank map. (3) The texts are split by the pattern and each piece becomes its ids: frequent
-pieces from the encoded words, which are broadcast (at most `head_words` of them), the others by the same merges in the
-task that meets them. So no text is shuffled. Decoding concatenates the tokens' bytes.
+Encoding runs in three steps. (1) One pass counts the corpus' distinct pieces (matches of the pattern). (2) The frequent
+ones are encoded by Spark higher-order functions: a fold over the array of a piece's bytes merges, in each step, the
+neighbouring pair of lowest rank, looked up in a literal rank map. (3) The texts are split by the pattern and each piece
+becomes its ids: frequent pieces from the fold's, which are broadcast (at most HEAD_PIECES of them), the others by the
+same merges in the task that meets them. So no text is shuffled. Decoding is a fold that concatenates the ids' binary
+tokens, looked up in a literal array.
 """
 
 from __future__ import annotations
@@ -14,24 +15,30 @@ import heapq
 import json
 import uuid
 import zlib
+from collections.abc import Iterator
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 from tapewright.llm.common import written
 
-BUCKETS = 1 << 16
-#: Bound of the broadcast words: their number and their length in characters.
-HEAD_WORDS, HEAD_LENGTH = 1 << 17, 32
-#: A task reports the words that it met so often at least; the others can't be frequent ones.
+BUCKETS = 1 << 14
+#: Bound of the broadcast pieces: their number and their length in characters.
+HEAD_PIECES, HEAD_LENGTH = 1 << 17, 32
+#: A task reports the blank-separated words that it met so often at least; the pieces of others can't be frequent ones.
 TASK_LEAST = 4
 _NONE = 2**31 - 1
-#: Encoded pieces that a Python worker remembers at most.
-_REMEMBERED = 200_000
+#: Encoded pieces that a Python worker remembers at most, besides the broadcast ones.
+_REMEMBERED = 30_000
+#: Rows that are encoded at once, so that a worker holds few texts and ids at a time.
+SLICE_ROWS = 256
+#: Tokens that the inner fold of decoding puts together: bytes are copied about twice, whatever a text's length.
+DECODE_BLOCK = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,11 +48,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks as a literal: an array of small maps from a token in hexadecimal to its rank, placed by the key's crc32 so that a look-up reads one of them."""
+    """The ranks as a literal: an array of small maps from a token in hexadecimal to its rank, placed by the token's crc32 so that a look-up reads one of them."""
     buckets: list[dict] = [{} for _ in range(BUCKETS)]
     for token, rank in ranks.items():
-        key = token.hex().upper()
-        buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank
+        buckets[zlib.crc32(token) % BUCKETS][token.hex().upper()] = rank
     return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
 
 
@@ -54,34 +60,36 @@ def _let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), 0)
 
 
-def _split(state: Column) -> Column:
-    """The pieces of a state: <68><656C> gives 68, 656C."""
-    return F.split(F.translate(F.replace(state, F.lit("><"), F.lit(",")), "<>", ""), ",")
+def fold_merges(piece: Column, ranks: Column) -> Column:
+    """Ids of a piece, array<int>: the fold of ranked merges over the array of its bytes. Null for null, empty for the empty piece.
 
+    Each step merges the neighbouring pair of lowest rank, the first of several; without such a pair nothing changes.
+    """
+    raw = F.encode(piece, "utf-8")
+    one_by_one = F.transform(F.sequence(F.lit(1), F.greatest(F.length(raw), F.lit(1))), lambda i: F.substring(raw, i, F.lit(1)))
 
-def fold_merges(word: Column, ranks: Column) -> Column:
-    """Ids of a short word, array<int>: the fold of ranked merges over its bytes. Null for null, empty for the empty word.
+    def ids(table: Column) -> Column:
+        look = lambda token: F.try_element_at(F.get(table, F.crc32(token).bitwiseAND(BUCKETS - 1).cast("int")), F.hex(token))
 
-    The pieces are kept as hexadecimal digits in angle brackets; one step merges the pair of lowest rank (ties: the
-    smaller left piece) wherever it stands, as later merges of that rank would.
-    """
-    look = lambda key: F.try_element_at(F.get(ranks, F.crc32(key).bitwiseAND(BUCKETS - 1).cast("int")), key)
-    hexed = F.hex(F.encode(word, "utf-8"))
-    start = F.regexp_replace(hexed, "(..)", "<$1>")
+        def merged(parts: Column, low: Column) -> Column:
+            joined = F.concat(F.get(parts, low["at"]), F.get(parts, low["at"] + 1))
+            return F.concat(F.slice(parts, F.lit(1), low["at"]), F.array(joined), F.slice(parts, low["at"] + 3, F.size(parts)))
 
-    def step(state: Column, _: Column) -> Column:
-        pieces = _split(state)
-        pair = lambda a, b: F.struct(F.coalesce(look(F.concat(a, b)), F.lit(_NONE)).alias("rank"), a.alias("a"), b.alias("b"))
-        best = _let(pieces, lambda p: F.array_min(F.zip_with(p, F.slice(p, 2, F.size(p)), pair)))
-        text = lambda *parts: F.concat(F.lit("<"), *parts, F.lit(">"))
-        return _let(best, lambda m: F.when(m["rank"] == _NONE, state).otherwise(F.replace(state, text(m["a"], F.lit("><"), m["b"]), text(m["a"], m["b"]))))
+        def step(parts: Column, _: Column) -> Column:
+            pair = lambda a, b: F.coalesce(look(F.concat(a, b)), F.lit(_NONE))
+            found = F.zip_with(F.slice(parts, F.lit(1), F.size(parts) - 1), F.slice(parts, F.lit(2), F.size(parts)), pair)
+            low = _let(found, lambda r: F.struct(F.array_min(r).alias("rank"), (F.array_position(r, F.array_min(r)) - 1).cast("int").alias("at")))
+            return F.when(F.size(parts) < 2, parts).otherwise(_let(low, lambda m: F.when(m["rank"] == _NONE, parts).otherwise(merged(parts, m))))
 
-    merged = F.aggregate(F.sequence(F.lit(2), F.greatest(F.length(hexed) / 2, F.lit(2)).cast("int")), start, step)
-    return F.when(hexed == "", F.array().cast("array<int>")).otherwise(F.transform(_split(merged), look))
+        parts = F.aggregate(F.sequence(F.lit(2), F.greatest(F.length(raw), F.lit(2))), one_by_one, step)
+        return _let(look(raw), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(parts, look)))
+
+    # the literal stands in the expression once, so the plan holds it once
+    return F.when(raw.isNull(), None).when(F.length(raw) == 0, F.array().cast("array<int>")).otherwise(_let(ranks, ids))
 
 
 def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one piece, by the same merges, for pieces that the broadcast words lack."""
+    """The ids of one piece, by the same merges, for pieces that the broadcast ones lack."""
     if (whole := ranks.get(piece)) is not None:
         return [whole]
     get, n = ranks.get, len(piece)
@@ -145,111 +153,108 @@ _encoders: dict = {}
 
 
 def encoder(key: str, ranks_path: str, pattern: str, known=None) -> Encoder:
-    """The worker's encoder of that key; known is a broadcast of words and ids."""
+    """The worker's encoder of that key; known is a broadcast of pieces and ids."""
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = Encoder(read_ranks(ranks_path), pattern, known.value if known else None)
     return _encoders[key]
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """word, n: how often each blank-separated run of letters stands in the column text. Whole corpus, counted in tasks first."""
+def piece_counts(texts: DataFrame, pattern: str) -> DataFrame:
+    """piece, n: about how often each short piece stands in the column text. Whole corpus, counted in tasks first.
+
+    The blank-separated words are counted and each distinct one is split, with a blank before it. That only chooses
+    which pieces are frequent.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = regex.compile(pattern).findall
 
-    def count(batches):
-        def rows(c: Counter) -> pa.RecordBatch:
-            words = [w for w, n in c.items() if n >= TASK_LEAST and w.isalpha() and len(w) < HEAD_LENGTH]
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([c[w] for w in words], pa.int64())], ["word", "n"])
+        def rows(words: Counter) -> pa.RecordBatch:
+            pieces: Counter = Counter()
+            for w, n in words.items():
+                if n >= TASK_LEAST:
+                    for p in split(" " + w):
+                        if len(p) <= HEAD_LENGTH:
+                            pieces[p] += n
+            return pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.string()), pa.array(list(pieces.values()), pa.int64())], ["piece", "n"])
 
         c: Counter = Counter()
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t:
-                    c.update(t.split(" "))
-                    if len(c) > 500_000:
-                        yield rows(c)
-                        c.clear()
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                for t in batch.column(0).slice(at, SLICE_ROWS).to_pylist():
+                    if t:
+                        c.update(t.split(" "))
+                if len(c) > 200_000:
+                    yield rows(c)
+                    c.clear()
         yield rows(c)
 
-    return texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(texts: DataFrame, most: int = HEAD_WORDS) -> DataFrame:
-    """The most frequent words, at most `most` of them: all that are more frequent than the limit that a histogram of frequencies gives."""
-    counts = written(word_counts(texts))
+def frequent_pieces(texts: DataFrame, pattern: str, most: int = HEAD_PIECES) -> DataFrame:
+    """The most frequent pieces, at most `most` of them: all that are more frequent than the limit that a histogram of frequencies gives."""
+    counts = written(piece_counts(texts, pattern))
     level = F.floor(F.log2("n") * 8).cast("int")
     kept, limit = 0, None
     for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r.level):
         if kept + r["count"] > most:
             break
         kept, limit = kept + r["count"], r.level
-    return counts.where(level >= limit).select("word") if limit is not None else counts.select("word").limit(0)
+    return counts.where(level >= limit).select("piece") if limit is not None else counts.select("piece").limit(0)
 
 
-def encode_head(spark: SparkSession, words: DataFrame, ranks: dict[bytes, int]) -> dict[str, bytes]:
-    """Ids of each word with a blank before it, by the fold. The words are a bounded set (frequent_words); they come to the driver to be broadcast."""
-    pieces = words.select(F.concat(F.lit(" "), "word").alias("piece")).repartition(max(8, spark.sparkContext.defaultParallelism * 2))
-    rows = pieces.select("piece", fold_merges(F.col("piece"), rank_map(ranks)).alias("ids")).toArrow()
-    values, offsets = np.asarray(rows.column("ids").combine_chunks().flatten()).astype("<u4"), None
-    lengths = np.asarray(rows.column("ids").combine_chunks().value_lengths())
-    offsets = np.concatenate(([0], np.cumsum(lengths)))
-    return {p: values[a:b].tobytes() for p, a, b in zip(rows.column("piece").to_pylist(), offsets[:-1], offsets[1:], strict=True)}
+def encode_head(pieces: DataFrame, ranks: dict[bytes, int]) -> dict[str, bytes]:
+    """Ids of each piece, by the fold. The pieces are a bounded set (frequent_pieces); they come to the driver to be broadcast."""
+    spread = pieces.repartition(max(8, pieces.sparkSession.sparkContext.defaultParallelism * 2))
+    rows = spread.select("piece", fold_merges(F.col("piece"), rank_map(ranks)).alias("ids")).toArrow()
+    ids = rows.column("ids").combine_chunks()
+    ends = np.cumsum(np.asarray(ids.value_lengths()))
+    packed = np.asarray(ids.flatten()).astype("<u4").tobytes()
+    return {p: packed[4 * a : 4 * b] for p, a, b in zip(rows.column("piece").to_pylist(), [0, *ends[:-1]], ends, strict=True)}
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, head_words: int = HEAD_WORDS) -> Column:
-    """The ids of docs.text as a binary column of little-endian unsigned 32-bit integers (unpack gives an array).
+def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] | None = None, head_pieces: int = HEAD_PIECES) -> DataFrame:
+    """The columns `keep` of docs (all, if None) and the ids of docs.text, as `ids` (array<int>) and `packed` (binary).
 
-    Each match of the pattern is encoded by itself, without special tokens. Null and empty texts give no bytes. docs is
-    read once to count words; the column is then for docs.
+    Each match of the pattern is encoded by itself, without special tokens; packed holds the ids as little-endian
+    unsigned 32-bit integers. Null and empty texts, and an empty table, give no ids; every row stays, repeated rows too.
+    Columns of docs named ids or packed are left out. docs is read once more, to count pieces.
     """
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(encode_head(spark, frequent_words(docs, head_words), read_ranks(ranks_path)))
+    known = spark.sparkContext.broadcast(encode_head(frequent_pieces(docs, pattern, head_pieces), read_ranks(ranks_path)))
     key = uuid.uuid4().hex
-
-    @F.arrow_udf("binary")
-    def ids(texts: pa.Array) -> pa.Array:
-        own = encoder(key, ranks_path, pattern, known)
-        return pa.array([own.text(t) for t in texts.to_pylist()], pa.binary())
-
-    return ids(docs["text"])
-
-
-def unpack(ids: Column) -> Column:
-    """Packed ids as array<int>."""
-
-    @F.arrow_udf("array<int>")
-    def lists(packed: pa.Array) -> pa.Array:
-        each = [x or b"" for x in packed.to_pylist()]
-        offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in each], dtype=np.int64)))
-        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(each), "<i4")))
-
-    return lists(ids)
-
-
-_tokens: dict = {}
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "packed")]
+    own = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").alias("_text"))
+    schema = own.drop("_text").schema.add("ids", ArrayType(IntegerType())).add("packed", BinaryType())
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_encoder = encoder(key, ranks_path, pattern, known)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                each = [own_encoder.text(t) for t in batch.column(len(names)).to_pylist()]
+                ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in each]))).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(each), "<i4")))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids, pa.array(each, pa.binary())], [*names, "ids", "packed"])
+
+    return own.mapInArrow(rows, schema)
+
+
+def token_array(ranks: dict[bytes, int]) -> Column:
+    """The tokens by id, array<binary>, as a literal; null where no token has the id."""
+    tokens: list[str | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = base64.b64encode(token).decode()
+    return F.from_json(F.lit(json.dumps(tokens)), "array<binary>")
 
 
 def decode(ids: Column, ranks_path: str) -> Column:
-    """The bytes of the tokens of packed ids, one after the other: binary. Null and no ids give no bytes; an id without a token is an error."""
-
-    @F.arrow_udf("binary")
-    def pieces(packed: pa.Array) -> pa.Array:
-        if ranks_path not in _tokens:
-            ranks = read_ranks(ranks_path)
-            token = [b""] * (max(ranks.values()) + 1)
-            for t, r in ranks.items():
-                token[r] = t
-            lengths = np.array([len(t) for t in token])
-            _tokens[ranks_path] = np.frombuffer(b"".join(token), np.uint8), np.cumsum(lengths) - lengths, lengths
-        blob, starts, lengths = _tokens[ranks_path]
-
-        def one(x: bytes | None) -> bytes:
-            own = np.frombuffer(x or b"", "<u4")
-            n = lengths[own]
-            if not n.all():
-                raise ValueError("an id without a token")
-            ends = np.cumsum(n)
-            return blob[np.repeat(starts[own] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-
-        return pa.array(list(map(one, packed.to_pylist())), pa.binary())
-
-    return pieces(ids)
+    """The ids' tokens, one after the other: binary. Null and no ids give no bytes; an id without a token is an error."""
+    tokens = token_array(read_ranks(ranks_path))
+    nothing = F.unhex(F.lit(""))
+    token = lambda i: F.coalesce(F.get(tokens, i), F.raise_error(F.lit("an id without a token")).cast("binary"))
+    block = lambda k: F.aggregate(F.slice(ids, k * DECODE_BLOCK + 1, F.lit(DECODE_BLOCK)), nothing, lambda done, i: F.concat(done, token(i)))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(ids) / DECODE_BLOCK).cast("int")), block)
+    return F.when(ids.isNull(), nothing).otherwise(F.aggregate(blocks, nothing, lambda done, b: F.concat(done, b)))

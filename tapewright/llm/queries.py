@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.llm import bpe, decontamination, html_template, language_id, line_dedup, near_dup, quality, token_counts, toxicity, url_graph
-from tapewright.llm.common import held_out, table, written
+from tapewright.llm.common import held_out, table
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -26,13 +26,11 @@ def op1_toxic_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BPE_RANKS)
-    docs = table(spark, sf_dir, "documents")
-    # written in between, so that no task needs the Python workers of both directions at once
-    packed = written(docs.select("doc_id", bpe.encode(docs, path, public_tokenizers.PATTERN).alias("ids")))
-    return packed.select(
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, ["doc_id"])
+    return encoded.select(
         "doc_id",
-        (F.length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2("packed", 256).alias("ids_sha256"),
         F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"),
     )
 

@@ -88,15 +88,18 @@ def test_bpe_equals_the_library_and_decodes_to_the_same_bytes(spark):
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
     texts = [*ODD, "naïve café — 東京 🙂 <|endoftext|>", "x" * 5000, *[r.text for r in table(spark, SF, "documents").limit(60).collect()]]
     docs = docs_of(spark, texts)
-    packed = docs.select("doc_id", bpe.encode(docs, path, P.PATTERN).alias("ids"))
-    rows = {r.doc_id: r for r in packed.select("doc_id", bpe.unpack(F.col("ids")).alias("ids"), bpe.decode(F.col("ids"), path).alias("back")).collect()}
+    rows = {r.doc_id: r for r in bpe.encode(docs, path, P.PATTERN).withColumn("back", bpe.decode(F.col("ids"), path)).collect()}
     for i, t in enumerate(texts):
-        assert list(rows[i].ids) == library.encode_ordinary(t or "") and bytes(rows[i].back) == (t or "").encode()
+        ids = library.encode_ordinary(t or "")
+        assert list(rows[i].ids) == ids and bytes(rows[i].packed) == b"".join(x.to_bytes(4, "little") for x in ids)
+        assert bytes(rows[i].back) == (t or "").encode() and rows[i].text == t
+    with pytest.raises(Exception, match="an id without a token"):
+        spark.range(1).select(bpe.decode(F.array(F.lit(60_000)), path)).collect()
 
 
 def test_bpe_fold_equals_the_plain_merges(spark):
     ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
-    pieces = [" the", " wonderful", "a", " zzzq", " Größe", "", None]
+    pieces = [" the", " wonderful", "a", " zzzq", " Größe", "", None, "....!!", " 123456", "\n\n \n", "aaaaaaaaaaaaaaaaa", "東京🙂", " xyzxyzxyz"]
     df = spark.createDataFrame([(p,) for p in pieces], "p string")
     for r in df.select("p", bpe.fold_merges(F.col("p"), bpe.rank_map(ranks)).alias("ids")).collect():
         assert r.ids == (None if r.p is None else bpe.merge_bytes(r.p.encode(), ranks) if r.p else [])
@@ -252,6 +255,91 @@ def test_html_template_text_goes_by_what_varies(spark):
     assert all(got[i] == "Read our paper every day story 0 more of 0 All rights kept" for i in range(12, 17))
 
 
+def hosts_of(pages):
+    return pages.select(F.lit("h").alias("host"), "html", F.xxhash64("page_id", "html").alias("page"))
+
+
+def random_pages(rng, n):
+    """(html, [(place, text, ...)]) of pages of one host: fixed texts, a notice of two texts on most of them, a chance text on most, and stories."""
+    rows = []
+    for i in range(n):
+        items = [("html/body/div", "Daily logo"), ("html/body/div", "Section news")]
+        if rng.random() < 0.7 or i < 2:
+            items += [("html/body/section", "Notice: sale"), ("html/body/section", "until Friday")]
+        items += [("html/body/p", f"story {i} {rng.random()}") for _ in range(rng.randint(1, 4))]
+        items.insert(rng.randint(2, len(items)) if rng.random() < 0.3 else len(items), ("html/body/p", "by chance")) if rng.random() < 0.7 else None
+        items += [("html/body/em", "All rights kept")] * rng.choice([1, 1, 2])
+        items += [("html/body/footer-like", "Imprint")]
+        body = "".join(f"<{p.rsplit('/', 1)[1]}>{t}</{p.rsplit('/', 1)[1]}>" for p, t in items)
+        rows.append((f"<html><body>{body}</body></html>", items))
+    return rows
+
+
+def brute_slots(rows):
+    """Texts that are left of each page when classes of real vectors, in order and nested in one gap of the root, are taken out."""
+    sequences = []
+    for _, items in rows:
+        seq = ["<html", "<body"]
+        for p, t in items:
+            seq += ["<" + p, (p, t)] + ([] if p.endswith("/em") else [">" + p])
+        sequences.append([*seq, ">body", ">html"])
+    n = len(rows)
+    classes = {}
+    for token in {t for s in sequences for t in s}:
+        vector = tuple(s.count(token) for s in sequences)
+        if sum(v > 0 for v in vector) >= n / 2:
+            classes.setdefault(vector, []).append(token)
+    root = max((c for v, c in classes.items() if max(v) == 1 and len(c) > 1), key=len)
+    template = set()
+    for vector, tokens in classes.items():
+        if len(tokens) < 2:
+            continue
+        own = [[t for t in s if t in tokens] for s in sequences]
+        order = next(o for o in own if o)[: len(tokens)]
+        gaps = {sum(x in root for x in s[:i]) for s in sequences for i, t in enumerate(s) if t in tokens} if tokens is not root else {0}
+        if all(t == order[i % len(order)] for o in own for i, t in enumerate(o)) and len(gaps) == 1:
+            template |= set(tokens)
+    return [" ".join(t for p, t in items if (p, t) not in template) for _, items in rows]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_html_template_is_that_of_real_vectors(spark, seed):
+    rows = random_pages(random.Random(seed), 40)
+    pages = spark.createDataFrame([(i, f"http://h.com/{i}", r[0]) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_template.main_texts(pages).collect()}
+    wanted = brute_slots(rows)
+    assert [got[i] for i in range(40)] == wanted
+    assert all("logo" not in t and "sale" not in t for t in wanted) and any("by chance" in t for t in wanted)
+
+
+def test_html_text_changes_when_vectors_are_shuffled(spark):
+    page = lambda i: f'<div class="x1">Acme daily logo text</div><div class="x2"><p>own story number {i}</p></div><div class="x3">All rights kept here</div>'
+    pages = spark.createDataFrame([(i, f"http://h.com/{i}", page(i // 2)) for i in range(8)] * 2, "page_id long, url string, html string")
+    vectors = html_template.token_vectors(hosts_of(pages))
+    texts = lambda v: {r[0]: r[1] for r in html_template.with_plans(pages.withColumn("host", F.lit("h")).withColumn("page", F.lit(1)), html_template.plans(hosts_of(pages), v)).select("page_id", html_template.extract(F.col("html"), F.col("plan"))).collect()}
+    assert texts(vectors) == {i: f"own story number {i // 2}" for i in range(8)}
+    assert texts(vectors.withColumn("v1", F.when(F.col("token") != 0, F.xxhash64("token")))) == {i: f"Acme daily logo text own story number {i // 2} All rights kept here" for i in range(8)}
+
+
+def test_html_slots_of_links_are_menus(spark):
+    page = lambda i: f"<body><div><span><a href=/a>way {i}</a> | <a href=/b>to {i * 7}</a></span></div><section><p>Plain story {i} with <a href=/c>one link {i}</a></p></section></body>"
+    pages = spark.createDataFrame([(i, f"http://h.com/{i}", page(i)) for i in range(6)], "page_id long, url string, html string")
+    assert {r.text for r in html_template.main_texts(pages).collect()} == {f"Plain story {i} with one link {i}" for i in range(6)}
+
+
+def test_facts_of_hot_keys_are_spread_and_every_row_stays(spark, monkeypatch):
+    from tapewright.llm import common
+
+    rows = spark.range(1000).select(F.col("id"), F.when(F.col("id") < 700, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("key"))
+    facts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("key != 'k3'")
+    wanted = [tuple(r) for r in rows.join(facts.drop("n"), "key", "left").select("id", "key", "least").collect()]
+    for limit in (1 << 20, 0):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
+        monkeypatch.setattr(common, "HOT_ROWS", 10)
+        monkeypatch.setattr(common, "HOT_KEYS", 20)
+        assert sorted(map(tuple, common.join_spread(rows, facts, "key", "n", F.length("key"), "id").select("id", "key", "least").collect()), key=str) == sorted(wanted, key=str)
+
+
 def test_quality_base_counts_equal_brute_force(spark):
     rng = random.Random(1)
     texts = [*ODD, *[" ".join(rng.choice("a b c #d e%f \n \t \n\n".split(" ")) for _ in range(n)) for n in (5, 19, 20, 40, 300, 3000)], *[r.text for r in table(spark, SF, "documents").limit(40).collect()]]
