@@ -96,4 +96,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_rank_order_language,
     )
 }
-ORACLES: dict[str, str] = {}
+#: Rules and propagation can be said in SQL; the others are tested against brute force and libraries (tests/llm).
+ORACLES: dict[str, str] = {"op4_link_graph": url_graph.sql(URL_RULES)}

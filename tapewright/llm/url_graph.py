@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import written
+from tapewright.llm.common import join_spread, written
 
 DAMPING, ROUNDS = 0.85, 20
 #: A seed without links has 1 - DAMPING.
@@ -93,16 +93,41 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], limit: float = LIMIT,
 
     Seeds: hosts of which the rules allow (trusted) or block (blocked) at least seed_share of the pages. Without a rule
     a url is blocked if its host's distrust less its trust is `limit` or more, else allowed; an empty host is allowed.
-    Null urls have an empty host and path; rows may repeat.
+    Null urls have an empty host and path; null html has no links; repeated rows each stay and count; an empty table gives
+    no row; other columns are left out. Scores are broadcast if they are small, else hosts of many pages are spread.
     """
     parts = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     ruled = parts.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
     share = lambda v: F.avg((F.coalesce(F.col("fit.verdict"), F.lit("")) == v).cast("double"))
-    hosts = ruled.where(F.col("host") != "").groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked"))
+    hosts = written(ruled.where(F.col("host") != "").groupBy("host").agg(F.count("*").alias("n"), share("allow").alias("allowed"), share("block").alias("blocked")))
     weight = lambda c: F.when(F.col(c) >= seed_share, 1.0).otherwise(0.0)
     seeds = hosts.select("host", weight("allowed").alias("trusted"), weight("blocked").alias("blocked"))
-    scores = host_scores(seeds, host_edges(pages), distrust_split="dst")
-    joined = ruled.join(scores, "host", "left")
+    scores = written(host_scores(seeds, host_edges(pages), distrust_split="dst").join(hosts.select("host", "n"), "host"))
+    joined = join_spread(ruled, scores, "host", "n", F.length("host") + 32, "page_id")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     by_graph = F.when(distrust - trust >= limit, "block").otherwise("allow")
     return joined.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", by_graph).alias("verdict"), F.round(trust, 9).alias("trust"), F.round(distrust, 9).alias("distrust"))
+
+
+def sql(rules: list[tuple[str, str]], limit: float = LIMIT, seed_share: float = SEED_SHARE, damping: float = DAMPING, rounds: int = ROUNDS) -> str:
+    """The same over a view `pages` in DuckDB's SQL, one CTE for each round of propagation."""
+    fits = lambda r: f"((host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}'))"
+    longest = sorted(rules, key=lambda r: (len(r[1]), r[1], r[0]), reverse=True)
+    case = lambda values: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{x}'" for (_, r), x in zip(longest, values, strict=True)) + " END"
+    named = lambda u: f"translate(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}')"
+    ctes = [
+        f"parts AS (SELECT page_id, html, {named("coalesce(url, '')")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages)",
+        f"ruled AS (SELECT *, {case([r for _, r in longest])} AS rule, {case([v for v, _ in longest])} AS fixed FROM parts)",
+        f"seeds AS (SELECT host, avg(CAST(coalesce(fixed, '') = 'allow' AS DOUBLE)) >= {seed_share} AS trusted, avg(CAST(coalesce(fixed, '') = 'block' AS DOUBLE)) >= {seed_share} AS blocked FROM ruled WHERE host <> '' GROUP BY host)",
+        r"""links AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<a\s[^>]*?\bhref\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\s"''>]*)', 1)) AS link FROM parts)""",
+        f"edges AS (SELECT DISTINCT src, dst FROM (SELECT src, {named("CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END")} AS dst FROM links) WHERE src <> '' AND dst <> '' AND src <> dst)",
+    ]
+    # trust is split among a host's links; distrust, against the links, is the mean over the hosts that a host links to
+    for name, seed, a, b in (("trust", "trusted", "src", "dst"), ("distrust", "blocked", "dst", "src")):
+        ctes.append(f"{name}0 AS (SELECT host, {1 - damping}::DOUBLE AS score FROM seeds WHERE {seed})")
+        for i in range(1, rounds + 1):
+            sent = f"SELECT e.{b} AS host, p.score * {damping} / d.n AS score FROM {name}{i - 1} p JOIN edges e ON e.{a} = p.host JOIN (SELECT src, count(*) AS n FROM edges GROUP BY src) d ON d.src = e.src"
+            ctes.append(f"{name}{i} AS (SELECT host, sum(score) AS score FROM (SELECT * FROM {name}0 UNION ALL {sent}) GROUP BY host)")
+    trust, distrust = "coalesce(t.score, 0)", "coalesce(d.score, 0)"
+    return f"""WITH {", ".join(ctes)} SELECT page_id, host, path, rule, coalesce(fixed, CASE WHEN {distrust} - {trust} >= {limit} THEN 'block' ELSE 'allow' END) AS verdict, round({trust}, 9) AS trust, round({distrust}, 9) AS distrust
+FROM ruled LEFT JOIN trust{rounds} t USING (host) LEFT JOIN distrust{rounds} d USING (host)"""

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -237,6 +238,31 @@ def test_hosts_that_link_only_to_blocked_hosts_are_blocked_in_any_number(spark):
     assert [r.verdict for r in got if r.host.startswith("fair")] == ["allow"] * 3
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_url_verdicts_of_random_graphs_equal_the_sql(spark, seed, tmp_path):
+    """Rules, trust, distrust and verdicts over graphs with hubs and farms, in another engine; blocks that come from the graph are among them."""
+    rng = random.Random(seed)
+    hosts = [f"{n}.{d}" for n in "abcdefghijkl" for d in ("example.com", "example.net", "example.org", "Other.edu")]
+    rows = []
+    for i in range(400):
+        host = rng.choice(hosts)
+        near = rng.sample(hosts, 2) if rng.random() < 0.5 else [h for h in hosts if h.endswith(".org")][:1]
+        links = "".join(f"<a class=x href={q}{rng.choice(['http:', ''])}//{h}/x{q}>y</a>" for h in near for q in [rng.choice(["'", '"', ""])])
+        path = rng.choice(["/es/1", "/en/7", "/de/8", "/en/2?q", "/fr/3#f", ""]) if "org" not in host else "/es/2"
+        rows.append((i, f"HTTP://{host}{path}", links if rng.random() < 0.9 else None))
+    rows += [(400, None, "x"), (401, "no host", "<a href='//a.example.com'>"), (402, "http:///es/1", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = url_graph.judge(table(spark, str(tmp_path), "pages"), URL_RULES)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    wanted = con.execute(url_graph.sql(URL_RULES)).df()[got.columns].sort_values("page_id", ignore_index=True)
+    got = got.toPandas().sort_values("page_id", ignore_index=True)
+    assert got[["trust", "distrust"]].sub(wanted[["trust", "distrust"]]).abs().max().max() < 1e-8
+    for c in ("page_id", "host", "path", "rule", "verdict"):
+        assert got[c].fillna("").tolist() == wanted[c].fillna("").tolist()
+    assert {"allow", "block"} == set(got[got.rule.isna()].verdict)
+
+
 def test_html_main_text(spark):
     page = lambda body: f"<html><head><title>t</title><style>p{{}}</style></head><body><nav><a>menu</a></nav><div class='ad'>buy</div><article><h1>Head</h1><p>a &amp; b<br>c <b>d</b>e</p>{body}</article><div id='comments'>me too</div><footer>foot</footer><script>x()</script></body></html>"
     pages = spark.createDataFrame([(i, f"http://h.com/{i}", page(f"<p>own {i}</p>")) for i in range(6)] + [(9, "http://other.org/", "<p>bare &lt;text&gt;</p>"), (10, None, None)], "page_id long, url string, html string")
