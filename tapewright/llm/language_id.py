@@ -11,7 +11,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.llm.common import in_sample, sample_threshold, training_row
@@ -74,21 +74,21 @@ def learn_profiles(docs: DataFrame, most: int = GRAMS, sample_docs: int = SAMPLE
                 codes, n = grams("\n".join(t for t, own in zip(texts, langs, strict=True) if own == lang))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
 
+    # the n-grams of bounded samples, ranked in one job
     totals = sample.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    order = F.struct((-F.col("n")).alias("n"), "code")
-    out = {}
-    for lang, n in sorted(counts.items()):
-        rows = totals.where(F.col("lang") == lang).orderBy(order).limit(most).collect() if n else []
-        if rows:
-            out[lang] = np.array([r.code for r in rows], np.int64)
-    return out
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
+    out: dict[str, list[int]] = {}
+    for r in totals.withColumn("rank", rank).where(F.col("rank") <= most).orderBy("lang", "rank").select("lang", "code").collect():
+        out.setdefault(r.lang, []).append(r.code)
+    return {lang: np.array(codes, np.int64) for lang, codes in out.items()}
 
 
 def identify(text: Column, profiles: dict[str, np.ndarray], most: int = GRAMS) -> Column:
     """struct(lang string, score double) of each text.
 
     lang is `und` and the score 0 for a null text, a text without a letter, and where there is no profile. The score
-    is 1 less the distance's share of its greatest value. Ties go to the language that is first in the alphabet.
+    is 1 less the distance's share of its greatest value. Ties go to the language that is first in the alphabet. Repeated
+    rows get the same result each.
     """
     names = sorted(profiles)
     tables = []
