@@ -16,6 +16,7 @@ SHINGLE_WORDS = 5
 #: A table of so many bytes may be broadcast; beyond it, keys of more rows than HOT_ROWS are spread, and at most HOT_KEYS of them.
 BROADCAST_BYTES = 32 << 20
 HOT_ROWS, HOT_KEYS = 10_000, 100_000
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 #: Bits of a filter of hashes that is broadcast (8 MB, whatever the table): where it lets others through, a join drops them.
 FILTER_BITS = 1 << 26
 
@@ -29,6 +30,12 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES, so that a Python worker holds few texts at a time, however long they are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows, written once as Parquet to the shared folder and read back: lineage ends here and work isn't repeated."""
     spark = df.sparkSession

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.llm import bpe, decontamination, html_template, language_id, line_dedup, near_dup, quality, token_counts, toxicity, url_graph
-from tapewright.llm.common import held_out, table
+from tapewright.llm.common import bounded_batches, held_out, table
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -60,13 +61,20 @@ def op7_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_template.main_texts(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
-def op8_edited_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with three edits: 12 characters cut at a quarter, a note put in at the half, 5 characters replaced at three quarters."""
-    n = F.coalesce(F.length("text"), F.lit(0))
+def three_edits(text: Column) -> Column:
+    """12 characters cut at a quarter, a note put in at the half, 5 characters replaced at three quarters."""
+    n = F.coalesce(F.length(text), F.lit(0))
     edit = lambda at, removed, added: F.struct(F.floor(n * at).cast("int").alias("at"), F.lit(removed).alias("removed"), F.lit(added).alias("added"))
-    edits = F.array(edit(0.25, 12, ""), edit(0.5, 0, " [edited: see note 12]\n"), edit(0.75, 5, "it's"))
-    counted = token_counts.edited_counts(F.col("text"), edits, public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
-    return table(spark, sf_dir, "documents").select("doc_id", counted.alias("c")).select("doc_id", "c.*")
+    return F.array(edit(0.25, 12, ""), edit(0.5, 0, " [edited: see note 12]\n"), edit(0.75, 5, "it's"))
+
+
+def op8_edited_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after three edits: trees are built once, then edited."""
+    path = public_tokenizers.path(BPE_RANKS)
+    docs = table(spark, sf_dir, "documents")
+    kept = docs.select("doc_id", "text", token_counts.trees(F.col("text"), path, public_tokenizers.PATTERN).alias("leaves"))
+    counted = token_counts.edited(F.col("text"), F.col("leaves"), three_edits(F.col("text")), path, public_tokenizers.PATTERN)
+    return kept.select("doc_id", counted.alias("c")).select("doc_id", "c.before", "c.after", "c.text_chars", "c.reencoded_chars")
 
 
 def op9_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +89,17 @@ def op10_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held_out().alias("held_out"), found.alias("f")).select("doc_id", "held_out", F.col("f.lang").alias("lang_pred"), F.col("f.score").alias("score"))
 
 
+def in_bounded_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
+    f.__name__: in_bounded_batches(f)
     for f in (
         op1_toxic_automata,
         op2_byte_bpe,
