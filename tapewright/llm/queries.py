@@ -19,8 +19,8 @@ TOXIC_FROM = 0.3
 
 def op1_toxic_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    words, stems, weights = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    counted = docs.select("doc_id", held_out().alias("held_out"), toxicity.counts(F.col("text"), words, stems).alias("c"))
+    words, stems, reporting, weights = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    counted = docs.select("doc_id", held_out().alias("held_out"), toxicity.counts(F.col("text"), words, stems, reporting).alias("c"))
     scored = counted.withColumn("score", toxicity.score(F.col("c"), weights))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "c.*")
 

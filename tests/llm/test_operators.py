@@ -480,8 +480,34 @@ def test_automata_accept_just_the_words_within_the_distance(spark):
 
 
 def test_quotation_is_told_from_abuse(spark):
-    rows = docs_of(spark, ["you idiot", 'they said "you idiot" to me', "the slur idiot hurts"]).select(toxicity.counts(F.col("text"), ["idiot"], []).alias("c")).select("c.*").collect()
-    assert [(r.exact, r.quoted) for r in rows] == [(1, 0), (0, 1), (0, 1)]
+    texts = ["you idiot", 'they said "you idiot" to me', "the slur idiot hurts", f'"{"x" * 200} idiot"', '"one two three four five idiot"', '"one" idiot "two"', "«a» idiot «b»", "«an idiot»", 'far " a b c d e f g h idiot"']
+    rows = docs_of(spark, texts).select("doc_id", toxicity.counts(F.col("text"), ["idiot"], []).alias("c")).orderBy("doc_id").select("c.*").collect()
+    quoted = [r.quoted for r in rows]
+    assert all(r.exact + r.quoted == pytest.approx(1) for r in rows)
+    assert quoted[0] == 0 and quoted[1] > 0.9 and quoted[2] == 1 and quoted[3] > 0.9 and 0.3 < quoted[4] < quoted[1]
+    assert quoted[5] == quoted[6] == quoted[8] == 0 and quoted[7] > 0.9
+
+
+def test_reporting_words_are_learned_in_any_language(spark):
+    filler = "und dann gingen alle ruhig nach hause um zu essen " * 6
+    rows = [(f"{filler} er nannte ihn idiot nummer {i} {filler}", 0) for i in range(12)] + [(f"du bist ein idiot wie immer {i}", 1) for i in range(40)]
+    found = toxicity.learn_reporting(spark.createDataFrame(rows, "text string, toxic int"), ["idiot"], [])
+    assert found["nannte"] == 1 and "ein" not in found and "zu" not in found and set(toxicity.REPORTING) <= set(found)
+
+
+def test_states_are_bounded_and_forgetting_changes_nothing(monkeypatch):
+    rng = random.Random(2)
+    terms = ["".join(rng.choice("abcdef") for _ in range(rng.randint(4, 13))) for _ in range(60)]
+    tries = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(3, 13))) for _ in range(300)] + [t[:3] + t[4:] for t in terms] + terms
+    wanted = [toxicity.Automaton(terms, ["abc"]).kind(t) for t in tries]
+    monkeypatch.setattr(toxicity, "MOST_STATES", 50)
+    monkeypatch.setattr(toxicity, "MOST_REMEMBERED", 10)
+    own = toxicity.Automaton(terms, ["abc"])
+    assert [own.kind(t) for t in tries] == wanted and len(own.states) < 100 and len(own.known) <= 10
+    allowed = lambda t: 0 if len(t) < toxicity.ONE_EDIT else 1 if len(t) < toxicity.TWO_EDITS else 2
+    for t, kind in zip(tries, wanted, strict=True):
+        near = [edit_distance(t, x) for x in terms if edit_distance(t, x) <= allowed(x)]
+        assert kind == (1 if t.startswith("abc") or 0 in near else 2 if near else 0), t
 
 
 def test_pipeline_equals_its_stages_done_plainly(spark, tmp_path):
