@@ -45,24 +45,31 @@ def swing_distance() -> Column:
     return F.when(F.col("interval").isin(*FAST_WIDTHS), 8).otherwise(12)
 
 
-def recent(df: DataFrame) -> DataFrame:
-    """The last HISTORY rows of each key, with _pos from 0 and _len."""
-    own = Window.partitionBy(*KEY)
-    return tail(df, HISTORY).withColumns({"_pos": F.row_number().over(own.orderBy("ts")) - 1, "_len": F.count("*").over(own)})
+def gathered(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """key, _rows, _len and the context of the newest row: the last HISTORY rows of each key as one array of struct(pos, columns).
+
+    last_close is the newest close, confirm_change that less the one CONFIRM - 1 rows before, close_range_atr the mean
+    over 14 rows of the range of the closes of 14 rows. One exchange by key serves the ranking and the grouping.
+    """
+    own = Window.partitionBy(*KEY).orderBy("ts")
+    span = own.rowsBetween(-13, 0)
+    rows = tail(df, HISTORY).withColumn("_pos", F.row_number().over(own) - 1)
+    rows = rows.withColumn("_range", F.when(F.count("close").over(span) == 14, F.max("close").over(span) - F.min("close").over(span)))
+    rows = rows.withColumns({"_atr": F.when(F.count("_range").over(span) == 14, F.avg("_range").over(span)), "_change": F.col("close") - F.lag("close", CONFIRM - 1).over(own)})
+    point = F.struct(F.col("_pos").cast("int").alias("pos"), *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
+    newest = F.max_by(F.struct(F.col("close").alias("last_close"), F.col("_change").alias("confirm_change"), F.col("_atr").alias("close_range_atr")), "_pos")
+    return rows.groupBy(*KEY).agg(F.sort_array(F.collect_list(point)).alias("_rows"), F.count("*").cast("int").alias("_len"), newest.alias("_newest"))
 
 
-def extrema(df: DataFrame, column: str) -> DataFrame:
-    """df (of recent) with _high and _low: whether the value is above, or below, all its neighbours within the swing window. The first and last row never are."""
-    w = Window.partitionBy(*KEY).orderBy("_pos")
-    value = F.col(f"`{column}`")
+def extrema(values: Column, n: Column, highs: bool) -> Column:
+    """Of an array of struct(pos, value) those whose value is above (or below) all of the n before and the n behind it. The first and last never are."""
+    most = F.array_max if highs else F.array_min
 
-    def side(agg, beats, n: int) -> Column:
-        left, right = agg(value).over(w.rowsBetween(-n, -1)), agg(value).over(w.rowsBetween(1, n))
-        return F.coalesce(beats(value, left) & beats(value, right), F.lit(False))
+    def beats(x: Column, others: Column) -> Column:
+        limit = most(F.transform(others, lambda y: y["value"]))
+        return F.coalesce(x["value"] > limit if highs else x["value"] < limit, F.lit(False))
 
-    more, less = (lambda a, b: a > b), (lambda a, b: a < b)
-    fast = F.col("interval").isin(*FAST_WIDTHS)
-    return df.withColumns({"_high": F.when(fast, side(F.max, more, 5)).otherwise(side(F.max, more, 7)), "_low": F.when(fast, side(F.min, less, 5)).otherwise(side(F.min, less, 7))})
+    return F.filter(values, lambda x, i: beats(x, F.slice(values, F.greatest(i - n, F.lit(0)) + 1, F.least(n, i))) & beats(x, F.slice(values, i + 2, n)))
 
 
 def spaced(points: Column, distance: Column) -> Column:
@@ -72,19 +79,22 @@ def spaced(points: Column, distance: Column) -> Column:
     return F.aggregate(points, empty, lambda kept, x: F.when(F.coalesce(far(kept, x), F.lit(True)), F.concat(kept, F.array(x))).otherwise(kept))
 
 
-def swings(df: DataFrame, column: str) -> DataFrame:
-    """key, highs, lows: arrays of struct(pos, value), spaced, of the last RECENT_BARS bars, the last KEPT_SWINGS of them. df is of recent()."""
-    marked = extrema(df.where(F.col(f"`{column}`").isNotNull()), column)
-    point = F.struct(F.col("_pos").cast("int").alias("pos"), F.col(f"`{column}`").cast("double").alias("value"))
-    lists = marked.groupBy(*KEY).agg(
-        F.sort_array(F.collect_list(F.when(F.col("_high"), point))).alias("highs"), F.sort_array(F.collect_list(F.when(F.col("_low"), point))).alias("lows"), F.max("_len").alias("_len"), F.count("*").alias("_known")
-    )
+def with_swings(lists: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """lists (of gathered) with _h, _l and _known of each column by its place: the last KEPT_SWINGS spaced highs and lows of the last RECENT_BARS bars, and how many values are known."""
+    value = lambda c: F.transform(F.filter("_rows", lambda x: x[c].isNotNull()), lambda x: F.struct(x["pos"].alias("pos"), x[c].alias("value")))
+    lists = lists.withColumns({f"_v{i}": value(c) for i, c in enumerate(columns)})
 
-    def chosen(name: str) -> Column:
-        late = F.filter(spaced(F.col(name), swing_distance()), lambda x: x["pos"] >= F.col("_len") - RECENT_BARS)
+    def chosen(values: Column, highs: bool) -> Column:
+        late = F.filter(spaced(extrema(values, swing_window(), highs), swing_distance()), lambda x: x["pos"] >= F.col("_len") - RECENT_BARS)
         return F.slice(late, F.greatest(F.size(late) - KEPT_SWINGS + 1, F.lit(1)), KEPT_SWINGS)
 
-    return lists.select(*KEY, chosen("highs").alias("highs"), chosen("lows").alias("lows"), "_known")
+    found = {f"_{side}{i}": chosen(F.col(f"_v{i}"), side == "h") for i in range(len(columns)) for side in "hl"}
+    return lists.withColumns({**found, **{f"_known{i}": F.size(f"_v{i}") for i in range(len(columns))}})
+
+
+def swings(df: DataFrame, column: str) -> DataFrame:
+    """key, highs, lows: arrays of struct(pos, value) of a column's swings."""
+    return with_swings(gathered(df, (column,)), (column,)).select(*KEY, F.col("_h0").alias("highs"), F.col("_l0").alias("lows"))
 
 
 def nearest(points: Column, pos: Column) -> Column:
@@ -106,33 +116,47 @@ def _pairs(points: Column, others: Column) -> Column:
     return F.flatten(F.transform(index, lambda i: F.transform(F.filter(index, lambda j: j > i), lambda j: row(i, j))))
 
 
+def best_pairs(lists: DataFrame) -> DataFrame:
+    """key, _newest and pairs, an array of struct(indicator, class, p1, p2, q1, q2, strength, swing_price): the strongest divergence of each indicator and class.
+
+    lists is of gathered, with close and the SWING_INDICATORS.
+    """
+    lists = with_swings(lists, ("close", *SWING_INDICATORS))
+    parts = []
+    for i, name in enumerate(SWING_INDICATORS, 1):
+        usable = lambda c, i=i: F.when(F.col(f"_known{i}") >= LEAST_ROWS, F.col(f"{c}{i}"))
+        parts.append(F.struct(F.lit(name).alias("indicator"), _pairs(F.col("_l0"), usable("_l")).alias("low"), _pairs(F.col("_h0"), usable("_h")).alias("high")))
+    kinds = {
+        "REG_BULLISH": ("low", lambda x: (x["p2"] < x["p1"]) & (x["q2"] > x["q1"])),
+        "HID_BULLISH": ("low", lambda x: (x["p2"] > x["p1"]) & (x["q2"] < x["q1"])),
+        "REG_BEARISH": ("high", lambda x: (x["p2"] > x["p1"]) & (x["q2"] < x["q1"])),
+        "HID_BEARISH": ("high", lambda x: (x["p2"] < x["p1"]) & (x["q2"] > x["q1"])),
+    }
+
+    def rated(x: Column) -> Column:
+        strength = (F.try_divide(F.abs(x["p2"] - x["p1"]), F.abs(x["p1"])) + F.try_divide(F.abs(x["q2"] - x["q1"]), F.abs(x["q1"]))) / 2
+        return F.struct(strength.alias("strength"), (-x["i"]).alias("i"), (-x["j"]).alias("j"), *[x[c].alias(c) for c in ("p1", "p2", "q1", "q2")])
+
+    def best(part: Column, name: str) -> Column:
+        side, test = kinds[name]
+        top = F.array_max(F.filter(F.transform(F.filter(part[side], test), rated), lambda r: r["strength"] > LEAST_STRENGTH))
+        price = top["p2"] if name.startswith("REG") else top["p1"]
+        return F.when(top.isNotNull(), F.struct(part["indicator"].alias("indicator"), F.lit(name).alias("class"), *[top[c].alias(c) for c in ("p1", "p2", "q1", "q2", "strength")], price.alias("swing_price")))
+
+    lists = lists.select(*KEY, "_newest", F.array(*parts).alias("_parts"))
+    found = F.flatten(F.transform("_parts", lambda part: F.array(*[best(part, name) for name in kinds])))
+    return lists.select(*KEY, "_newest", F.filter(found, lambda x: x.isNotNull()).alias("pairs"))
+
+
 def divergence_pairs(df: DataFrame) -> DataFrame:
     """The strongest divergence of each key, indicator and class: key, indicator, class, p1, p2, q1, q2, strength, swing_price.
 
     df: rows with close and the SWING_INDICATORS. An indicator with fewer than LEAST_ROWS known values takes no part;
-    pairs whose first indicator value is 0, and those weaker than LEAST_STRENGTH, are left out. Of equals the first
+    pairs whose first indicator value is 0, and those not stronger than LEAST_STRENGTH, are left out. Of equals the first
     pair stays.
     """
-    own = recent(df)
-    price = swings(own, "close").select(*KEY, F.col("highs").alias("price_highs"), F.col("lows").alias("price_lows"))
-    found = None
-    for name in SWING_INDICATORS:
-        part = price.join(swings(own, name).where(F.col("_known") >= LEAST_ROWS), list(KEY)).withColumn("indicator", F.lit(name))
-        found = part if found is None else found.unionByName(part)
-    low, high = _pairs(F.col("price_lows"), F.col("lows")), _pairs(F.col("price_highs"), F.col("highs"))
-    kinds = {
-        "REG_BULLISH": (low, lambda x: (x["p2"] < x["p1"]) & (x["q2"] > x["q1"])),
-        "HID_BULLISH": (low, lambda x: (x["p2"] > x["p1"]) & (x["q2"] < x["q1"])),
-        "REG_BEARISH": (high, lambda x: (x["p2"] > x["p1"]) & (x["q2"] < x["q1"])),
-        "HID_BEARISH": (high, lambda x: (x["p2"] < x["p1"]) & (x["q2"] > x["q1"])),
-    }
-    tagged = F.array(*[F.struct(F.lit(k).alias("class"), F.filter(pairs, test).alias("pairs")) for k, (pairs, test) in kinds.items()])
-    rows = found.select(*KEY, "indicator", F.explode(tagged).alias("t")).select(*KEY, "indicator", "t.class", F.explode("t.pairs").alias("x")).select(*KEY, "indicator", "class", "x.*")
-    strength = (F.try_divide(F.abs(F.col("p2") - F.col("p1")), F.abs("p1")) + F.try_divide(F.abs(F.col("q2") - F.col("q1")), F.abs("q1"))) / 2
-    rows = rows.withColumn("strength", strength).where(F.col("strength") >= LEAST_STRENGTH)
-    best = rows.groupBy(*KEY, "indicator", "class").agg(F.max_by(F.struct("p1", "p2", "q1", "q2", "strength"), F.struct(F.col("strength"), -F.col("i"), -F.col("j"))).alias("b"))
-    swing_price = F.when(F.col("class").startswith("REG"), F.col("p2")).otherwise(F.col("p1"))
-    return best.select(*KEY, "indicator", "class", "b.*").withColumn("swing_price", swing_price)
+    found = best_pairs(gathered(df, ("close", *SWING_INDICATORS)))
+    return found.select(*KEY, F.explode("pairs").alias("x")).select(*KEY, "x.*")
 
 
 def risk_reward(close: Column, swing: Column, atr: Column, strength: Column, bullish: Column) -> Column:
@@ -143,32 +167,21 @@ def risk_reward(close: Column, swing: Column, atr: Column, strength: Column, bul
     return F.when(risk > 0, F.least(F.greatest(risk * multiple / risk, F.lit(0.5)), F.lit(5.0))).otherwise(0.0)
 
 
-def key_context(df: DataFrame) -> DataFrame:
-    """key, last_close, confirm_change (the last close less that CONFIRM - 1 rows before), close_range_atr (mean of 14-row ranges of the close over 14 rows)."""
-    own = Window.partitionBy(*KEY)
-    w = own.orderBy("_pos")
-    rows = recent(df)
-    span = w.rowsBetween(-13, 0)
-    rows = rows.withColumn("_range", F.when(F.count("close").over(span) == 14, F.max("close").over(span) - F.min("close").over(span)))
-    rows = rows.withColumns({"_atr": F.when(F.count("_range").over(span) == 14, F.avg("_range").over(span)), "_change": F.col("close") - F.lag("close", CONFIRM - 1).over(w)})
-    return rows.where(F.col("_pos") == F.col("_len") - 1).select(*KEY, F.col("close").alias("last_close"), F.col("_change").alias("confirm_change"), F.col("_atr").alias("close_range_atr"))
-
-
 def divergence_consensus(df: DataFrame) -> DataFrame:
     """One row for each key: counts by class, confirmed counts, mean strength, greatest risk/reward, and the consensus with its text."""
+    found = best_pairs(gathered(df, ("close", *SWING_INDICATORS)))
+    pairs = found.select(*KEY, "_newest.*", F.explode_outer("pairs").alias("x")).select(*KEY, "last_close", "confirm_change", "close_range_atr", "x.*")
     bullish = F.col("class").endswith("BULLISH")
-    pairs = divergence_pairs(df).join(key_context(df), list(KEY))
     confirmed = F.coalesce(F.when(bullish, F.col("confirm_change") > 0).otherwise(F.col("confirm_change") < 0), F.lit(False))
-    reward = risk_reward(F.col("last_close"), F.col("swing_price"), F.coalesce("close_range_atr", F.lit(0.0)), F.col("strength"), bullish)
-    pairs = pairs.withColumns({"_bull": bullish, "_confirmed": confirmed, "_rr": reward})
-    counted = pairs.groupBy(*KEY).agg(
+    reward = F.when(F.col("class").isNotNull(), risk_reward(F.col("last_close"), F.col("swing_price"), F.coalesce("close_range_atr", F.lit(0.0)), F.col("strength"), bullish))
+    pairs = pairs.withColumns({"_bull": bullish, "_confirmed": confirmed & F.col("class").isNotNull(), "_rr": reward})
+    every = pairs.groupBy(*KEY).agg(
         *[F.count_if(F.col("class") == c).alias(f"DIV_{c}") for c in CLASSES],
         F.count_if(F.col("_confirmed") & F.col("_bull")).alias("confirmed_bullish"),
         F.count_if(F.col("_confirmed") & ~F.col("_bull")).alias("confirmed_bearish"),
         F.avg("strength").alias("avg_strength"),
         F.max("_rr").alias("max_rr"),
     )
-    every = df.select(*KEY).distinct().join(counted, list(KEY), "left")
     zero = {c: F.coalesce(c, F.lit(0)) for c in [*[f"DIV_{c}" for c in CLASSES], "confirmed_bullish", "confirmed_bearish"]}
     every = every.withColumns({**zero, "avg_strength": F.coalesce("avg_strength", F.lit(0.0)), "max_rr": F.coalesce("max_rr", F.lit(0.0))})
     bear, bull = 2 * F.col("DIV_REG_BEARISH") + F.col("DIV_HID_BEARISH"), 2 * F.col("DIV_REG_BULLISH") + F.col("DIV_HID_BULLISH")

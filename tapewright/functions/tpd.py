@@ -20,7 +20,8 @@ LEAST_ROWS, MOST_NULLS = 50, 0.1
 SHARES = {"rsi": 0.25, "mfi": 0.25, "smi": 0.25, "cci": 0.15, "wil": 0.10}
 STRONG_LEVEL, LEVEL = 45.0, 15.0
 OUTPUTS = ("TPD", "TPD_Reliability", "TPD_Momentum", "TPD_Volatility_Factor", "TPD_Raw_Signal", "TPD_Divergence", "TPD_Signal", "TPD_Trend", "TPD_Risk", "TPD_MTF_Confluence", "TPD_Strength")
-BUYS, SELLS = ("STRONG_BUY", "BUY", "WEAK_BUY"), ("STRONG_SELL", "SELL", "WEAK_SELL")
+BUYS = ("STRONG_BUY", "BUY", "WEAK_BUY", "MOMENTUM_REVERSAL_BUY")
+SELLS = ("STRONG_SELL", "SELL", "WEAK_SELL", "MOMENTUM_REVERSAL_SELL")
 
 
 def clip(value: Column, low: float, high: float) -> Column:
@@ -67,8 +68,9 @@ def oscillators(df: DataFrame) -> DataFrame:
     middle = F.col("close") - (F.max("high").over(last(14)) + F.min("low").over(last(14))) / 2
     spread = F.max("high").over(last(14)) - F.min("low").over(last(14))
     full = F.col("_rn") >= 14
-    df = df.withColumns({"_mid": F.when(full, middle), "_spread": F.when(full, spread)})
-    df = df.withColumn("_smi", ratio(100 * roll("_mid", 3), roll("_spread", 3) / 2))
+    # a range of zero counts as missing, and a missing oscillator as 0
+    df = df.withColumns({"_mid": F.when(full, middle), "_spread": F.nullif(F.when(full, spread), F.lit(0.0))})
+    df = df.withColumn("_smi", either(ratio(100 * roll("_mid", 3), roll("_spread", 3) / 2), 0.0))
     upto = series().rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumns({new: F.last(old, ignorenulls=True).over(upto) for new, old in {"_f_rsi": "RSI", "_f_mfi": "MFI", "_f_smi": "_smi", "_f_cci": "_cci", "_f_wil": "WIL", "_f_adx": "ADX"}.items()})
     z = ratio(F.col("_f_cci") - roll("_f_cci", 100), roll("_f_cci", 100, F.stddev_samp))
@@ -166,17 +168,21 @@ def risk() -> Column:
     return F.when(total > 0.7, "HIGH").when(total < 0.3, "LOW").otherwise("MEDIUM")
 
 
+def weighted(bars: DataFrame) -> DataFrame:
+    """The blocked last rows of each key with TPD and the oscillators' weights in it (_w_ and the name)."""
+    return score(oscillators(volatility(recursive_indicators(blocked(window_rows(bars))))))
+
+
 def tpd(bars: DataFrame) -> DataFrame:
     """The last rows of each key with OUTPUTS and the parts that they are made of; keys with too few rows give none."""
-    df = blocked(window_rows(bars))
-    df = signals(score(oscillators(volatility(recursive_indicators(df)))))
+    df = signals(weighted(bars))
     df = df.withColumn("TPD_Divergence", divergence())
     df = df.withColumn("TPD_Signal", F.when(F.col("interval").isin("1m", "3m", "5m"), confirmed(3)).otherwise(confirmed(2)))
     df = df.withColumns({"_s5": roll("TPD", 5), "_s10": roll("TPD", 10), "_s20": roll("TPD", 20)})
     above = lambda c: known(F.col(c) > 0)
     same = lambda a, b: (above(a) == above(b)).cast("double")
     confluence = 0.4 * same("_s5", "_s10") + 0.4 * same("_s10", "_s20") + 0.2 * clip(F.abs(F.col("_s5") - F.col("_s20")) / 50, 0, 1)
-    strength = F.abs("TPD") / 100 * F.col("TPD_Reliability") * clip(1 / F.col("_factor"), 0.5, 1.2) * (1 + 0.3 * clip(F.abs("TPD_Momentum") / 5, 0, 1))
+    strength = F.abs("TPD") / 100 * F.col("TPD_Reliability") * clip(either(ratio(F.lit(1.0), F.col("_factor")), 1.0), 0.5, 1.2) * (1 + 0.3 * clip(F.abs("TPD_Momentum") / 5, 0, 1))
     df = df.withColumns(
         {
             "TPD_Trend": F.when(known(F.col("_slope3") > 0.5), "UPTREND").when(known(F.col("_slope3") < -0.5), "DOWNTREND").otherwise("SIDEWAYS"),

@@ -135,67 +135,87 @@ def fib_nearest_level(spark, sf_dir):
     return rounded(rows.select("symbol", "ts", "near.name", "near.level"))
 
 
-@query()
+@query(sql.SIMPLE_QUERY)
 def ind_divergence_simple(spark, sf_dir):
     rows = indicators(bars(spark, sf_dir), ["MFI", "RSI", "MCD", "VOL", "CCI", "CMF", "WIL", "+DI"])
     return finished(divergence.simple_divergence(blocked(rows))).select(*KEY, "ts", "DIV")
 
 
-@query()
+@query(sql.filled_query([c for n in DEFAULT_SET for c in columns_of(n)]))
 def ind_default_set_filled(spark, sf_dir):
     """All default indicators with the reference fill."""
     return rounded(indicators(bars(spark, sf_dir), DEFAULT_SET, fill="reference"))
 
 
 # --- swings and divergence --------------------------------------------------------------------------------------------
-@query()
+@query(sql.SWINGS_QUERY)
 def swing_points(spark, sf_dir):
-    return divergence.swings(divergence.recent(bars(spark, sf_dir)), "close").select(*KEY, F.to_json("highs").alias("highs"), F.to_json("lows").alias("lows"))
+    return divergence.swings(bars(spark, sf_dir), "close").select(*KEY, F.to_json("highs").alias("highs"), F.to_json("lows").alias("lows"))
 
 
 def _swing_rows(spark, sf_dir):
     return indicators(bars(spark, sf_dir), divergence.SWING_INDICATORS)
 
 
-@query()
+@query(sql.PAIRS_QUERY)
 def divergence_pairs(spark, sf_dir):
     return rounded(divergence.divergence_pairs(_swing_rows(spark, sf_dir)))
 
 
-@query()
+@query(sql.DIVERGENCE_QUERY)
 def divergence_consensus(spark, sf_dir):
     return rounded(divergence.divergence_consensus(_swing_rows(spark, sf_dir)))
 
 
 # --- composite ----------------------------------------------------------------------------------------------------------
-for _name, _cols in {
-    "tpd_score": ("TPD", "TPD_Volatility_Factor", "TPD_Reliability", "TPD_Momentum"),
-    "tpd_signals": ("TPD_Raw_Signal", "TPD_Signal", "TPD_Divergence", "TPD_Trend", "TPD_Risk"),
-    "tpd_strength": ("TPD_MTF_Confluence", "TPD_Strength"),
-    "tpd_volatility": ("tpd_std", "tpd_parkinson", "tpd_garman_klass"),
-}.items():
-    query(None, _name)(lambda spark, sf_dir, cols=_cols: rounded(tpd.tpd(bars(spark, sf_dir)).select(*KEY, "ts", *cols)))
-_RET = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
-ORACLES["tpd_volatility"] = f"""WITH {sql.TICKS}, {sql.bars("4h")}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret, pow(ln(high / low), 2) AS hl2, pow(ln(close / open), 2) AS co2 FROM bars),
-g AS (SELECT *, 0.5 * hl2 - (2 * ln(2) - 1) * co2 AS gk FROM r), m AS (SELECT *, avg(gk) {_RET} AS gkm FROM g) SELECT symbol, "interval", ts, CASE WHEN rn >= 21 THEN round(stddev_samp(ret) {_RET}, 6) END AS tpd_std, CASE WHEN rn >= 20 THEN round(sqrt(avg(hl2) {_RET}) * sqrt(252), 6) END AS tpd_parkinson, CASE WHEN rn >= 20 AND gkm >= 0 THEN round(sqrt(greatest(gkm, 0)) * sqrt(252), 6) END AS tpd_garman_klass FROM m"""
+for _name, _numbers, _texts in (
+    ("tpd_score", "TPD,TPD_Volatility_Factor,TPD_Reliability,TPD_Momentum", ""),
+    ("tpd_signals", "", "TPD_Raw_Signal,TPD_Signal,TPD_Divergence,TPD_Trend,TPD_Risk"),
+    ("tpd_strength", "TPD_MTF_Confluence,TPD_Strength", ""),
+):
+    query(sql.composite_query(_numbers, _texts), _name)(
+        lambda spark, sf_dir, cols=tuple(filter(None, f"{_numbers},{_texts}".split(","))): rounded(tpd.tpd(bars(spark, sf_dir)).select(*KEY, "ts", *cols))
+    )
 
 
-@query()
+@query(
+    f"""WITH {sql.SERIES}, {sql.TPD} SELECT symbol, "interval", ts, round(vstd, 6) AS tpd_std, round(vpark, 6) AS tpd_parkinson, round(vgk, 6) AS tpd_garman_klass FROM composite"""
+)
+def tpd_volatility(spark, sf_dir):
+    return rounded(tpd.tpd(bars(spark, sf_dir)).select(*KEY, "ts", "tpd_std", "tpd_parkinson", "tpd_garman_klass"))
+
+
+@query(sql.WEIGHTS_QUERY)
+def tpd_weights(spark, sf_dir):
+    """The share of each oscillator in each row's score."""
+    rows = tpd.weighted(bars(spark, sf_dir))
+    total = sum((F.col(f"_w_{k}") for k in list(tpd.SHARES)[1:]), F.col("_w_rsi"))
+    return rounded(rows.where(~F.col("_halo")).select(*KEY, "ts", *[(F.col(f"_w_{k}") / total).alias(f"w_{k}") for k in tpd.SHARES]))
+
+
+@query(sql.CONFIRMED_QUERY)
+def tpd_confirmed(spark, sf_dir):
+    """The rows with a raw signal, and whether its checks left it as it was."""
+    rows = tpd.tpd(bars(spark, sf_dir)).where(F.col("TPD_Raw_Signal") != "NEUTRAL")
+    return rows.select(*KEY, "ts", "TPD_Raw_Signal", "TPD_Signal", (F.col("TPD_Raw_Signal") == F.col("TPD_Signal")).alias("kept"))
+
+
+@query(sql.ANALYSIS_QUERY)
 def tpd_analysis(spark, sf_dir):
     return reports.analysis(tpd.tpd(bars(spark, sf_dir))).withColumn("recent_signals", F.to_json("recent_signals"))
 
 
-@query()
+@query(sql.RECOMMENDATION_QUERY)
 def tpd_recommendation(spark, sf_dir):
     return reports.recommendation(reports.analysis(tpd.tpd(bars(spark, sf_dir))))
 
 
-@query()
+@query(sql.METRICS_QUERY)
 def tpd_metrics(spark, sf_dir):
     return rounded(reports.metrics(tpd.tpd(bars(spark, sf_dir))))
 
 
-@query()
+@query(sql.SHARES_QUERY)
 def tpd_signal_shares(spark, sf_dir):
     return rounded(reports.shares(tpd.tpd(bars(spark, sf_dir)), "TPD_Signal"))
 
