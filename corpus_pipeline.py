@@ -7,15 +7,19 @@ stage's docs. Rows may have null ids, texts and languages; a null or wordless te
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.llm import bpe, decontamination, language_id, line_dedup, near_dup
-from tapewright.llm.common import shared_folder, table, written
+from tapewright.llm.common import bounded_batches, delete, shared_folder, table, written_paths
 from tapewright.llm.queries import BPE_RANKS
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents in a known language and puts it into lang. Those without a letter (und) go."""
@@ -35,31 +39,40 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays: that with the least id."""
-    kept = near_dup.classes(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return near_dup.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    blocks = decontamination.indexes(table(spark, sf_dir, "benchmark"))
-    return docs.where(F.size(decontamination.leaks(F.col("text"), blocks)) == 0)
+    return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids, and whether they decode to the text's bytes."""
     path = public_tokenizers.path(BPE_RANKS)
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("text_sha256")
-    packed = written(docs.select("doc_id", "lang", "source", bpe.encode(docs, path, public_tokenizers.PATTERN).alias("ids"), digest))
+    keep = ["doc_id", "lang", "source", "text_sha256"]
+    encoded = bpe.encode(docs.select(*keep[:-1], digest, "text"), path, public_tokenizers.PATTERN, keep)
     same = F.sha2(bpe.decode(F.col("ids"), path), 256) == F.col("text_sha256")
-    return packed.select("doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    checked = encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "packed", same.alias("round_trip"))
+    return checked.withColumnRenamed("packed", "ids")
+
+
+def in_bounded_batches(stage: Stage) -> Stage:
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
 STAGES = [
-    ("language_id", identify_language),
-    ("line_dedup", dedup_lines),
-    ("near_dedup", dedup_near),
-    ("decontamination", decontaminate),
-    ("byte_bpe", encode_tokens),
+    ("language_id", in_bounded_batches(identify_language)),
+    ("line_dedup", in_bounded_batches(dedup_lines)),
+    ("near_dedup", in_bounded_batches(dedup_near)),
+    ("decontamination", in_bounded_batches(decontaminate)),
+    ("byte_bpe", in_bounded_batches(encode_tokens)),
 ]
 
 #: SQL has no banded signatures, rank-order profiles or merges, so the pipeline is tested against brute force.
@@ -67,9 +80,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, from its written table; all other tables that the stages wrote are deleted."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline/{uuid.uuid4().hex}"
+    before = len(written_paths)
+    done = []
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}_{name}")
         docs = spark.read.parquet(f"{folder}/{i}_{name}")
+        done.append(f"{folder}/{i}_{name}")
+    delete(spark, done[:-1] + written_paths[before:])
+    del written_paths[before:]
     return docs
