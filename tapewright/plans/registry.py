@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -18,6 +19,7 @@ from tapewright.operators.bars import all_bars, derive, keep_last, merge_poll, r
 from tapewright.operators.blocks import blocked, finished
 from tapewright.plans import oracles as sql
 from tapewright.plans.dims import DEFAULT_SET, KEY, PRESETS, derived_table
+from tapewright.sources import messages as msg
 from tapewright.sources.ticks import event_ticks, order_ticks, table
 from tapewright.streaming import live
 
@@ -390,7 +392,10 @@ def nearest_asof_tolerance(spark, sf_dir):
 
 # --- streams, run over all there is --------------------------------------------------------------------------------------------------
 def _scratch(spark: SparkSession) -> str:
+    """A new folder in the one that all executors share; a local one only in local mode without a shared one (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{(shared or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
@@ -423,9 +428,104 @@ def stream_live_upsert(spark, sf_dir):
     return rounded(newest.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 
 
-@query()
+def _bar_stream(spark: SparkSession, rows: DataFrame, folder: str, name: str = "in", files: int = 3) -> DataFrame:
+    """Bars as a stream of a few files in the order of time, with seq."""
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("seq", F.unix_seconds("ts"))
+    rows.repartitionByRange(files, "ts").write.parquet(f"{folder}/{name}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}")
+
+
+def _ordered_stream(spark: SparkSession, rows: DataFrame, folder: str, order: str, files: int = 3) -> DataFrame:
+    """Rows as a stream of files that are written one after the other, by ranges of a number; a micro-batch has one of them."""
+    cuts = [float("-inf"), *rows.approxQuantile(order, [i / files for i in range(1, files)], 0.01), float("inf")]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        rows.where((F.col(order) > low) & (F.col(order) <= high)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def _collected(stream: DataFrame, folder: str, each: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """All rows that a finished stream gave, with the number of their micro-batch in _batch."""
+    spark = stream.sparkSession
+    live.serve(stream, lambda df, i: each(df).withColumn("_batch", F.lit(i)).write.mode("append").parquet(f"{folder}/out"), f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+_LIVE_SET = ("SMA_20", "RSM", "RSI", "EMA", "CCI", "WIL", "VOL", "SR")
+
+
+@query(f"""WITH {sql.SERIES}, {sql.LATEST} SELECT symbol, "interval", ts, {sql.rounded("close, SMA_20, RSM, RSI, EMA_3, EMA_8, EMA_Signal, CCI, WIL, Net_Volume_Raw, Net_Volume, Net_Volume_Z")} FROM latest""")
+def stream_live_indicators(spark, sf_dir):
+    """The forming bar of each key with the live indicators after all of a stream of bars; SR is left out on the live path."""
+    folder = _scratch(spark)
+    windows = live.live_windows(live.events(bars=_bar_stream(spark, bars(spark, sf_dir), folder)))
+    rows = _collected(windows, folder, lambda df: live.live_indicators(df.drop("seq"), _LIVE_SET))
+    newest = keep_last(rows, "_batch", KEY)
+    return rounded(newest.select(*KEY, F.col("ts").cast("timestamp_ntz").alias("ts"), "close", *[F.col(f"`{c}`") for n in _LIVE_SET if n != "SR" for c in columns_of(n)]))
+
+
+@query(
+    f"""WITH {sql.TICKS}, {sql.bars("4h")}, late AS (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 5)
+SELECT symbol, "interval", ts, round(close + 1, 6) AS close, round(volume, 6) AS volume FROM late"""
+)
+def stream_snapshot_replace(spark, sf_dir):
+    """The live window of each key after a stream of bars and then a snapshot of five changed bars: the snapshot's bars are all that is left."""
+    folder = _scratch(spark)
+    rows = bars(spark, sf_dir)
+    seq = lambda df: df.withColumn("seq", F.unix_seconds(F.col("ts").cast("timestamp")))
+    changed = serving.tail(rows, 5).withColumn("close", F.col("close") + 1).withColumn("seq", F.lit(1 << 40))
+    stream = _ordered_stream(spark, live.events(bars=seq(rows), snapshots=changed), folder, "seq")
+    given = _collected(live.live_windows(stream), folder)
+    last = given.groupBy(*KEY).agg(F.max("_batch").alias("_batch"))
+    return rounded(given.join(last, [*KEY, "_batch"]).select(*KEY, F.col("ts").cast("timestamp_ntz").alias("ts"), "close", "volume"))
+
+
+_DUE = "SELECT p.symbol, p.id, p.ts, min((q.ts, q.id)) AS next FROM ordered p LEFT JOIN ordered q ON q.symbol = p.symbol AND q.ts >= p.ts + INTERVAL 6 HOUR GROUP BY ALL"
+
+
+@query(
+    f"""WITH RECURSIVE {sql.TICKS}, ordered AS (SELECT symbol, ts, id, price FROM ticks), links AS ({_DUE}),
+given AS (SELECT symbol, arg_min(id, (ts, id)) AS id FROM ordered GROUP BY symbol UNION ALL SELECT l.symbol, l.next[2] AS id FROM given g JOIN links l USING (symbol, id) WHERE l.next IS NOT NULL)
+SELECT symbol, '4h' AS "interval", ts AS "at", price FROM ordered JOIN given USING (symbol, id)"""
+)
+def stream_throttle(spark, sf_dir):
+    """The ticks of each key that a throttle of six hours lets through, over a stream."""
+    folder = _scratch(spark)
+    rows = ticks(spark, sf_dir).select("symbol", F.lit("4h").alias("interval"), F.col("ts").cast("timestamp").alias("at"), "price")
+    stream = _ordered_stream(spark, rows.withColumn("second", F.unix_seconds("at")), folder, "second").drop("second")
+    given = _collected(live.throttled(stream, gap_s=6 * 3600.0), folder)
+    return given.select(*KEY, F.col("at").cast("timestamp_ntz").alias("at"), "price")
+
+
+@query(
+    f"""WITH {sql.TICKS}, {sql.bars("4h")}, latest AS (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1)
+SELECT symbol, "interval", ts, round(close, 6) AS close, TIMESTAMP '2024-01-31 00:02:00' AS expires_at FROM latest WHERE symbol <> 'view'"""
+)
 def stream_throttle_ttl(spark, sf_dir):
     """Live rows that are due, with the time at which they expire."""
     rows = serving.latest(bars(spark, sf_dir))
     emitted = rows.select(*KEY, F.when(F.col("symbol") == "view", F.lit(NOW)).otherwise(F.lit(NOW) - F.expr("INTERVAL 1 HOUR")).alias("emitted_at"))
-    return live.with_ttl(live.due(rows, emitted, NOW), NOW).select(*KEY, "ts", "close", "expires_at")
+    given = live.unexpired(live.with_ttl(live.due(rows, emitted, NOW), NOW), NOW)
+    return rounded(given.select(*KEY, "ts", "close", F.col("expires_at").cast("timestamp_ntz").alias("expires_at")))
+
+
+# --- decoders ------------------------------------------------------------------------------------------------------------------------
+@query(f"""WITH {sql.TICKS}, {sql.bars("4h")} SELECT symbol, "interval", ts, {sql.rounded(sql.OHLCV)}, symbol = 'view' AS poll FROM bars""")
+def decode_struct_of_arrays(spark, sf_dir):
+    """Bars packed into one message of arrays for each key, and decoded again."""
+    rows = bars(spark, sf_dir).groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("ts", "open", "high", "low", "close", "volume"))).alias("r"))
+    part = lambda c: F.transform("r", lambda x: x[c])
+    times = F.transform("r", lambda x: F.unix_millis(x["ts"].cast("timestamp")))
+    data = F.to_json(F.struct(times.alias("time"), *[part(c).alias(c) for c in ("open", "high", "low", "close")], part("volume").alias("vol")))
+    raw = rows.select(F.to_json(F.struct(F.lit("mexc_rest").alias("t"), *KEY, (F.col("symbol") == "view").alias("poll"), data.alias("data"))).alias("value"))
+    decoded = msg.struct_of_arrays(msg.messages(raw))
+    return rounded(decoded.withColumn("ts", F.col("ts").cast("timestamp_ntz")).select(*KEY, "ts", "open", "high", "low", "close", "volume", "poll"))
+
+
+@query(f"""WITH {sql.TICKS}, {sql.bars("4h")} SELECT symbol, "interval", ts, {sql.rounded(sql.OHLCV)} FROM bars""")
+def decode_array_rows(spark, sf_dir):
+    """Bars packed into one message of rows for each key, numbers as texts, and decoded again."""
+    fields = F.array(F.unix_millis(F.col("ts").cast("timestamp")).cast("string"), *[F.col(c).cast("string") for c in ("open", "high", "low", "close", "volume")])
+    rows = bars(spark, sf_dir).groupBy(*KEY).agg(F.to_json(F.collect_list(fields)).alias("data"))
+    raw = rows.select(F.to_json(F.struct(F.lit("bnc_rest").alias("t"), *KEY, "data")).alias("value"))
+    decoded = msg.array_rows(msg.messages(raw))
+    return rounded(decoded.withColumn("ts", F.col("ts").cast("timestamp_ntz")).select(*KEY, "ts", "open", "high", "low", "close", "volume"))

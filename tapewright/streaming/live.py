@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tapewright.plans.dims import KEY, STALE_S, WIDTHS, by_interval
+from tapewright.functions.indicators import indicators
+from tapewright.operators.serving import latest
+from tapewright.plans.dims import HEAVY_SET, KEY, STALE_S, WIDTHS, by_interval
 
-#: Bars that the live state keeps of each key; later events for older bars are too late.
+#: Bars that the live state keeps of each key where only the forming bar is wanted; later events for older bars are too late.
 KEPT_BARS = 3
 EVENT = "symbol string, interval string, kind string, ts timestamp, open double, high double, low double, close double, volume double, seq long"
 LIVE = "symbol string, interval string, ts timestamp, open double, high double, low double, close double, volume double, seq long"
@@ -33,14 +35,16 @@ def tumbling_bars(ticks: DataFrame, interval: str, late: str = "1 day") -> DataF
     return bars.select("symbol", F.lit(interval).alias("interval"), F.col("w.start").alias("ts"), *_PRICES)
 
 
-def events(bars: DataFrame | None = None, ticks: DataFrame | None = None, patches: DataFrame | None = None, intervals: list[str] | None = None) -> DataFrame:
-    """One event form of bars (kind bar), ticks (kind tick, for each of the intervals) and price patches (kind patch).
+def events(bars: DataFrame | None = None, ticks: DataFrame | None = None, patches: DataFrame | None = None, intervals: list[str] | None = None, snapshots: DataFrame | None = None) -> DataFrame:
+    """One event form of bars (kind bar), ticks (kind tick, for each of the intervals), price patches (kind patch) and bars of whole snapshots (kind snapshot).
+
+    Bars of a poll are of kind bar: they only add to what is known. The bars of one snapshot share their seq.
 
     Each may have a column seq that puts the events of a key in order; without it they are in no order within a batch.
     """
 
     def form(df: DataFrame, kind: str) -> DataFrame:
-        have = {"close": "price"} if kind != "bar" else {}
+        have = {"close": "price"} if kind in ("tick", "patch") else {}
         column = lambda c, t: F.col(have.get(c, c)).cast(t) if have.get(c, c) in df.columns else F.lit(None).cast(t)
         kinds = [x.split() for x in EVENT.split(", ")]
         return df.select(*[F.lit(kind).alias(c) if c == "kind" else (F.coalesce(column(c, t), F.lit(0)) if c == "seq" else column(c, t)).alias(c) for c, t in kinds])
@@ -48,6 +52,8 @@ def events(bars: DataFrame | None = None, ticks: DataFrame | None = None, patche
     parts = []
     if bars is not None:
         parts.append(form(bars, "bar"))
+    if snapshots is not None:
+        parts.append(form(snapshots, "snapshot"))
     if ticks is not None:
         every = F.explode(F.array(*[F.lit(i) for i in intervals or WIDTHS]))
         parts.append(form(ticks.withColumn("interval", every), "tick"))
@@ -59,18 +65,22 @@ def events(bars: DataFrame | None = None, ticks: DataFrame | None = None, patche
     return out
 
 
-def apply_events(kept: list[list], rows: pd.DataFrame) -> list[list]:
-    """The newest KEPT_BARS bars [ts, open, high, low, close, volume] after the events, in the order of seq.
+def apply_events(kept: list[list], rows: pd.DataFrame, most: int = KEPT_BARS) -> list[list]:
+    """The newest `most` bars [ts, open, high, low, close, volume] after the events, in the order of seq.
 
-    A bar replaces the one of its ts, or is put in its place; those behind the kept ones are too late. A tick moves the
-    last bar's close, high and low; a patch only its close; both do nothing before there is a bar.
+    A bar replaces the one of its ts, or is put in its place; those behind the kept ones are too late. A snapshot's bars
+    replace all bars. A tick moves the last bar's close, high and low; a patch only its close; both do nothing before
+    there is a bar.
     """
     bars = {b[0]: b for b in kept}
+    snapshot = None
     for e in rows.sort_values(["seq", "ts"], kind="stable").itertuples(index=False):
-        if e.kind == "bar":
-            if len(bars) < KEPT_BARS or e.ts >= min(bars):
+        if e.kind in ("bar", "snapshot"):
+            if e.kind == "snapshot" and e.seq != snapshot:
+                bars, snapshot = {}, e.seq
+            if len(bars) < most or e.ts >= min(bars):
                 bars[e.ts] = [e.ts, e.open, e.high, e.low, e.close, e.volume]
-                while len(bars) > KEPT_BARS:
+                while len(bars) > most:
                     del bars[min(bars)]
         elif bars:
             own = bars[max(bars)]
@@ -80,15 +90,25 @@ def apply_events(kept: list[list], rows: pd.DataFrame) -> list[list]:
     return [bars[t] for t in sorted(bars)]
 
 
-def _live(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    kept = [[pd.Timestamp(t), *v] for t, *v in state.get[0]] if state.exists else []
-    seq = state.get[1] if state.exists else 0
-    for rows in batches:
-        kept = apply_events(kept, rows)
-        seq = max(seq, int(rows["seq"].max()))
-    if kept:
-        state.update(([[b[0].to_datetime64().astype("datetime64[us]").astype(object), *map(float, b[1:])] for b in kept], seq))
-        yield pd.DataFrame([[*key, *kept[-1], seq]], columns=["symbol", "interval", "ts", *_PRICES, "seq"])
+def _live(whole: bool) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """Gives out a key's forming bar, or all bars of its width's window."""
+
+    def live(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        width = WIDTHS.get(key[1])
+        most = KEPT_BARS if not whole else width.window if width else 200
+        kept = [[pd.Timestamp(t), *v] for t, *v in state.get[0]] if state.exists else []
+        seq = state.get[1] if state.exists else 0
+        for rows in batches:
+            kept = apply_events(kept, rows, most)
+            seq = max(seq, int(rows["seq"].max()))
+        if kept:
+            state.update(([[b[0].to_datetime64().astype("datetime64[us]").astype(object), *map(float, b[1:])] for b in kept], seq))
+            yield pd.DataFrame([[*key, *b, seq] for b in (kept if whole else kept[-1:])], columns=["symbol", "interval", "ts", *_PRICES, "seq"])
+
+    return live
+
+
+_STATE = "bars array<struct<ts:timestamp,open:double,high:double,low:double,close:double,volume:double>>, seq long"
 
 
 def live_rows(events: DataFrame) -> DataFrame:
@@ -96,8 +116,46 @@ def live_rows(events: DataFrame) -> DataFrame:
 
     State of a key: KEPT_BARS bars. Keys are dealt out by hash, so events of a key meet in one place in each batch.
     """
-    state = "bars array<struct<ts:timestamp,open:double,high:double,low:double,close:double,volume:double>>, seq long"
-    return events.groupBy(*KEY).applyInPandasWithState(_live, LIVE, state, "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy(*KEY).applyInPandasWithState(_live(False), LIVE, _STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def live_windows(events: DataFrame) -> DataFrame:
+    """The same with all bars of each touched key's window (at most 300, by its width), from which live_indicators follow."""
+    return events.groupBy(*KEY).applyInPandasWithState(_live(True), LIVE, _STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def live_indicators(windows: DataFrame, names: tuple[str, ...] | list[str]) -> DataFrame:
+    """The newest row of each key of a micro-batch of live_windows, with the indicators less those that the live path leaves out (HEAVY_SET).
+
+    They are the batch indicators over the window, so what looks further back than that begins with it.
+    """
+    return latest(indicators(windows, [n for n in names if n not in HEAVY_SET]))
+
+
+def _gated(gap_s: float | None, heavy: bool) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    def gate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        width = WIDTHS.get(key[1])
+        gap = gap_s if gap_s is not None else (width.heavy_throttle_s if heavy else width.throttle_s) if width else 2.0
+        last = state.get[0] if state.exists else None
+        for rows in batches:
+            kept = []
+            for i, at in rows["at"].sort_values(kind="stable").items():
+                if last is None or at.timestamp() - last >= gap:
+                    last = at.timestamp()
+                    kept.append(i)
+            yield rows.loc[kept]
+        if last is not None:
+            state.update((last,))
+
+    return gate
+
+
+def throttled(rows: DataFrame, heavy: bool = False, gap_s: float | None = None) -> DataFrame:
+    """Of a stream of rows (key, `at` TIMESTAMP and others) those of each key that are a gap or more behind the last one given out.
+
+    The gap is by width (heavy: the composite's), or gap_s seconds for all. State of a key: one time.
+    """
+    return rows.groupBy(*KEY).applyInPandasWithState(_gated(gap_s, heavy), rows.schema, "last double", "update", GroupStateTimeout.NoTimeout)
 
 
 def due(rows: DataFrame, emitted: DataFrame, now, heavy: bool = False) -> DataFrame:

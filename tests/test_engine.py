@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tapewright.functions import divergence, native
+from tapewright.functions import divergence, native, tpd
 from tapewright.functions.consensus import consensus
 from tapewright.functions.indicators import indicators
 from tapewright.operators import reports, serving, store
@@ -22,7 +22,7 @@ from tapewright.streaming import live
 
 SF = "/root/testdata/sf0.001"
 T0 = datetime.datetime(2024, 1, 1)
-CHECKED = ["bars_resample_4h", "bars_derived_3d", "ind_mfi", "ind_rsi", "ind_adx_di", "ind_smi", "ind_cci", "ind_net_volume", "ind_vortex", "kns_trend", "nearest_asof_tolerance", "upsert_poll_merge", "stream_live_upsert"]
+CHECKED = ["bars_resample_4h", "bars_derived_3d", "ind_mfi", "ind_rsi", "ind_adx_di", "ind_smi", "ind_cci", "ind_net_volume", "ind_vortex", "kns_trend", "tpd_score", "tpd_signals", "tpd_strength", "tpd_metrics", "tpd_recommendation", "swing_points", "divergence_consensus", "ind_divergence_simple", "nearest_asof_tolerance", "upsert_poll_merge", "stream_live_upsert"]
 
 
 def comparable(columns, rows):
@@ -126,7 +126,7 @@ def test_sr_signal(spark, close, wanted):
 
 def test_swings_are_spaced_and_never_at_the_ends(spark):
     closes = [50 + 10 * math.sin(i * math.pi / 10) for i in range(100)]
-    own = divergence.swings(divergence.recent(bars_of(spark, closes)), "close").first()
+    own = divergence.swings(bars_of(spark, closes), "close").first()
     highs = [p.pos for p in own.highs]
     assert highs and all(closes[p] == pytest.approx(60) for p in highs) and all(b - a >= 12 for a, b in zip(highs, highs[1:], strict=False)) and min(highs) >= 50
 
@@ -143,6 +143,26 @@ def test_simple_divergence_marks_and_confidence(spark):
     assert rows[0].DIV == "➖" and rows[1].DIV.startswith("🟢M|🟢R") and rows[1].DIV.endswith("(H)")
 
 
+def test_composite_of_a_flat_tail_has_neutral_values(spark):
+    closes = [50 + 10 * math.sin(i / 3) + i % 4 for i in range(60)] + [55.0] * 30
+    rows = tpd.tpd(bars_of(spark, closes)).orderBy("ts").collect()
+    assert len(rows) == 90 and not any(isinstance(v, float) and math.isnan(v) for r in rows for v in r.asDict().values())
+    assert rows[-1].TPD_Volatility_Factor == pytest.approx(0) and rows[-1].TPD_Strength >= 0
+
+
+def test_a_reversal_of_the_other_side_weakens_a_signal(spark):
+    raw = ["NEUTRAL", "MOMENTUM_REVERSAL_SELL", "NEUTRAL", "BUY", "NEUTRAL", "NEUTRAL", "NEUTRAL", "BUY"]
+    rows = [("s", "4h", 0, i + 1, r, 0.0, "NO_DIVERGENCE") for i, r in enumerate(raw)]
+    df = spark.createDataFrame(rows, "symbol string, interval string, _block int, _rn int, TPD_Raw_Signal string, TPD_Momentum double, TPD_Divergence string")
+    got = [r.s for r in df.select("_rn", tpd.confirmed(2).alias("s")).orderBy("_rn").collect()]
+    assert got[3] == "WEAK_BUY" and got[7] == "BUY"
+
+
+def test_divergence_shares_one_gathering_of_each_key(spark):
+    plan = QUERIES["divergence_consensus"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") <= 8 and plan.count("FlatMapGroupsInPandas") == 2
+
+
 def test_message_decoders(spark):
     kline = {"t": "bnc_kline", "k": json.dumps({"s": "AUSDT", "i": "1m", "t": 1704067200000, "o": "1", "h": "2", "l": "0.5", "c": "1.5", "v": "9"})}
     arrays = {"t": "mexc_rest", "symbol": "B", "interval": "1h", "poll": True, "data": json.dumps({"time": [1704067200, 1704070800], "open": [1, 2], "high": [1, 2], "low": [1, 2], "close": [1, 2], "vol": [3, 4]})}
@@ -205,11 +225,12 @@ def test_throttle_and_ttl(spark):
 
 
 def test_every_query_without_sql_runs(spark):
-    for name in ("tpd_signals", "tpd_recommendation", "tpd_metrics", "divergence_consensus", "user_selection_grid", "ind_default_set_filled"):
+    assert {*QUERIES} - {*ORACLES} <= {"user_selection_grid", "stream_throttle_ttl"}
+    for name in ("user_selection_grid", "ind_default_set_filled"):
         assert QUERIES[name](spark, SF).count() > 0, name
 
 
-def test_plans_share_one_exchange_for_all_windows(spark):
+def test_windows_add_no_exchange_to_those_that_number_and_deal_out_blocks(spark):
     plan = QUERIES["ind_bollinger"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(symbol") <= 6
     assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string,value:double>" in plan
