@@ -99,7 +99,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     bits = hash_filter(stats, "hash")
     copies = docs.where(F.length("text") > 0).select(*keys, F.explode(_chunks(F.col("text"), True, bits)).alias("c")).select("k1", "k2", "c.*")
     copies = written(copies.join(stats, "hash").withColumn("is_first", own == F.col("first")).drop("first"))
-    firsts = copies.where("is_first").dropDuplicates(["hash"]).select("hash", F.col("chunk").alias("first_chunk"))
+    # written, so that both sides of the join are plain exchanges and a hot chunk's copies can be split
+    firsts = written(copies.where("is_first").dropDuplicates(["hash"]).select("hash", F.col("chunk").alias("first_chunk")))
     return copies.where(~F.col("is_first")).join(firsts, "hash").where(F.col("chunk") == F.col("first_chunk")).select("k1", "k2", "at", "lines").distinct()
 
 
