@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,15 +22,28 @@ BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 FILTER_BITS = 1 << 26
 
 
+#: The folders of `written` of this driver, for callers that know when they can go.
+written_paths: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a new local one in local mode (tests), and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return found.rstrip("/")
 
 
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders by the file system that they are in."""
+    jvm = spark.sparkContext._jvm
+    for path in map(jvm.org.apache.hadoop.fs.Path, paths):
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Sets the session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES, so that a Python worker holds few texts at a time, however long they are."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -41,6 +55,7 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/written/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    written_paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,18 +10,22 @@ found anywhere in the document is then counted exactly, and is a leak from 0.8 o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import SHINGLE_WORDS, flat, mix, shingles, word_hashes
+from tapewright.llm.common import SHINGLE_WORDS, flat, mix, shingles, word_hashes, written
 
 HASHES = 48
 THRESHOLD = 0.8
 SMALLEST = 8
 #: Characters of items in one block: the search index of a block is broadcast, and is at most about 30 times that in bytes.
 BLOCK_CHARS = 1 << 20
+#: Blocks that are broadcast at a time.
+GROUP_BLOCKS = 4
 _MULTIPLIERS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _TABLE_BITS = 18
 
@@ -97,22 +101,27 @@ class Index:
         return out
 
 
-def indexes(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list:
-    """Broadcast indexes of all items (item_id, text), in blocks of about so many characters. Items without words are in none."""
+def index_groups(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, group: int = GROUP_BLOCKS) -> Iterator[list]:
+    """Broadcast indexes of all items (item_id, text), in blocks of about block_chars characters, `group` of them at a time. Items without words are in none.
+
+    The next group is made when it is asked for, so the driver and the executors hold one group at a time, whatever the
+    benchmark's size, if the caller has used the last one up.
+    """
     spark = benchmark.sparkSession
     total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // block_chars)
-    out = []
-    for i in range(n):
-        own = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).select("item_id", word_hashes(F.col("text")).alias("h")).distinct().collect()
-        out.append(spark.sparkContext.broadcast(Index([r.item_id for r in own], [np.array(r.h, np.int64).view(np.uint64) for r in own])))
-    return out
+    for at in range(0, n, group):
+        blocks = []
+        for i in range(at, min(n, at + group)):
+            own = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).select("item_id", word_hashes(F.col("text")).alias("h")).distinct().collect()
+            blocks.append(spark.sparkContext.broadcast(Index([r.item_id for r in own], [np.array(r.h, np.int64).view(np.uint64) for r in own])))
+        yield blocks
 
 
 def leaks(text: Column, blocks: list, threshold: float = THRESHOLD) -> Column:
     """array of struct(item_id, item_shingles, shared): the items of which a text holds at least that share of the shingles.
 
-    Null texts, and texts without words, hold none. All blocks are looked up, so the number of items has no cap.
+    Null texts, and texts without words, hold none. blocks is a group of index_groups; leak_rows and without_leaks go through all.
     """
 
     @F.arrow_udf("array<struct<item_id:bigint,item_shingles:int,shared:int>>")
@@ -131,3 +140,42 @@ def leaks(text: Column, blocks: list, threshold: float = THRESHOLD) -> Column:
         return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(cols, ["item_id", "item_shingles", "shared"]))
 
     return found(word_hashes(text))
+
+
+def leak_rows(docs: DataFrame, benchmark: DataFrame, **sizes: int) -> DataFrame:
+    """doc_id, item_id, item_shingles, shared: a row for each row of docs and each item that its text holds.
+
+    A benchmark of more than one group of blocks takes a pass over docs for each, written before the next one begins.
+    An empty benchmark, an empty table and null texts give no row; repeated rows each give theirs; other columns of docs
+    are left out.
+    """
+    out = None
+    groups = index_groups(benchmark, **sizes)
+    blocks = next(groups, None)
+    while blocks:
+        found = docs.select("doc_id", F.explode(leaks(F.col("text"), blocks)).alias("x")).select("doc_id", "x.*")
+        following = None
+        if len(blocks) == sizes.get("group", GROUP_BLOCKS):  # there may be more
+            found = written(found)
+            for b in blocks:
+                b.unpersist()
+            following = next(groups, None)
+        out = found if out is None else out.unionByName(found)
+        blocks = following
+    none = docs.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("item_shingles"), F.lit(0).alias("shared")).limit(0)
+    return none if out is None else out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, **sizes: int) -> DataFrame:
+    """The rows of docs whose text holds no item of the benchmark. Null texts stay."""
+    groups = index_groups(benchmark, **sizes)
+    blocks = next(groups, None)
+    while blocks:
+        docs = docs.where(F.size(leaks(F.col("text"), blocks)) == 0)
+        if len(blocks) < sizes.get("group", GROUP_BLOCKS):
+            break
+        docs = written(docs)
+        for b in blocks:
+            b.unpersist()
+        blocks = next(groups, None)
+    return docs

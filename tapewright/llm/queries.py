@@ -46,9 +46,7 @@ def op4_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and item that it holds."""
-    blocks = decontamination.indexes(table(spark, sf_dir, "benchmark"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", decontamination.leaks(F.col("text"), blocks).alias("found"))
-    rows = docs.select("doc_id", F.explode("found").alias("x")).select("doc_id", "x.*")
+    rows = decontamination.leak_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return rows.withColumn("containment", F.col("shared") / F.col("item_shingles"))
 
 

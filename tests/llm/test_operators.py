@@ -170,10 +170,7 @@ def test_leaks_are_the_brute_force_containments(spark):
             own = [w if rng.random() < kept else "zzz" for w in it]
             texts.append(" ".join(item(rng.choice([0, 50, 3000])) + own + item(rng.choice([0, 300]))))
     bench = spark.createDataFrame([(i, " ".join(it)) for i, it in enumerate(items)] + [(90, None), (91, "")], "item_id long, text string")
-    got = set()
-    blocks = decontamination.indexes(bench, block_chars=1500)
-    for r in docs_of(spark, texts).select("doc_id", decontamination.leaks(F.col("text"), blocks).alias("f")).collect():
-        got |= {(r.doc_id, x.item_id) for x in r.f}
+    docs = docs_of(spark, texts)
     want = set()
     for d, t in enumerate(texts):
         for i, it in enumerate(items):
@@ -181,7 +178,10 @@ def test_leaks_are_the_brute_force_containments(spark):
             own, mine = set(grams(" ".join(it), n)), set(grams(t, n))
             if len(own & mine) >= 0.8 * len(own):
                 want.add((d, i))
-    assert got == want
+    for sizes in ({"block_chars": 1500, "group": 1}, {"block_chars": 900, "group": 2}, {}):  # several passes, or one
+        assert {(r.doc_id, r.item_id) for r in decontamination.leak_rows(docs, bench, **sizes).collect()} == want
+        assert {r.doc_id for r in decontamination.without_leaks(docs, bench, **sizes).collect()} == set(range(len(texts))) - {d for d, _ in want}
+    assert decontamination.leak_rows(docs, bench.limit(0)).count() == 0 and decontamination.without_leaks(docs, bench.limit(0)).count() == len(texts)
 
 
 def brute_line_dedup(texts):
