@@ -115,4 +115,5 @@ def identify(text: Column, profiles: dict[str, np.ndarray], most: int = GRAMS) -
             scores.append(1 - found[best] / (most * len(own)))
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
-    return nearest(text)
+    # so that a filter on the result doesn't evaluate it once more
+    return nearest.asNondeterministic()(text)
