@@ -13,6 +13,7 @@ from tapewright.plans.dims import DEFAULT_SET
 RECURSIVE = {"RSI": ("RSI",), "ADX": ("ADX", "+DI", "-DI"), "+DI": ("ADX", "+DI", "-DI"), "-DI": ("ADX", "+DI", "-DI"), "EMA": ("EMA_3", "EMA_8", "EMA_Signal"), "MCD": ("MCD", "MCD_Signal", "MCD_Hist"), "SMI": ("SMI", "SMI_Signal"), "ADO": ("ADO",)}
 TREND = ("COMBINED_TREND", "COMBINED_TREND_SIGNAL", "TRD_ADX", "TRD_PLUS_DI", "TRD_MINUS_DI", "TRD_RSI")
 LEAST_ROWS = 30
+SUMMED = ("CVD", "OBV")
 
 
 def trend(df: DataFrame) -> DataFrame:
@@ -37,10 +38,12 @@ def indicators(bars: DataFrame, names: tuple[str, ...] | list[str] = DEFAULT_SET
     """
     names = list(dict.fromkeys(names))
     df = blocked(bars, rows, halo)
+    # running sums join a carry made of the frame so far, so they come while that is only the bars
+    for n in (n for n in names if n in SUMMED):
+        df = NATIVE[n][0](df)
     if any(n in RECURSIVE or n == "TRD" for n in names):
         df = recursive_indicators(df)
-    # running sums join a carry, so they come last
-    for n in sorted((n for n in names if n in NATIVE), key=lambda n: n in ("CVD", "OBV")):
+    for n in (n for n in names if n in NATIVE and n not in SUMMED):
         df = NATIVE[n][0](df)
     if "TRD" in names:
         df = trend(df)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.operators.blocks import full, last, running_sum, series
+from tapewright.operators.blocks import PARTITION, full, last, running_sum, series
 from tapewright.plans.dims import KEY, WIDTHS, by_interval
 
 SR_PERIOD, SR_TOLERANCE = 14, 0.003
@@ -191,8 +191,12 @@ NATIVE: dict[str, tuple[Callable[[DataFrame], DataFrame], tuple[str, ...]]] = {
 
 
 def filled(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Blocked rows with the last known value in place of a null, then 0 for numbers."""
+    """Blocked rows with the last known value in place of a null, however far back in the series it stands, then 0 for numbers."""
     upto = series().rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*KEY).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     kinds = dict(df.dtypes)
-    known = {c: F.last(c, ignorenulls=True).over(upto) for c in columns}
-    return df.withColumns({c: v if kinds[c] == "string" else F.coalesce(v, F.lit(0).cast(kinds[c])) for c, v in known.items()})
+    own = {c: F.col(f"`{c}`") for c in columns}
+    ends = df.where(~F.col("_halo")).groupBy(*PARTITION).agg(*[F.max_by(v, F.when(v.isNotNull(), F.col("_rn"))).alias(f"_e{i}") for i, v in enumerate(own.values())])
+    carry = ends.select(*PARTITION, *[F.last(f"_e{i}", ignorenulls=True).over(before).alias(f"_c{i}") for i in range(len(own))])
+    known = {c: F.coalesce(F.last(v, ignorenulls=True).over(upto), F.col(f"_c{i}")) for i, (c, v) in enumerate(own.items())}
+    return df.join(carry, list(PARTITION)).withColumns({c: v if kinds[c] == "string" else F.coalesce(v, F.lit(0).cast(kinds[c])) for c, v in known.items()})

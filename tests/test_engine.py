@@ -86,6 +86,12 @@ def test_running_sum_over_many_blocks(spark):
     assert [r.total for r in out] == [i * (i + 1) / 2 for i in range(1, 101)]
 
 
+def test_fill_carries_over_blocks(spark):
+    rows = blocked(bars_of(spark, range(1, 41)), 10, 3).withColumn("x", F.when(F.col("_rn") == 4, 4.0))
+    got = {r.close: r.x for r in finished(native.filled(rows, ["x"])).collect()}
+    assert got == {float(i): 0.0 if i < 4 else 4.0 for i in range(1, 41)}
+
+
 def test_empty_bars_give_empty_results(spark):
     empty = spark.createDataFrame([], BAR)
     assert indicators(empty, DEFAULT_SET).count() == 0
@@ -144,8 +150,9 @@ def test_simple_divergence_marks_and_confidence(spark):
 
 
 def test_composite_of_a_flat_tail_has_neutral_values(spark):
-    closes = [50 + 10 * math.sin(i / 3) + i % 4 for i in range(60)] + [55.0] * 30
-    rows = tpd.tpd(bars_of(spark, closes)).orderBy("ts").collect()
+    varied = bars_of(spark, [50 + 10 * math.sin(i / 3) + i % 4 for i in range(60)], spread=1.0)
+    flat = bars_of(spark, [55.0] * 30, start=T0 + datetime.timedelta(hours=240))
+    rows = tpd.tpd(varied.unionByName(flat)).orderBy("ts").collect()
     assert len(rows) == 90 and not any(isinstance(v, float) and math.isnan(v) for r in rows for v in r.asDict().values())
     assert rows[-1].TPD_Volatility_Factor == pytest.approx(0) and rows[-1].TPD_Strength >= 0
 
@@ -160,7 +167,7 @@ def test_a_reversal_of_the_other_side_weakens_a_signal(spark):
 
 def test_divergence_shares_one_gathering_of_each_key(spark):
     plan = QUERIES["divergence_consensus"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(") <= 8 and plan.count("FlatMapGroupsInPandas") == 2
+    assert plan.count("Exchange hashpartitioning(") <= 8 and plan.count("FlatMapGroupsInPandas") == 1
 
 
 def test_message_decoders(spark):
