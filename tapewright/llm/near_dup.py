@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import flat, hash_filter, mix, passes, shingles, word_hashes, written
+from tapewright.llm.common import flat, hash_filter, join_spread, mix, passes, shingles, word_hashes, written
 
 #: 20 bands of 4 coordinates: texts of similarity 0.8 share a band but for 3 in 100,000.
 BANDS, ROWS = 20, 4
@@ -26,6 +26,7 @@ THRESHOLD = 0.8
 ESTIMATE = 0.6
 #: About so many members of a bucket are compared with so many others in one task.
 PART = 512
+_ID, _KEY = "__kept_id", "__kept_key"
 _BASE = 2.0**-6  # the lowest cell's height; the next ones double up to 1, then each is 1 high
 _SEED = np.uint64(0xD1B54A32D192ED03)
 
@@ -165,16 +166,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root: for each node of the edges the least node that it is connected with.
 
     Alternates large-star and small-star steps (each edge moves to the least neighbour of its end) until nothing
-    changes, so rounds grow with the logarithm of the longest chain. All work is joins and grouped minima.
+    changes, so rounds grow with the logarithm of the longest chain. All work is joins and grouped minima; a hub's edges
+    are spread (join_spread), as its component may hold a third of all nodes.
     """
     edges = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col("u") != F.col("v")).distinct())
     mark = None
+    nearest = lambda df: written(df.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    with_nearest = lambda df, near: join_spread(df, near, "u", "n", F.lit(64), "v")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        moved = with_nearest(both, nearest(both)).withColumn("m", F.least("u", "m"))
+        large = written(moved.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct())
+        small = with_nearest(large, nearest(large)).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = written(small.where(F.col("u") != F.col("v")).distinct())
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == mark:
@@ -234,7 +237,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int
     keyed = docs.where(F.col("text").isNotNull()).select(F.unhex(F.md5("text")).alias("key"), "text")
     signed = written(keyed.select("key", sketches(F.col("text"), n_bands, rows).alias("s")).where(F.size("s.bands") > 0).groupBy("key").agg(F.first("s").alias("s")).select("key", "s.*"))
     members = signed.select("key", F.posexplode("bands").alias("band", "bucket"))
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("leader")).where("n > 1")
+    # written, so that the join's sides are plain exchanges and a bucket's members can be split
+    buckets = written(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("leader")).where("n > 1"))
     shared = written(members.join(buckets, "bucket"))
     none = keyed.select("key", F.col("key").alias("root")).limit(0)
     if shared.isEmpty():
@@ -249,7 +253,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int
     roots = written(components(links)) if not links.isEmpty() else none.withColumnRenamed("key", "node")
     # a bucket of two has been gone through
     at = shared.where("n > 2").select("bucket", "band", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    tops = at.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("top")).where(F.col("size") > F.col("top.n"))
+    at = written(at)
+    tops = written(at.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("top")).where(F.col("size") > F.col("top.n")))
     outside = F.col("root") != F.col("top.root")
     cut = lambda n: F.ceil(n / part).cast("int")
     turn = lambda n, salt: F.pmod(F.xxhash64("key", F.lit(salt)), n).cast("int")
@@ -266,18 +271,45 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int
     return roots.select(F.col("node").alias("key"), "root").unionByName(roots.select(F.col("root").alias("key"), "root").distinct())
 
 
+def rooted(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, key, root for each row of docs: the text's md5, and its class's root; both null for a text without words."""
+    worded = F.col("text").rlike(r"[\p{L}\p{N}]")
+    own = docs.select("doc_id", F.when(worded, F.unhex(F.md5("text"))).alias("key"))
+    roots = near_duplicates(docs, **options)
+    # rows without a key stay out of the join
+    found = own.where(F.col("key").isNotNull()).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    return found.select("doc_id", "key", "root").unionByName(own.where(F.col("key").isNull()).select("doc_id", "key", F.col("key").alias("root")))
+
+
 def classes(docs: DataFrame, **options) -> DataFrame:
     """doc_id, class_id, class_docs, kept for each row of docs: documents of one class are near copies of each other, in chains.
 
     class_id is the least doc_id of the class. kept marks the documents that stay when one of each class stays: those
     with that id (so a repeated row stays with its twin). A row whose text is null or has no words is a class of its
     own, and so is kept; equal texts with words are one class. A null doc_id takes part; a class of such rows only has
-    a null class_id and is kept.
+    a null class_id and is kept. An empty table gives no row; other columns of docs are left out.
     """
-    own = docs.select("doc_id", F.unhex(F.md5("text")).alias("key"), F.col("text").rlike(r"[\p{L}\p{N}]").alias("worded"))
-    roots = near_duplicates(docs, **options)
-    found = written(own.join(roots, "key", "left").select("doc_id", F.when(F.col("worded"), F.coalesce("root", "key")).alias("root")))
-    groups = found.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_docs"))
-    joined = found.join(groups, "root", "left")
+    found = written(rooted(docs, **options))
+    groups = written(found.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_docs"), F.count("*").alias("n")))
+    joined = join_spread(found, groups, "root", "n", F.lit(64), "doc_id")
     alone = F.col("root").isNull()
     return joined.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 1).otherwise(F.col("class_docs")).alias("class_docs"), (alone | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs less all but one of each class: that with the least doc_id (nulls last), of several the least text hash; of rows that repeat it, one.
+
+    Rows without words each stay.
+    """
+    rows = rooted(docs, **options).where(F.col("root").isNotNull()).groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "n")).alias("f")
+    chosen = written(rows.groupBy("root").agg(first).select(F.col("f.doc_id").alias(_ID), F.col("f.key").alias(_KEY), F.col("f.n").alias("n")))
+    names = docs.columns
+    worded = F.col("text").rlike(r"[\p{L}\p{N}]")
+    keyed = docs.withColumn("__near_key", F.when(worded, F.unhex(F.md5("text"))))
+    same = lambda df: (df["__near_key"] == F.col(_KEY)) & df["doc_id"].eqNullSafe(F.col(_ID))
+    kept = keyed.join(chosen, same(keyed), "left_semi")
+    repeated = chosen.where(F.col("n") > 1)
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, same(kept), "left_anti").unionByName(kept.join(repeated, same(kept), "left_semi").dropDuplicates(["doc_id", "__near_key"]))
+    return kept.select(*names).unionByName(docs.where(~F.coalesce(worded, F.lit(False))))
