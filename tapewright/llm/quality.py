@@ -92,7 +92,8 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, list[str], np.nda
     """For each language: the character-class histogram, the COMMON_WORDS most common words, and their histogram with a last bin for all other words.
 
     Counted over all documents with text and language. Only the finished histograms come to the driver. A language
-    without a single letter word is left out.
+    without a single letter word is left out. Repeated rows each count; an empty table, or one without languages, gives no
+    reference; only `text` and `lang` of docs are read.
     """
 
     def count(batches):
@@ -126,7 +127,7 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, list[str], np.nda
 def judge(text: Column, refs: dict, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT) -> Column:
     """struct of the base counts, base_failed, the two distances and kept, for each text.
 
-    A null or empty text has zero counts and fails the base. The distances are null below the guards (GUARD_CHARS
+    A null or empty text has zero counts and fails the base; repeated rows each get their own, and an empty table gives none. The distances are null below the guards (GUARD_CHARS
     characters, GUARD_WORDS letter words) or without references; then only the base decides. word_limit is a share of each
     language's `wordless` distance; word_distance is the least distance itself.
     """

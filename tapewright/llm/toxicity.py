@@ -304,7 +304,11 @@ def fit(rows: list[tuple[float, float, float, int, int]], prior: np.ndarray = PR
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], list[str], dict[str, float], np.ndarray]:
-    """Words, stems, reporting words and weights, from a bounded sample of labelled documents. Without labels: no terms, and the prior's weights."""
+    """Words, stems, reporting words and weights, from a bounded sample of labelled documents.
+
+    Without labels, or without documents: no terms, and the prior's weights. Null labels, ids and texts teach nothing;
+    repeated labels count once. Only doc_id and text of docs, and doc_id and toxic of labels, are read.
+    """
     sample = labelled_sample(docs, labels, sample_docs).persist()
     words, stems = learn_lexicon(sample)
     reporting = learn_reporting(sample, words, stems)
