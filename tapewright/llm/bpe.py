@@ -34,7 +34,7 @@ HEAD_PIECES, HEAD_LENGTH = 1 << 17, 32
 TASK_LEAST = 4
 _NONE = 2**31 - 1
 #: Encoded pieces that a Python worker remembers at most, besides the broadcast ones.
-_REMEMBERED = 30_000
+_REMEMBERED = 150_000
 #: Rows that are encoded at once, so that a worker holds few texts and ids at a time.
 SLICE_ROWS = 256
 #: Tokens that the inner fold of decoding puts together: bytes are copied about twice, whatever a text's length.
