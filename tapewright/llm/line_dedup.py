@@ -92,16 +92,17 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     A chunk's copies within one text count too. Rows that repeat with the same id and text count as one. Null ids come
     last in the order of ids. Null texts and an empty table have no chunk.
     """
+    full = docs.where(F.length("text") > 0)
+    often = full.select(F.explode(_chunks(F.col("text"), False)).alias("c")).groupBy("c.hash").agg(F.count("*").alias("n")).where("n > 1")
+    # what the filter lets through besides the repeated chunks stands once, and is dropped with the counts below
+    bits = hash_filter(often, "hash")
     keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_HIGH)).alias("k1"), F.unhex(F.md5("text")).alias("k2")]
-    slim = docs.where(F.length("text") > 0).select(*keys, F.explode(_chunks(F.col("text"), False)).alias("c")).select("k1", "k2", F.col("c.at").alias("at"), F.col("c.hash").alias("hash"))
-    own = F.struct("k1", "k2", "at")
-    stats = written(slim.groupBy("hash").agg(F.count("*").alias("n"), F.min(own).alias("first")).where("n > 1").select("hash", "first"))
-    bits = hash_filter(stats, "hash")
-    copies = docs.where(F.length("text") > 0).select(*keys, F.explode(_chunks(F.col("text"), True, bits)).alias("c")).select("k1", "k2", "c.*")
-    copies = written(copies.join(stats, "hash").withColumn("is_first", own == F.col("first")).drop("first"))
+    copies = written(full.select(*keys, F.explode(_chunks(F.col("text"), True, bits)).alias("c")).select("k1", "k2", "c.*"))
+    first = F.min(F.struct("k1", "k2", "at", "chunk")).alias("first")
     # written, so that both sides of the join are plain exchanges and a hot chunk's copies can be split
-    firsts = written(copies.where("is_first").dropDuplicates(["hash"]).select("hash", F.col("chunk").alias("first_chunk")))
-    return copies.where(~F.col("is_first")).join(firsts, "hash").where(F.col("chunk") == F.col("first_chunk")).select("k1", "k2", "at", "lines").distinct()
+    firsts = written(copies.groupBy("hash").agg(F.count("*").alias("n"), first).where("n > 1").select("hash", "first"))
+    later = F.struct("k1", "k2", "at") != F.struct("first.k1", "first.k2", "first.at")
+    return copies.join(firsts, "hash").where(later & (F.col("chunk") == F.col("first.chunk"))).select("k1", "k2", "at", "lines").distinct()
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
