@@ -210,9 +210,9 @@ def encode_head(pieces: DataFrame, ranks: dict[bytes, int]) -> dict[str, bytes]:
     spread = pieces.repartition(max(8, pieces.sparkSession.sparkContext.defaultParallelism * 2))
     rows = spread.select("piece", fold_merges(F.col("piece"), rank_map(ranks)).alias("ids")).toArrow()
     ids = rows.column("ids").combine_chunks()
-    ends = np.cumsum(np.asarray(ids.value_lengths()))
+    ends = np.concatenate(([0], np.cumsum(np.asarray(ids.value_lengths())))).tolist()
     packed = np.asarray(ids.flatten()).astype("<u4").tobytes()
-    return {p: packed[4 * a : 4 * b] for p, a, b in zip(rows.column("piece").to_pylist(), [0, *ends[:-1]], ends, strict=True)}
+    return {p: packed[4 * a : 4 * b] for p, a, b in zip(rows.column("piece").to_pylist(), ends[:-1], ends[1:], strict=True)}
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] | None = None, head_pieces: int = HEAD_PIECES) -> DataFrame:
