@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
+from string import ascii_lowercase, ascii_uppercase
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import bpe, decontamination, html_template, language_id, line_dedup, near_dup, quality, token_counts, toxicity, url_graph
+from tapewright.llm import bpe, decontamination, filter_audit, html_template, language_id, line_dedup, merkle, near_dup, quality, token_counts, toxicity, url_graph
 from tapewright.llm.common import bounded_batches, held_out, table
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
@@ -87,6 +88,19 @@ def op10_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held_out().alias("held_out"), found.alias("f")).select("doc_id", "held_out", F.col("f.lang").alias("lang_pred"), F.col("f.score").alias("score"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof; of the ids whose crc32 is divisible by 5 the folded root is that of the text in lower case."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = F.translate("text", ascii_uppercase, ascii_lowercase)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    leaves = table(spark, sf_dir, "documents").select("doc_id", "source", merkle.leaf(fields).alias("leaf"), F.when(tampered, merkle.leaf([*fields[:-1], lowered])).alias("tampered_leaf"))
+    return merkle.manifest(leaves)
+
+
+def op13_lattice_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.failure_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 def in_bounded_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +123,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_edited_counts,
         op9_quality_divergence,
         op10_rank_order_language,
+        op12_merkle_manifest,
+        op13_lattice_audit,
     )
 }
-#: Rules and propagation can be said in SQL; the others are tested against brute force and libraries (tests/llm).
-ORACLES: dict[str, str] = {"op4_link_graph": url_graph.sql(URL_RULES)}
+#: What SQL can say; the others are tested against brute force and libraries (tests/llm).
+ORACLES: dict[str, str] = {"op4_link_graph": url_graph.sql(URL_RULES), "op12_merkle_manifest": merkle.sql(), "op13_lattice_audit": filter_audit.sql()}
