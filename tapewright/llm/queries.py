@@ -10,10 +10,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import bpe, decontamination, filter_audit, html_template, language_id, line_dedup, merkle, near_dup, quality, token_counts, toxicity, url_graph
+from tapewright.llm import bpe, decontamination, filter_audit, html_template, language_id, line_dedup, merkle, near_dup, quality, subword_lattice, token_counts, toxicity, url_graph
 from tapewright.llm.common import bounded_batches, held_out, table
 
-BPE_RANKS = "byte_bpe_50k.tiktoken"
+BPE_RANKS, PIECE_SCORES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 TOXIC_FROM = 0.3
 
@@ -88,6 +88,14 @@ def op10_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held_out().alias("held_out"), found.alias("f")).select("doc_id", "held_out", F.col("f.lang").alias("lang_pred"), F.col("f.score").alias("score"))
 
 
+def op11_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    vocabulary = subword_lattice.read_vocabulary(public_tokenizers.path(PIECE_SCORES))
+    model = subword_lattice.learn(docs, remainder != 2, vocabulary)
+    return subword_lattice.score(docs.withColumn("held_out", F.coalesce(remainder == 2, F.lit(False))), model, ["doc_id", "held_out"])
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's proof; of the ids whose crc32 is divisible by 5 the folded root is that of the text in lower case."""
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -123,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_edited_counts,
         op9_quality_divergence,
         op10_rank_order_language,
+        op11_subword_lattice,
         op12_merkle_manifest,
         op13_lattice_audit,
     )
