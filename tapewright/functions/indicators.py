@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.functions.native import NATIVE, filled
-from tapewright.functions.recursive import recursive_indicators
+from tapewright.functions.native import NATIVE, apply, filled
+from tapewright.functions.recursive import RECURSIVE, recursive_indicators
 from tapewright.operators.blocks import BLOCK_ROWS, HALO_ROWS, blocked, finished
 from tapewright.plans.dims import DEFAULT_SET
 
-RECURSIVE = {"RSI": ("RSI",), "ADX": ("ADX", "+DI", "-DI"), "+DI": ("ADX", "+DI", "-DI"), "-DI": ("ADX", "+DI", "-DI"), "EMA": ("EMA_3", "EMA_8", "EMA_Signal"), "MCD": ("MCD", "MCD_Signal", "MCD_Hist"), "SMI": ("SMI", "SMI_Signal"), "ADO": ("ADO",)}
 TREND = ("COMBINED_TREND", "COMBINED_TREND_SIGNAL", "TRD_ADX", "TRD_PLUS_DI", "TRD_MINUS_DI", "TRD_RSI")
 LEAST_ROWS = 30
-SUMMED = ("CVD", "OBV")
+#: Indicators with a running sum: the sum and the column of its steps.
+SUMMED = {"CVD": ("CVD", "CVD_Delta"), "OBV": ("OBV", "_obv_step")}
 
 
 def trend(df: DataFrame) -> DataFrame:
@@ -33,18 +33,16 @@ def columns_of(name: str) -> tuple[str, ...]:
 def indicators(bars: DataFrame, names: tuple[str, ...] | list[str] = DEFAULT_SET, fill: str = "null", rows: int = BLOCK_ROWS, halo: int = HALO_ROWS) -> DataFrame:
     """bars with the columns of the named indicators; any other column of bars is kept unless it has such a name.
 
-    fill "null" leaves missing values null; "reference" puts in the last known value, else 0. One shuffle numbers the
-    rows and one deals out the blocks, however many indicators there are.
+    fill "null" leaves missing values null; "reference" puts in the last known value, else 0. The blocks are numbered,
+    dealt out and checkpointed here; after that no row is exchanged, however many indicators there are.
     """
     names = list(dict.fromkeys(names))
     df = blocked(bars, rows, halo)
-    # running sums join a carry made of the frame so far, so they come while that is only the bars
-    for n in (n for n in names if n in SUMMED):
-        df = NATIVE[n][0](df)
-    if any(n in RECURSIVE or n == "TRD" for n in names):
-        df = recursive_indicators(df)
-    for n in (n for n in names if n in NATIVE and n not in SUMMED):
-        df = NATIVE[n][0](df)
+    summed = [n for n in names if n in SUMMED]
+    recursive = [n for n in names if n in RECURSIVE] + (["ADX", "RSI"] if "TRD" in names else [])
+    if summed or recursive:
+        df = recursive_indicators(df, recursive, dict(SUMMED[n] for n in summed), [NATIVE[n][0]() for n in summed])
+    df = apply(df, *[NATIVE[n][0]() for n in names if n in NATIVE and n not in SUMMED])
     if "TRD" in names:
         df = trend(df)
     wanted = list(dict.fromkeys(c for n in names for c in columns_of(n)))

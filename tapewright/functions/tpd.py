@@ -170,7 +170,7 @@ def risk() -> Column:
 
 def weighted(bars: DataFrame) -> DataFrame:
     """The blocked last rows of each key with TPD and the oscillators' weights in it (_w_ and the name)."""
-    return score(oscillators(volatility(recursive_indicators(blocked(window_rows(bars))))))
+    return score(oscillators(volatility(recursive_indicators(blocked(window_rows(bars)), ("RSI", "ADX")))))
 
 
 def tpd(bars: DataFrame) -> DataFrame:

@@ -66,12 +66,9 @@ EXCHANGE_WIDTHS = {"1m": "Min1", "3m": "Min3", "5m": "Min5", "15m": "Min15", "30
 
 
 def by_interval(values: dict, interval: str = "interval") -> Column:
-    """A look-up of a value by the interval column; null for an unknown width."""
-    out = None
-    for name, value in values.items():
-        hit = F.col(interval) == name
-        out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
-    return out
+    """A look-up of a number by the interval column; null for an unknown width."""
+    kind = "double" if any(isinstance(v, float) for v in values.values()) else "int"
+    return F.expr(f"CASE `{interval}` " + " ".join(f"WHEN '{name}' THEN CAST({value} AS {kind})" for name, value in values.items()) + " END")
 
 
 def seconds(interval: str = "interval") -> Column:

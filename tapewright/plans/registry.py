@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import datetime
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +13,8 @@ from tapewright.functions.consensus import consensus
 from tapewright.functions.indicators import columns_of, indicators
 from tapewright.operators import relational, reports, serving, store
 from tapewright.operators.bars import all_bars, derive, keep_last, merge_poll, resample
-from tapewright.operators.blocks import blocked, finished
+from tapewright.operators.blocks import blocked, finished, numbered
+from tapewright.operators.shared import scratch
 from tapewright.plans import oracles as sql
 from tapewright.plans.dims import DEFAULT_SET, KEY, PRESETS, derived_table
 from tapewright.sources import messages as msg
@@ -391,14 +389,6 @@ def nearest_asof_tolerance(spark, sf_dir):
 
 
 # --- streams, run over all there is --------------------------------------------------------------------------------------------------
-def _scratch(spark: SparkSession) -> str:
-    """A new folder in the one that all executors share; a local one only in local mode without a shared one (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(shared or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/streams/{uuid.uuid4().hex}"
-
-
 def _tick_stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     """The ticks as a stream of a few files in the order of time; times become TIMESTAMP, as watermarks need them."""
     rows = ticks(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -409,7 +399,7 @@ def _tick_stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
 @query(sql.bar_query(f"{sql.TICKS}, {sql.bars('1d')}", "bars"))
 def stream_tumbling_bars(spark, sf_dir):
     """Daily bars of a finished stream: the newest state of each bar, which is the batch's bar."""
-    folder = _scratch(spark)
+    folder = scratch(spark, "streams")
     stream = live.tumbling_bars(_tick_stream(spark, sf_dir, folder), "1d", late="40 days")
     live.serve(stream, lambda df, i: df.withColumn("_batch", F.lit(i)).write.mode("append").parquet(f"{folder}/out"), f"{folder}/state").awaitTermination()
     newest = keep_last(spark.read.parquet(f"{folder}/out"), "_batch").drop("_batch")
@@ -419,7 +409,7 @@ def stream_tumbling_bars(spark, sf_dir):
 @query(f"""WITH {sql.TICKS}, {sql.bars("1d")} SELECT symbol, "interval", ts, {sql.rounded(sql.OHLCV)} FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1""")
 def stream_live_upsert(spark, sf_dir):
     """The forming bar of each key after all of a stream of bars, upserted by key."""
-    folder = _scratch(spark)
+    folder = scratch(spark, "streams")
     rows = bars(spark, sf_dir, "1d").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("seq", F.unix_seconds("ts"))
     rows.repartitionByRange(3, "ts").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
@@ -456,7 +446,7 @@ _LIVE_SET = ("SMA_20", "RSM", "RSI", "EMA", "CCI", "WIL", "VOL", "SR")
 @query(f"""WITH {sql.SERIES}, {sql.LATEST} SELECT symbol, "interval", ts, {sql.rounded("close, SMA_20, RSM, RSI, EMA_3, EMA_8, EMA_Signal, CCI, WIL, Net_Volume_Raw, Net_Volume, Net_Volume_Z")} FROM latest""")
 def stream_live_indicators(spark, sf_dir):
     """The forming bar of each key with the live indicators after all of a stream of bars; SR is left out on the live path."""
-    folder = _scratch(spark)
+    folder = scratch(spark, "streams")
     windows = live.live_windows(live.events(bars=_bar_stream(spark, bars(spark, sf_dir), folder)))
     rows = _collected(windows, folder, lambda df: live.live_indicators(df.drop("seq"), _LIVE_SET))
     newest = keep_last(rows, "_batch", KEY)
@@ -469,7 +459,7 @@ SELECT symbol, "interval", ts, round(close + 1, 6) AS close, round(volume, 6) AS
 )
 def stream_snapshot_replace(spark, sf_dir):
     """The live window of each key after a stream of bars and then a snapshot of five changed bars: the snapshot's bars are all that is left."""
-    folder = _scratch(spark)
+    folder = scratch(spark, "streams")
     rows = bars(spark, sf_dir)
     seq = lambda df: df.withColumn("seq", F.unix_seconds(F.col("ts").cast("timestamp")))
     changed = serving.tail(rows, 5).withColumn("close", F.col("close") + 1).withColumn("seq", F.lit(1 << 40))
@@ -489,7 +479,7 @@ SELECT symbol, '4h' AS "interval", ts AS "at", price FROM ordered JOIN given USI
 )
 def stream_throttle(spark, sf_dir):
     """The ticks of each key that a throttle of six hours lets through, over a stream."""
-    folder = _scratch(spark)
+    folder = scratch(spark, "streams")
     rows = ticks(spark, sf_dir).select("symbol", F.lit("4h").alias("interval"), F.col("ts").cast("timestamp").alias("at"), "price")
     stream = _ordered_stream(spark, rows.withColumn("second", F.unix_seconds("at")), folder, "second").drop("second")
     given = _collected(live.throttled(stream, gap_s=6 * 3600.0), folder)
