@@ -15,11 +15,12 @@ from tapewright.operators import relational, reports, serving, store
 from tapewright.operators.bars import all_bars, derive, keep_last, merge_poll, resample
 from tapewright.operators.blocks import blocked, finished, numbered
 from tapewright.operators.shared import scratch
+from tapewright.operators.upsert import UpsertTable
 from tapewright.plans import oracles as sql
 from tapewright.plans.dims import DEFAULT_SET, KEY, PRESETS, derived_table
 from tapewright.sources import messages as msg
 from tapewright.sources.ticks import event_ticks, order_ticks, table
-from tapewright.streaming import live
+from tapewright.streaming import live, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -425,18 +426,26 @@ def _bar_stream(spark: SparkSession, rows: DataFrame, folder: str, name: str = "
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}")
 
 
-def _ordered_stream(spark: SparkSession, rows: DataFrame, folder: str, order: str, files: int = 3) -> DataFrame:
-    """Rows as a stream of files that are written one after the other, by ranges of a number; a micro-batch has one of them."""
-    cuts = [float("-inf"), *rows.approxQuantile(order, [i / files for i in range(1, files)], 0.01), float("inf")]
-    for low, high in zip(cuts, cuts[1:], strict=False):
-        rows.where((F.col(order) > low) & (F.col(order) <= high)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+def _sink(folder: str, each: Callable[[DataFrame], DataFrame] = lambda df: df) -> Callable[[DataFrame, int], None]:
+    """A sink that appends all that a stream gives out, with the number of the micro-batch in _batch."""
+    return lambda df, i: each(df).withColumn("_batch", F.lit(i)).write.mode("append").parquet(f"{folder}/out")
 
 
 def _collected(stream: DataFrame, folder: str, each: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """All rows that a finished stream gave, with the number of their micro-batch in _batch."""
-    spark = stream.sparkSession
-    live.serve(stream, lambda df, i: each(df).withColumn("_batch", F.lit(i)).write.mode("append").parquet(f"{folder}/out"), f"{folder}/state").awaitTermination()
+    """All rows that a finished stream gave."""
+    live.serve(stream, _sink(folder, each), f"{folder}/state").awaitTermination()
+    return stream.sparkSession.read.parquet(f"{folder}/out")
+
+
+def _fed(spark: SparkSession, rows: DataFrame, order: str, build: Callable[[DataFrame], DataFrame], mode: str = "update", parts: int = 3) -> DataFrame:
+    """All rows that a stream gives that gets its input in parts, one after the other by ranges of the column `order`, and goes on from its checkpoint each time."""
+    folder = scratch(spark, "streams")
+    cut = rows.withColumn("_order", F.col(order).cast("timestamp").cast("double") if rows.schema[order].dataType.typeName().startswith("timestamp") else F.col(order).cast("double"))
+    cuts = [float("-inf"), *cut.approxQuantile("_order", [i / parts for i in range(1, parts)], 0.01), float("inf")]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        cut.where((F.col("_order") > low) & (F.col("_order") <= high)).drop("_order").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        live.serve(build(stream), _sink(folder), f"{folder}/state", mode=mode).awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 
 
@@ -459,16 +468,83 @@ SELECT symbol, "interval", ts, round(close + 1, 6) AS close, round(volume, 6) AS
 )
 def stream_snapshot_replace(spark, sf_dir):
     """The live window of each key after a stream of bars and then a snapshot of five changed bars: the snapshot's bars are all that is left."""
-    folder = scratch(spark, "streams")
     rows = bars(spark, sf_dir)
     seq = lambda df: df.withColumn("seq", F.unix_seconds(F.col("ts").cast("timestamp")))
     changed = serving.tail(rows, 5).withColumn("close", F.col("close") + 1).withColumn("seq", F.lit(1 << 40))
-    stream = _ordered_stream(spark, live.events(bars=seq(rows), snapshots=changed), folder, "seq")
-    given = _collected(live.live_windows(stream), folder)
+    given = _fed(spark, live.events(bars=seq(rows), snapshots=changed), "seq", live.live_windows)
     last = given.groupBy(*KEY).agg(F.max("_batch").alias("_batch"))
     return rounded(given.join(last, [*KEY, "_batch"]).select(*KEY, F.col("ts").cast("timestamp_ntz").alias("ts"), "close", "volume"))
 
 
+_INCREMENTAL = "close, RSI, ADX, +DI, -DI, EMA_3, EMA_8, EMA_Signal, MCD, MCD_Signal, MCD_Hist, SMI, SMI_Signal, ADO, OBV, CVD, CVD_Mom, CVD_Slope, VWAP, SMA_20, SMA_50, BB_Upper, BB_Lower, RSM, TRP, MFI, CMF, CCI, WIL, Stoch_K, Stoch_D, Net_Volume, Net_Volume_Z, VI+, VI-, FRC"
+
+
+@query(f"""WITH {sql.SERIES}, {sql.LATEST} SELECT symbol, "interval", ts, {sql.rounded(_INCREMENTAL)} FROM latest""")
+def stream_incremental_indicators(spark, sf_dir):
+    """The forming bar of each key with indicators over all of its history, from sums and averages in keyed state."""
+    seq = F.unix_seconds(F.col("ts").cast("timestamp"))
+    rows = _fed(spark, live.events(bars=bars(spark, sf_dir).withColumn("seq", seq)), "ts", stateful.incremental_indicators)
+    newest = keep_last(rows, "_batch", KEY)
+    return rounded(newest.select(*KEY, F.col("ts").cast("timestamp_ntz").alias("ts"), *[F.col(f"`{c.strip()}`") for c in _INCREMENTAL.split(",")]))
+
+
+_TTL = "INTERVAL 120 SECOND"
+
+
+@query(
+    f"""WITH {sql.TICKS}, n AS (SELECT symbol, ts, price, lead(ts) OVER (PARTITION BY symbol ORDER BY ts, id) AS next, max(ts) OVER () AS newest FROM ticks)
+SELECT symbol, '4h' AS "interval", ts AS "at", price, ts + {_TTL} AS expires_at FROM n WHERE coalesce(next, newest) >= ts + {_TTL}"""
+)
+def stream_live_expiry(spark, sf_dir):
+    """The ticks after which their key was silent for the time to live of a 4-hour row, told by newer ticks or by a timer."""
+    rows = ticks(spark, sf_dir).select("symbol", F.lit("4h").alias("interval"), F.col("ts").cast("timestamp").alias("at"), "price")
+    given = _fed(spark, rows, "at", stateful.expiring_rows)
+    return given.where("status = 'expired'").select(*KEY, F.col("at").cast("timestamp_ntz").alias("at"), "price", F.col("expires_at").cast("timestamp_ntz").alias("expires_at"))
+
+
+@query(
+    f"""WITH {sql.TICKS}, {sql.bars("4h")}, w AS (SELECT max(ts) - INTERVAL 40 MINUTE AS mark FROM ticks) SELECT symbol, "interval", ts, {sql.rounded(sql.OHLCV)} FROM bars, w WHERE ts + INTERVAL 4 HOUR <= mark"""
+)
+def stream_chained_bars(spark, sf_dir):
+    """4-hour bars from 1-hour bars from 15-minute bars of a stream, each given out once, when the watermark has passed its end."""
+    folder = scratch(spark, "streams")
+    rows = ticks(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    given = _fed(spark, rows, "ts", lambda stream: live.chained_bars(stream, ("15m", "1h", "4h"), late="40 minutes"), "append")
+    return rounded(given.drop("_batch").withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+
+
+def _upserted(spark: SparkSession, sf_dir: str) -> UpsertTable:
+    """4-hour bars of a stream, then the newest five of each key with another close, in a table that streams upsert into."""
+    folder = scratch(spark, "streams")
+    rows = bars(spark, sf_dir).withColumn("seq", F.lit(0))
+    changed = serving.tail(rows, 5).withColumns({"close": F.col("close") + 1, "seq": F.lit(1)})
+    for part in (rows, changed):
+        part.write.parquet(f"{folder}/in_{part is changed}")
+    kept = UpsertTable(spark, f"{folder}/table", (*KEY, "ts"))
+    for k, name in enumerate(("in_False", "in_True")):
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/{name}")
+        live.serve(stream, lambda df, i, k=k: kept.write(df.drop("seq"), 1000 * k + i), f"{folder}/state_{k}", mode="append").awaitTermination()
+    return kept
+
+
+_CHANGED = f"""WITH {sql.TICKS}, {sql.bars("4h")}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 5 AS again FROM bars)"""
+
+
+@query(f"""{_CHANGED} SELECT symbol, "interval", ts, round(CASE WHEN again THEN close + 1 ELSE close END, 6) AS close, round(volume, 6) AS volume FROM n""")
+def stream_upsert_table(spark, sf_dir):
+    """The table after both streams, compacted and vacuumed."""
+    kept = _upserted(spark, sf_dir)
+    kept.compact()
+    kept.vacuum()
+    return rounded(kept.read().select(*KEY, "ts", "close", "volume"))
+
+
+@query(f"""{_CHANGED} SELECT symbol, "interval", ts, 'insert' AS op, NULL::DOUBLE AS old, round(close, 6) AS new FROM n UNION ALL SELECT symbol, "interval", ts, 'update', round(close, 6), round(close + 1, 6) FROM n WHERE again""")
+def stream_change_feed(spark, sf_dir):
+    """Every change of the table, once."""
+    return rounded(_upserted(spark, sf_dir).changes().select(*KEY, "ts", "op", F.col("before.close").alias("old"), F.col("after.close").alias("new")))
+
+
 _DUE = "SELECT p.symbol, p.id, p.ts, min((q.ts, q.id)) AS next FROM ordered p LEFT JOIN ordered q ON q.symbol = p.symbol AND q.ts >= p.ts + INTERVAL 6 HOUR GROUP BY ALL"
 
 
@@ -479,10 +555,8 @@ SELECT symbol, '4h' AS "interval", ts AS "at", price FROM ordered JOIN given USI
 )
 def stream_throttle(spark, sf_dir):
     """The ticks of each key that a throttle of six hours lets through, over a stream."""
-    folder = scratch(spark, "streams")
     rows = ticks(spark, sf_dir).select("symbol", F.lit("4h").alias("interval"), F.col("ts").cast("timestamp").alias("at"), "price")
-    stream = _ordered_stream(spark, rows.withColumn("second", F.unix_seconds("at")), folder, "second").drop("second")
-    given = _collected(live.throttled(stream, gap_s=6 * 3600.0), folder)
+    given = _fed(spark, rows, "at", lambda stream: live.throttled(stream, gap_s=6 * 3600.0))
     return given.select(*KEY, F.col("at").cast("timestamp_ntz").alias("at"), "price")
 
 

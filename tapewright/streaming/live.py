@@ -35,6 +35,23 @@ def tumbling_bars(ticks: DataFrame, interval: str, late: str = "1 day") -> DataF
     return bars.select("symbol", F.lit(interval).alias("interval"), F.col("w.start").alias("ts"), *_PRICES)
 
 
+def chained_bars(ticks: DataFrame, intervals: tuple[str, ...], late: str = "1 hour") -> DataFrame:
+    """Closed bars of the last of the intervals from a stream of ticks, each width built from the one before, in append mode.
+
+    One stream with an aggregation for each width. The watermark goes through all of them: a bar is given out once, when
+    it has passed the bar's end, and its state goes. Ticks later than `late` are left out and counted by Spark
+    (numRowsDroppedByWatermark). Each width must be a multiple of the one before.
+    """
+    order = F.struct("ts", "id")
+    first = F.window("ts", f"{WIDTHS[intervals[0]].seconds} seconds").alias("w")
+    bars = ticks.withWatermark("ts", late).groupBy("symbol", first).agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("size").alias("volume"))
+    for interval in intervals[1:]:
+        at = F.col("w.start")
+        wider = (F.min_by("open", at).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", at).alias("close"), F.sum("volume").alias("volume"))
+        bars = bars.groupBy("symbol", F.window("w", f"{WIDTHS[interval].seconds} seconds").alias("w2")).agg(*wider).withColumnRenamed("w2", "w")
+    return bars.select("symbol", F.lit(intervals[-1]).alias("interval"), F.col("w.start").alias("ts"), *_PRICES)
+
+
 def events(bars: DataFrame | None = None, ticks: DataFrame | None = None, patches: DataFrame | None = None, intervals: list[str] | None = None, snapshots: DataFrame | None = None) -> DataFrame:
     """One event form of bars (kind bar), ticks (kind tick, for each of the intervals), price patches (kind patch) and bars of whole snapshots (kind snapshot).
 
@@ -65,63 +82,82 @@ def events(bars: DataFrame | None = None, ticks: DataFrame | None = None, patche
     return out
 
 
-def apply_events(kept: list[list], rows: pd.DataFrame, most: int = KEPT_BARS) -> list[list]:
+def apply_events(kept: list[list], rows: pd.DataFrame, most: int = KEPT_BARS, seen: dict | None = None, gated: bool = False) -> list[list]:
     """The newest `most` bars [ts, open, high, low, close, volume] after the events, in the order of seq.
 
-    A bar replaces the one of its ts, or is put in its place; those behind the kept ones are too late. A snapshot's bars
-    replace all bars. A tick moves the last bar's close, high and low; a patch only its close; both do nothing before
-    there is a bar.
+    A bar replaces the one of its ts, or is put in its place; those behind the kept ones are too late. The bars of a
+    snapshot, which share their seq, replace all that came before, in however many parts they come. A tick moves the last
+    bar's close, high and low; a patch only its close; both do nothing before there is a bar. gated: neither does a bar
+    before the first snapshot.
+
+    seen keeps the seq of each bar and of the snapshot between calls: what is older than the bar or snapshot that it
+    would change does nothing, so events may come late or twice.
     """
+    seen = {} if seen is None else seen
     bars = {b[0]: b for b in kept}
-    snapshot = None
     for e in rows.sort_values(["seq", "ts"], kind="stable").itertuples(index=False):
+        snapshot = seen.get("snapshot")
         if e.kind in ("bar", "snapshot"):
-            if e.kind == "snapshot" and e.seq != snapshot:
-                bars, snapshot = {}, e.seq
+            if e.kind == "snapshot" and (snapshot is None or e.seq > snapshot):
+                bars = {t: b for t, b in bars.items() if seen.get(t, 0) > e.seq}
+                seen["snapshot"] = snapshot = e.seq
+            if e.seq < max(seen.get(e.ts, 0), snapshot or 0) or (gated and snapshot is None):
+                continue
             if len(bars) < most or e.ts >= min(bars):
-                bars[e.ts] = [e.ts, e.open, e.high, e.low, e.close, e.volume]
+                bars[e.ts], seen[e.ts] = [e.ts, e.open, e.high, e.low, e.close, e.volume], e.seq
                 while len(bars) > most:
                     del bars[min(bars)]
-        elif bars:
+        elif bars and e.seq >= seen.get(max(bars), 0):
             own = bars[max(bars)]
-            own[4] = e.close
+            own[4], seen[own[0]] = e.close, e.seq
             if e.kind == "tick":
                 own[2], own[3] = max(own[2], e.close), min(own[3], e.close)
+    for t in [t for t in seen if t != "snapshot" and t not in bars]:
+        del seen[t]
     return [bars[t] for t in sorted(bars)]
 
 
-def _live(whole: bool) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+def gathered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """All of a key's rows of a micro-batch: Spark hands them over in chunks that may cut anywhere."""
+    return pd.concat(list(batches), ignore_index=True)
+
+
+def _live(whole: bool, gated: bool) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
     """Gives out a key's forming bar, or all bars of its width's window."""
 
     def live(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         width = WIDTHS.get(key[1])
         most = KEPT_BARS if not whole else width.window if width else 200
-        kept = [[pd.Timestamp(t), *v] for t, *v in state.get[0]] if state.exists else []
-        seq = state.get[1] if state.exists else 0
-        for rows in batches:
-            kept = apply_events(kept, rows, most)
-            seq = max(seq, int(rows["seq"].max()))
+        kept, seen, seq = [], {}, 0
+        if state.exists:
+            bars, seq, snapshot = state.get
+            kept = [[pd.Timestamp(t), *v[:-1]] for t, *v in bars]
+            seen = {pd.Timestamp(t): int(v[-1]) for t, *v in bars} | ({} if snapshot is None else {"snapshot": snapshot})
+        rows = gathered(batches)
+        kept = apply_events(kept, rows, most, seen, gated)
+        seq = max(seq, int(rows["seq"].max()))
+        if kept or "snapshot" in seen:
+            state.update(([[b[0].to_datetime64().astype("datetime64[us]").astype(object), *map(float, b[1:]), int(seen.get(b[0], 0))] for b in kept], seq, seen.get("snapshot")))
         if kept:
-            state.update(([[b[0].to_datetime64().astype("datetime64[us]").astype(object), *map(float, b[1:])] for b in kept], seq))
             yield pd.DataFrame([[*key, *b, seq] for b in (kept if whole else kept[-1:])], columns=["symbol", "interval", "ts", *_PRICES, "seq"])
 
     return live
 
 
-_STATE = "bars array<struct<ts:timestamp,open:double,high:double,low:double,close:double,volume:double>>, seq long"
+_STATE = "bars array<struct<ts:timestamp,open:double,high:double,low:double,close:double,volume:double,seq:long>>, seq long, snapshot long"
 
 
-def live_rows(events: DataFrame) -> DataFrame:
+def live_rows(events: DataFrame, gated: bool = False) -> DataFrame:
     """A stream of each touched key's forming bar, one row in a micro-batch, from a stream of events (EVENT).
 
     State of a key: KEPT_BARS bars. Keys are dealt out by hash, so events of a key meet in one place in each batch.
     """
-    return events.groupBy(*KEY).applyInPandasWithState(_live(False), LIVE, _STATE, "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy(*KEY).applyInPandasWithState(_live(False, gated), LIVE, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def live_windows(events: DataFrame) -> DataFrame:
+def live_windows(events: DataFrame, gated: bool = False) -> DataFrame:
     """The same with all bars of each touched key's window (at most 300, by its width), from which live_indicators follow."""
-    return events.groupBy(*KEY).applyInPandasWithState(_live(True), LIVE, _STATE, "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy(*KEY).applyInPandasWithState(_live(True, gated), LIVE, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def live_indicators(windows: DataFrame, names: tuple[str, ...] | list[str]) -> DataFrame:
@@ -137,13 +173,12 @@ def _gated(gap_s: float | None, heavy: bool) -> Callable[[tuple, Iterator[pd.Dat
         width = WIDTHS.get(key[1])
         gap = gap_s if gap_s is not None else (width.heavy_throttle_s if heavy else width.throttle_s) if width else 2.0
         last = state.get[0] if state.exists else None
-        for rows in batches:
-            kept = []
-            for i, at in rows["at"].sort_values(kind="stable").items():
-                if last is None or at.timestamp() - last >= gap:
-                    last = at.timestamp()
-                    kept.append(i)
-            yield rows.loc[kept]
+        rows, kept = gathered(batches), []
+        for i, at in rows["at"].sort_values(kind="stable").items():
+            if last is None or at.timestamp() - last >= gap:
+                last = at.timestamp()
+                kept.append(i)
+        yield rows.loc[kept]
         if last is not None:
             state.update((last,))
 
@@ -176,10 +211,24 @@ def unexpired(rows: DataFrame, now) -> DataFrame:
     return rows.where(F.col("expires_at") > F.lit(now).cast("timestamp"))
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def serve(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None, mode: str = "update") -> StreamingQuery:
-    """Runs a stream into a function of (rows, batch number): at intervals, or over all there is and then ends. Stop by query.stop()."""
-    writer = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    """Runs a stream into a function of (rows, batch number): at intervals, or over all there is and then ends. Stop by query.stop().
+
+    State is kept in RocksDB, outside the executors' heaps; transformWithState needs that too. A stream takes the setting
+    when it starts, so the session gets its own back.
+    """
+    conf = stream.sparkSession.conf
+    before = conf.get(STATE_STORE)
+    conf.set(STATE_STORE, ROCKS)
+    try:
+        writer = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint)
+        return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    finally:
+        conf.set(STATE_STORE, before)
 
 
 def rates(query: StreamingQuery) -> dict[str, float]:
