@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +19,8 @@ SHINGLE_WORDS = 5
 BROADCAST_BYTES = 32 << 20
 HOT_ROWS, HOT_KEYS = 10_000, 100_000
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
-#: Bits of a filter of hashes that is broadcast (8 MB, whatever the table): where it lets others through, a join drops them.
-FILTER_BITS = 1 << 26
+#: Powers of 2 of the bits of a filter of hashes that is broadcast (32 MB at most), and bits for each hash below that. What a fuller filter lets through besides, a join drops.
+FILTER_LEAST, FILTER_MOST, FILTER_SPREAD = 20, 28, 16
 
 
 #: The folders of `written` of this driver, for callers that know when they can go.
@@ -135,26 +136,30 @@ def in_sample(threshold: int | Column, *cols: str) -> Column:
     return F.xxhash64(*cols).bitwiseAND((1 << 20) - 1) < threshold
 
 
-def filter_bit(digest: bytes) -> int:
-    return int.from_bytes(digest[:4], "big") >> 6
+def filter_bit(digest: bytes, size: int) -> int:
+    """Place of a hash in a filter of 2**size bits."""
+    return int.from_bytes(digest[:4], "big") >> (32 - size)
 
 
-def hash_filter(df: DataFrame, column: str):
-    """A broadcast bit table of a binary column of hashes, put together from at most FILTER_BITS / 64 numbers."""
-    bit = F.shiftright(F.conv(F.hex(F.substring(column, 1, 4)), 16, 10).cast("long"), 6)
+def hash_filter(df: DataFrame, column: str) -> tuple[Broadcast, int]:
+    """A broadcast bit table of a binary column of hashes, and its size as a power of 2: FILTER_SPREAD bits for each hash, at most 2**FILTER_MOST."""
+    n = df.count()
+    size = min(FILTER_MOST, max(FILTER_LEAST, (FILTER_SPREAD * max(n, 1)).bit_length()))
+    bit = F.shiftright(F.conv(F.hex(F.substring(column, 1, 4)), 16, 10).cast("long"), 32 - size)
     words = df.select(F.shiftright(bit, 6).cast("int").alias("w"), bit.bitwiseAND(63).cast("int").alias("b"))
     rows = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v")).toArrow()
-    table = np.zeros(FILTER_BITS // 64, np.uint64)
+    table = np.zeros(1 << (size - 6), np.uint64)
     table[np.asarray(rows.column("w"))] = np.asarray(rows.column("v")).view(np.uint64)
-    return df.sparkSession.sparkContext.broadcast(table.tobytes())
+    return df.sparkSession.sparkContext.broadcast(table.tobytes()), size
 
 
-def passes(hashes: Column, bits) -> Column:
+def passes(hashes: Column, bits: tuple[Broadcast, int]) -> Column:
     """Whether a filter has each of the hashes; false for null."""
+    sent, size = bits
 
     @F.arrow_udf("boolean")
     def inside(digests: pa.Array) -> pa.Array:
-        table = bits.value
-        return pa.array([d is not None and bool(table[(i := filter_bit(d)) >> 3] >> (i & 7) & 1) for d in digests.to_pylist()], pa.bool_())
+        table = sent.value
+        return pa.array([d is not None and bool(table[(i := filter_bit(d, size)) >> 3] >> (i & 7) & 1) for d in digests.to_pylist()], pa.bool_())
 
     return inside(hashes)

@@ -1,108 +1,131 @@
 """Line dedup by content-defined chunks: repeated passages are removed wherever they stand.
 
-A line's own hash, and that of the line after it, choose where a chunk ends, so the chunks of a passage are the same in
-every document that holds it, whatever stands around it. Each two lines in sequence are a chunk too, blank lines between
-them included: they overlap the others, so a match grows line by line to both sides as far as the lines are equal, and a
-passage shorter than a chunk is found. A line of more than LONG_LINE words is a passage by itself. Of each chunk that is
-found more than once in the corpus the first copy (least doc_id, then place) stays; the others go if their bytes are the
-same.
+A chunk ends between two lines if a hash of either of them says so: the line before by one part of its hash, the line
+after by another. So the first and the last lines of a passage set its boundaries from inside, whatever stands around
+it, and the chunks of a passage are the same in every document that holds it. Of each chunk that is found more than once
+in the corpus the first copy (least doc_id, then place) stays. The others are compared with it byte by byte, and grow by
+the line before and the line after where those are the same too: the outer lines of a passage may lie in chunks that
+reach beyond it. What is then two lines or more goes; so does a single line of more than LONG_LINE words.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import filter_bit, hash_filter, mix, written
+from tapewright.llm.common import filter_bit, hash_filter, written
 
-#: One of so many lines may end a chunk.
-DIVISOR = 2
-#: Lines with text in a chunk, at least, and words that a single line must have more of.
+#: Of 10 lines, how many end a chunk, and how many begin one.
+ENDS_OF_10 = 7
+#: Lines with text that a removed passage has at least, and words that a single line must have more of.
 MIN_LINES, LONG_LINE = 2, 50
 _HIGH = 2**63 - 1
+_KIND = {"at": "int", "end": "int", "low": "int", "high": "int", "enough": "boolean", "hash": "binary"}
+_BYTES = ("chunk", "before", "after")
+
+
+def chunk_ends(lines: list[bytes]) -> list[int]:
+    """Ends of the chunks of some lines: after each line whose hash ends one or whose follower's hash begins one, and the last."""
+    hashes = [xxhash.xxh3_64_intdigest(x) for x in lines]
+    return [i for i in range(1, len(lines)) if hashes[i - 1] % 10 < ENDS_OF_10 or (hashes[i] >> 32) % 10 < ENDS_OF_10] + [len(lines)]
+
 
+def is_long(line: bytes) -> bool:
+    return len(line) > 2 * LONG_LINE and len(line.split(None, LONG_LINE)) > LONG_LINE
 
-def chunk_ends(lines: list[bytes], divisor: int = DIVISOR) -> list[int]:
-    """Ends of the chunks: after lines whose hash is 0 modulo the divisor, but not just before another such line (which would be a chunk of one line), and the text's end."""
-    n = len(lines)
-    h = np.fromiter((int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in lines), np.uint64, n)
-    ends = mix(h) % np.uint64(divisor) == 0
-    return [*(np.flatnonzero(ends[:-1] & ~ends[1:]) + 1).tolist(), n]
 
+def text_chunks(text: str | None) -> list[tuple[int, int, int, int, bool, list[bytes]]]:
+    """(at, end, low, high, enough, lines of the text) of each chunk, in order: its lines are at to end, those with the neighbours low to high.
 
-def text_chunks(text: str | None, least: int = MIN_LINES) -> list[tuple[int, int, bytes]]:
-    """First line, number of lines and bytes of each chunk with at least so many lines that aren't blank, in order. None and empty texts have none."""
+    Blank lines belong to no chunk but where they stand between lines of one. enough: the chunk alone may go. A long line
+    within a chunk is a chunk of its own besides. None and empty texts have no chunk.
+    """
     if not text:
         return []
     lines = text.encode("utf-8", "replace").split(b"\n")
     full = [i for i, x in enumerate(lines) if x and not x.isspace()]
-    spans = {(full[i], full[i + least - 1] + 1) for i in range(len(full) - least + 1)}
-    if len(full) > least:
-        ends = chunk_ends([lines[i] for i in full])
-        spans |= {(full[a], full[b - 1] + 1) for a, b in zip([0, *ends[:-1]], ends, strict=True) if b - a >= least}
-    spans |= {(i, i + 1) for i in full if len(lines[i]) > 2 * LONG_LINE and len(lines[i].split(None, LONG_LINE)) > LONG_LINE}
-    return [(a, b - a, b"\n".join(lines[a:b])) for a, b in sorted(spans)]
+    if not full:
+        return []
+    out, first = [], 0
+
+    def chunk(a: int, b: int, enough: bool) -> None:
+        low, high = full[max(a - 1, 0)], full[min(b, len(full) - 1)] + 1
+        out.append((full[a], full[b - 1] + 1, low, high, enough, lines))
+
+    for last in chunk_ends([lines[i] for i in full]):
+        one = last - first == 1
+        chunk(first, last, not one or is_long(lines[full[first]]))
+        if not one:
+            for k in range(first, last):
+                if is_long(lines[full[k]]):
+                    chunk(k, k + 1, True)
+        first = last
+    return out
 
 
 def _chunks(text: Column, with_bytes: bool, bits=None) -> Column:
-    """array of struct(at, lines, hash[, chunk]); with bits, a broadcast filter, only of chunks that it lets through."""
-    kind = "array<struct<at:int,lines:int,hash:binary" + (",chunk:binary" if with_bytes else "") + ">>"
+    """array of struct of _KIND (and _BYTES: the chunk, and what its neighbours add before and after); with bits, only of chunks that the filter lets through."""
+    kinds = _KIND | (dict.fromkeys(_BYTES, "binary") if with_bytes else {}) if bits is not None else {"hash": "binary"}
+    types = {"int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    sent, size = bits if bits is not None else (None, 0)
 
-    @F.arrow_udf(kind)
+    @F.arrow_udf(f"array<struct<{','.join(f'{k}:{v}' for k, v in kinds.items())}>>")
     def found(texts: pa.Array) -> pa.Array:
-        table = np.frombuffer(bits.value, np.uint8) if bits is not None else None
-        at, lines, digests, chunks, ends = [], [], [], [], [0]
+        table = np.frombuffer(sent.value, np.uint8) if sent is not None else None
+        rows: list[tuple] = []
+        ends = [0]
         for t in texts.to_pylist():
-            for a, n, chunk in text_chunks(t):
-                digest = hashlib.md5(chunk).digest()
-                if table is None or table[(i := filter_bit(digest)) >> 3] >> (i & 7) & 1:
-                    at.append(a)
-                    lines.append(n)
-                    digests.append(digest)
-                    if with_bytes:
-                        chunks.append(chunk)
-            ends.append(len(at))
-        cols = [pa.array(at, pa.int32()), pa.array(lines, pa.int32()), pa.array(digests, pa.binary())] + ([pa.array(chunks, pa.binary())] if with_bytes else [])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(cols, ["at", "lines", "hash", "chunk"][: len(cols)]))
+            for a, b, low, high, enough, lines in text_chunks(t):
+                chunk = lines[a] if b == a + 1 else b"\n".join(lines[a:b])
+                digest = xxhash.xxh3_128_digest(chunk)
+                if table is None:
+                    rows.append((digest,))
+                elif table[(i := filter_bit(digest, size)) >> 3] >> (i & 7) & 1:
+                    more = (chunk, b"\n".join(lines[low:a]) if low < a else None, b"\n".join(lines[b:high]) if b < high else None) if with_bytes else ()
+                    rows.append((a, b, low, high, enough, digest, *more))
+            ends.append(len(rows))
+        cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, types[k]) for c, k in zip(cols, kinds.values(), strict=True)], list(kinds)))
 
     return found(text)
 
 
-def _without(text: Column, at: Column, lines: Column) -> Column:
+def _without(text: Column, at: Column, ends: Column) -> Column:
     @F.arrow_udf("string")
-    def rest(texts: pa.Array, starts: pa.Array, counts: pa.Array) -> pa.Array:
+    def rest(texts: pa.Array, starts: pa.Array, stops: pa.Array) -> pa.Array:
         out = []
-        for t, a, n in zip(texts.to_pylist(), starts.to_pylist(), counts.to_pylist(), strict=True):
+        for t, a, b in zip(texts.to_pylist(), starts.to_pylist(), stops.to_pylist(), strict=True):
             if t is not None and a:
-                gone = {i for x, y in zip(a, n, strict=True) for i in range(x, x + y)}
+                gone = {i for x, y in zip(a, b, strict=True) for i in range(x, y)}
                 t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
             out.append(t)
         return pa.array(out, pa.string())
 
-    return rest(text, at, lines)
+    return rest(text, at, ends)
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """k1, k2 (the row's id and its text's md5), at, lines: the chunks to remove of the rows of docs (doc_id, text).
+    """k1, k2 (the row's id and its text's md5), at, end: the lines to remove of the rows of docs (doc_id, text).
 
     A chunk's copies within one text count too. Rows that repeat with the same id and text count as one. Null ids come
     last in the order of ids. Null texts and an empty table have no chunk.
     """
     full = docs.where(F.length("text") > 0)
-    often = full.select(F.explode(_chunks(F.col("text"), False)).alias("c")).groupBy("c.hash").agg(F.count("*").alias("n")).where("n > 1")
+    often = written(full.select(F.explode(_chunks(F.col("text"), False)).alias("c")).groupBy("c.hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
     # what the filter lets through besides the repeated chunks stands once, and is dropped with the counts below
-    bits = hash_filter(often, "hash")
     keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_HIGH)).alias("k1"), F.unhex(F.md5("text")).alias("k2")]
-    copies = written(full.select(*keys, F.explode(_chunks(F.col("text"), True, bits)).alias("c")).select("k1", "k2", "c.*"))
-    first = F.min(F.struct("k1", "k2", "at", "chunk")).alias("first")
+    copies = written(full.select(*keys, F.explode(_chunks(F.col("text"), True, hash_filter(often, "hash"))).alias("c")).select("k1", "k2", "c.*"))
+    first = F.min(F.struct("k1", "k2", "at", *_BYTES)).alias("first")
     # written, so that both sides of the join are plain exchanges and a hot chunk's copies can be split
     firsts = written(copies.groupBy("hash").agg(F.count("*").alias("n"), first).where("n > 1").select("hash", "first"))
     later = F.struct("k1", "k2", "at") != F.struct("first.k1", "first.k2", "first.at")
-    return copies.join(firsts, "hash").where(later & (F.col("chunk") == F.col("first.chunk"))).select("k1", "k2", "at", "lines").distinct()
+    same = lambda c: F.coalesce(F.col(c) == F.col(f"first.{c}"), F.lit(False))
+    met = copies.join(firsts, "hash").where(later & same("chunk"))
+    grown = met.select("k1", "k2", F.when(same("before"), F.col("low")).otherwise(F.col("at")).alias("from"), F.when(same("after"), F.col("high")).otherwise(F.col("end")).alias("to"), "at", "end", "enough")
+    return grown.where(F.col("enough") | (F.col("from") < F.col("at")) | (F.col("to") > F.col("end"))).select("k1", "k2", F.col("from").alias("at"), F.col("to").alias("end")).distinct()
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -111,12 +134,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     A text all of whose lines are repeated becomes empty; a null text stays null, with 0 lines removed.
     """
     taken = "lines_removed"
-    gone = repeated_chunks(docs).groupBy("k1", "k2").agg(F.collect_list("at").alias("ats"), F.collect_list("lines").alias("counts"))
+    gone = repeated_chunks(docs).groupBy("k1", "k2").agg(F.collect_list("at").alias("ats"), F.collect_list("end").alias("ends"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = docs.select(row, F.coalesce(F.col("doc_id").cast("long"), F.lit(_HIGH)).alias("k1"), F.unhex(F.md5("text")).alias("k2"))
     joined = keyed.join(gone, ["k1", "k2"], "left")
-    text = _without(F.col("row.text"), F.col("ats"), F.col("counts")).alias("text")
-    # chunks overlap: a line is counted once
-    places = F.flatten(F.transform(F.arrays_zip("ats", "counts"), lambda c: F.sequence(c["ats"], c["ats"] + c["counts"] - 1)))
+    text = _without(F.col("row.text"), F.col("ats"), F.col("ends")).alias("text")
+    # grown chunks overlap: a line is counted once
+    places = F.flatten(F.transform(F.arrays_zip("ats", "ends"), lambda c: F.sequence(c["ats"], c["ends"] - 1)))
     removed = F.coalesce(F.array_size(F.array_distinct(places)), F.lit(0)).alias(taken)
     return joined.select(*[text if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c != taken], removed)
