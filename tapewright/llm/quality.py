@@ -48,9 +48,9 @@ def char_histogram(text: str) -> np.ndarray:
     return np.bincount(_classes()[codes], minlength=len(CLASSES))
 
 
-def short_words(text: str) -> Counter:
-    """The lower-cased letter runs of up to COMMON_LENGTH letters: function words are among them in any language."""
-    return Counter(w for w in _bare.findall(text.lower()) if len(w) <= COMMON_LENGTH)
+def letter_words(text: str) -> list[str]:
+    """The letter runs of the lower-cased text."""
+    return _bare.findall(text.lower())
 
 
 def repeated_words(words: list) -> int:
@@ -102,8 +102,11 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, list[str], np.nda
             words: dict = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 chars[lang] = chars.get(lang, 0) + char_histogram(text)
-                words.setdefault(lang, Counter()).update(short_words(text))
-                words[lang][""] += len(_bare.findall(text))
+                found = Counter(letter_words(text))
+                own = words.setdefault(lang, Counter())
+                # words of up to COMMON_LENGTH letters: function words are among them in any language
+                own.update({w: n for w, n in found.items() if len(w) <= COMMON_LENGTH})
+                own[""] += found.total()
             rows = [(k, f"#{i}", int(n)) for k, h in chars.items() for i, n in enumerate(h)] + [(k, w, n) for k, c in words.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "word", "n"])
 
@@ -149,8 +152,8 @@ def judge(text: Column, refs: dict, char_limit: float = CHAR_LIMIT, word_limit:
         if tables and len(text) >= GUARD_CHARS:
             own = char_histogram(text)
             by_char = min(distance(own, chars) for chars, *_ in tables)
-            found = short_words(text)
-            total = len(_bare.findall(text))
+            found = Counter(letter_words(text))
+            total = found.total()
             if total >= GUARD_WORDS:
                 each = []
                 for _, at, bins, _ in tables:
