@@ -159,22 +159,41 @@ def divergence_pairs(df: DataFrame) -> DataFrame:
     return found.select(*KEY, F.explode("pairs").alias("x")).select(*KEY, "x.*")
 
 
-def risk_reward(close: Column, swing: Column, atr: Column, strength: Column, bullish: Column) -> Column:
-    """Reward over risk, 0.5 to 5: the stop lies half an ATR beyond the swing, the target a multiple of the risk away; 0 without risk."""
+def trade(close: Column, swing: Column, atr: Column, strength: Column, bullish: Column) -> Column:
+    """struct(entry_price, stop_loss, target_price, risk_amount, reward_amount, risk_reward, atr) of a divergence.
+
+    Entry at the close; the stop lies half an ATR beyond the swing, the target a multiple of the risk away from the entry,
+    the greater the stronger the divergence. risk_reward is 0.5 to 5, and 0 without risk.
+    """
     stop = F.when(bullish, swing - atr / 2).otherwise(swing + atr / 2)
     risk = F.abs(close - stop)
     multiple = F.when(strength > 0.15, 3.0).when(strength > 0.10, 2.5).otherwise(2.0)
-    return F.when(risk > 0, F.least(F.greatest(risk * multiple / risk, F.lit(0.5)), F.lit(5.0))).otherwise(0.0)
+    target = close + F.when(bullish, 1).otherwise(-1) * risk * multiple
+    reward = F.abs(target - close)
+    rate = F.when(risk > 0, F.least(F.greatest(reward / risk, F.lit(0.5)), F.lit(5.0))).otherwise(0.0)
+    values = {"entry_price": close, "stop_loss": stop, "target_price": target, "risk_amount": risk, "reward_amount": reward, "risk_reward": rate, "atr": atr}
+    return F.struct(*[v.alias(k) for k, v in values.items()])
+
+
+def _traded(found: DataFrame) -> DataFrame:
+    """key, the newest row's context, and x (indicator, class and levels, with t: trade) for each best pair; a row of nulls for a key without."""
+    pairs = found.select(*KEY, "_newest.*", F.explode_outer("pairs").alias("x")).select(*KEY, "last_close", "confirm_change", "x.*", F.coalesce("close_range_atr", F.lit(0.0)).alias("_atr"))
+    bullish = F.col("class").endswith("BULLISH")
+    own = F.when(F.col("class").isNotNull(), trade(F.col("last_close"), F.col("swing_price"), F.col("_atr"), F.col("strength"), bullish))
+    return pairs.withColumns({"_bull": bullish, "t": own})
+
+
+def trade_levels(df: DataFrame) -> DataFrame:
+    """Entry, stop, target, risk and reward of each key's strongest divergence by indicator and class. df: as for divergence_pairs."""
+    rows = _traded(best_pairs(gathered(df, ("close", *SWING_INDICATORS)))).where(F.col("class").isNotNull())
+    return rows.select(*KEY, "indicator", "class", "t.*")
 
 
 def divergence_consensus(df: DataFrame) -> DataFrame:
     """One row for each key: counts by class, confirmed counts, mean strength, greatest risk/reward, and the consensus with its text."""
-    found = best_pairs(gathered(df, ("close", *SWING_INDICATORS)))
-    pairs = found.select(*KEY, "_newest.*", F.explode_outer("pairs").alias("x")).select(*KEY, "last_close", "confirm_change", "close_range_atr", "x.*")
-    bullish = F.col("class").endswith("BULLISH")
-    confirmed = F.coalesce(F.when(bullish, F.col("confirm_change") > 0).otherwise(F.col("confirm_change") < 0), F.lit(False))
-    reward = F.when(F.col("class").isNotNull(), risk_reward(F.col("last_close"), F.col("swing_price"), F.coalesce("close_range_atr", F.lit(0.0)), F.col("strength"), bullish))
-    pairs = pairs.withColumns({"_bull": bullish, "_confirmed": confirmed & F.col("class").isNotNull(), "_rr": reward})
+    pairs = _traded(best_pairs(gathered(df, ("close", *SWING_INDICATORS))))
+    confirmed = F.coalesce(F.when(F.col("_bull"), F.col("confirm_change") > 0).otherwise(F.col("confirm_change") < 0), F.lit(False))
+    pairs = pairs.withColumns({"_confirmed": confirmed & F.col("class").isNotNull(), "_rr": F.round("t.risk_reward", 9)})
     every = pairs.groupBy(*KEY).agg(
         *[F.count_if(F.col("class") == c).alias(f"DIV_{c}") for c in CLASSES],
         F.count_if(F.col("_confirmed") & F.col("_bull")).alias("confirmed_bullish"),

@@ -55,3 +55,10 @@ def with_history(bars: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
     """Bars of the keys that have so many rows at least. A count that is combined in tasks, and a semi join."""
     enough = bars.groupBy("symbol", "interval").count().where(F.col("count") >= least)
     return bars.join(enough, ["symbol", "interval"], "left_semi")
+
+
+def guarded(bars: DataFrame, names: tuple[str, ...] | list[str] = DEFAULT_SET, least: int = LEAST_ROWS) -> DataFrame:
+    """indicators() of the keys that have so many rows at least; the bars of shorter keys stay, with nulls. So a series of a few derived bars has none."""
+    rows = indicators(with_history(bars, least), names)
+    short = bars.join(bars.groupBy("symbol", "interval").count().where(F.col("count") < least), ["symbol", "interval"], "left_semi")
+    return rows.unionByName(short, allowMissingColumns=True)

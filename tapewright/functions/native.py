@@ -209,6 +209,16 @@ def fib_nearest(price: Column) -> Column:
     return F.when(F.col("Fib_0").isNotNull(), F.array_min(F.array(*levels)))
 
 
+def fib_around(price: Column) -> Column:
+    """struct(nearest, support, resistance): the level nearest to a price, and the next ones below and above that level, each struct(level, name); null where there is none."""
+    levels = F.array(*[F.struct(F.col(n).alias("level"), F.lit(n).alias("name")) for n in FIB_LEVELS])
+    near = fib_nearest(price)
+    at = F.struct(near["level"].alias("level"), near["name"].alias("name"))
+    below = F.array_max(F.filter(levels, lambda x: x["level"] < near["level"]))
+    above = F.array_min(F.filter(levels, lambda x: x["level"] > near["level"]))
+    return F.when(near.isNotNull(), F.struct(at.alias("nearest"), below.alias("support"), above.alias("resistance")))
+
+
 #: The indicators, and what each of them adds. CVD and OBV need a running sum besides (indicators.SUMMED).
 NATIVE: dict[str, tuple[Callable[[], Stages], tuple[str, ...]]] = {
     "RSM": (rsm.stages, ("RSM",)),

@@ -297,6 +297,12 @@ _PAIRS = ",\n".join(
 PAIRS_QUERY = f"""WITH RECURSIVE {SERIES}, {SWINGS}, {_PAIRS} SELECT symbol, '4h' AS "interval", indicator, class, {rounded("p1, p2, q1, q2, strength, swing_price")} FROM best"""
 _COUNTS = ", ".join(f"""count(*) FILTER (class = '{c}') AS "DIV_{c}\"""" for c in ("REG_BULLISH", "REG_BEARISH", "HID_BULLISH", "HID_BEARISH"))
 _SPAN14 = "OVER (PARTITION BY symbol ORDER BY pos ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)"
+_RANGED = f"""ranged AS (SELECT symbol, "interval", pos, len, close, close - lag(close, 2) OVER (PARTITION BY symbol ORDER BY pos) AS change, CASE WHEN pos >= 13 THEN max(close) {_SPAN14} - min(close) {_SPAN14} END AS span FROM recent),
+context AS (SELECT * FROM (SELECT *, CASE WHEN count(span) {_SPAN14} = 14 THEN avg(span) {_SPAN14} END AS atr FROM ranged) WHERE pos = len - 1)"""
+TRADE_QUERY = f"""WITH RECURSIVE {SERIES}, {SWINGS}, {_PAIRS}, {_RANGED},
+stops AS (SELECT c.symbol, c."interval", indicator, class, strength, close, coalesce(atr, 0) AS atr, class LIKE '%BULLISH' AS bull, swing_price + CASE WHEN class LIKE '%BULLISH' THEN -1 ELSE 1 END * coalesce(atr, 0) / 2 AS stop FROM context c JOIN best b USING (symbol)),
+targets AS (SELECT *, abs(close - stop) AS risk, abs(close - stop) * CASE WHEN strength > 0.15 THEN 3.0::DOUBLE WHEN strength > 0.10 THEN 2.5 ELSE 2 END AS reward FROM stops)
+SELECT symbol, "interval", indicator, class, round(close, 6) AS entry_price, round(stop, 6) AS stop_loss, round(close + CASE WHEN bull THEN reward ELSE -reward END, 6) AS target_price, round(risk, 6) AS risk_amount, round(reward, 6) AS reward_amount, round(CASE WHEN risk > 0 THEN least(greatest(reward / risk, 0.5), 5.0) ELSE 0 END, 6) AS risk_reward, round(atr, 6) AS atr FROM targets"""
 DIVERGENCE_QUERY = f"""WITH RECURSIVE {SERIES}, {SWINGS}, {_PAIRS},
 ranged AS (SELECT symbol, "interval", pos, len, close, close - lag(close, 2) OVER (PARTITION BY symbol ORDER BY pos) AS change, CASE WHEN pos >= 13 THEN max(close) {_SPAN14} - min(close) {_SPAN14} END AS span FROM recent),
 context AS (SELECT * FROM (SELECT *, CASE WHEN count(span) {_SPAN14} = 14 THEN avg(span) {_SPAN14} END AS atr FROM ranged) WHERE pos = len - 1),

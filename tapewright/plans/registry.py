@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from tapewright.functions import divergence, native, tpd
 from tapewright.functions.consensus import consensus
-from tapewright.functions.indicators import columns_of, indicators
+from tapewright.functions.indicators import columns_of, guarded, indicators
 from tapewright.operators import relational, reports, serving, store
 from tapewright.operators.bars import all_bars, derive, keep_last, merge_poll, resample
 from tapewright.operators.blocks import blocked, finished, numbered
 from tapewright.operators.shared import scratch
 from tapewright.operators.upsert import UpsertTable
 from tapewright.plans import oracles as sql
-from tapewright.plans.dims import DEFAULT_SET, KEY, PRESETS, derived_table
+from tapewright.plans.dims import DEFAULT_SET, HISTORY, KEY, PRESETS, derived_table
 from tapewright.sources import messages as msg
 from tapewright.sources.ticks import event_ticks, order_ticks, table
 from tapewright.streaming import live, stateful
@@ -136,6 +136,27 @@ def fib_nearest_level(spark, sf_dir):
     return rounded(rows.select("symbol", "ts", "near.name", "near.level"))
 
 
+_NEXT = "nearest AS (SELECT *, level AS at FROM levels QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY distance, place) = 1)"
+
+
+@query(
+    f"""WITH {sql.SERIES}, levels AS ({_LEVELS}), {_NEXT} SELECT n.symbol, n.ts, n.name AS nearest, round(n.at, 6) AS level, (SELECT arg_max(l.name, (l.level, l.name)) FROM levels l WHERE l.symbol = n.symbol AND l.ts = n.ts AND l.level < n.at) AS support, (SELECT arg_min(l.name, (l.level, l.name)) FROM levels l WHERE l.symbol = n.symbol AND l.ts = n.ts AND l.level > n.at) AS resistance FROM nearest n"""
+)
+def fib_next_levels(spark, sf_dir):
+    rows = indicators(bars(spark, sf_dir), ["Fibonacci"]).withColumn("f", native.fib_around(F.col("close"))).where("f IS NOT NULL")
+    return rounded(rows.select("symbol", "ts", F.col("f.nearest.name").alias("nearest"), "f.nearest.level", F.col("f.support.name").alias("support"), F.col("f.resistance.name").alias("resistance")))
+
+
+@query(
+    f"""WITH {sql.TICKS}, {sql.bars("1d", "a")}, {sql.wider("3d", "b", "a")}, u AS (SELECT * FROM a UNION ALL SELECT * FROM b), c AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY symbol, "interval") AS n, avg(close) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS mean, close - lag(close) OVER w AS d FROM u WINDOW w AS (PARTITION BY symbol, "interval" ORDER BY ts))
+SELECT symbol, "interval", ts, round(CASE WHEN n >= 30 AND rn >= 20 THEN mean END, 6) AS "SMA_20", round(CASE WHEN n >= 30 THEN d * volume END, 6) AS "FRC" FROM c"""
+)
+def indicators_of_long_enough_series(spark, sf_dir):
+    """Daily series have 30 bars and get their indicators, 3-day series are too short and keep their bars alone."""
+    daily = bars(spark, sf_dir, "1d")
+    return rounded(guarded(all_bars(daily, derive(daily, "3d", "1d")), ["SMA_20", "FRC"]).select(*KEY, "ts", "SMA_20", "FRC"))
+
+
 @query(sql.SIMPLE_QUERY)
 def ind_divergence_simple(spark, sf_dir):
     rows = indicators(bars(spark, sf_dir), ["MFI", "RSI", "MCD", "VOL", "CCI", "CMF", "WIL", "+DI"])
@@ -168,6 +189,11 @@ def divergence_consensus(spark, sf_dir):
     return rounded(divergence.divergence_consensus(_swing_rows(spark, sf_dir)))
 
 
+@query(sql.TRADE_QUERY)
+def divergence_trade_levels(spark, sf_dir):
+    return rounded(divergence.trade_levels(_swing_rows(spark, sf_dir)))
+
+
 # --- composite ----------------------------------------------------------------------------------------------------------
 for _name, _numbers, _texts in (
     ("tpd_score", "TPD,TPD_Volatility_Factor,TPD_Reliability,TPD_Momentum", ""),
@@ -383,10 +409,9 @@ SELECT symbol, place, other FROM a JOIN b USING (symbol) WHERE abs(place - other
 )
 def nearest_asof_tolerance(spark, sf_dir):
     """Each high price with the nearest low price within 10 ticks."""
-    from pyspark.sql import Window
-
-    numbered = ticks(spark, sf_dir).withColumn("place", F.row_number().over(Window.partitionBy("symbol").orderBy("ts", "id")))
-    return relational.nearest(numbered.where("price > 470").select("symbol", "place"), numbered.where("price < 15").select("symbol", F.col("place").alias("other")), "symbol", "place", "other", 10)
+    hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)
+    placed = numbered(ticks(spark, sf_dir), ("symbol",), ("ts", "id"), hour).withColumnRenamed("_rn", "place")
+    return relational.nearest(placed.where("price > 470").select("symbol", "place"), placed.where("price < 15").select("symbol", F.col("place").alias("other")), "symbol", "place", "other", 10)
 
 
 # --- streams, run over all there is --------------------------------------------------------------------------------------------------
@@ -572,11 +597,16 @@ def stream_throttle_ttl(spark, sf_dir):
     return rounded(given.select(*KEY, "ts", "close", F.col("expires_at").cast("timestamp_ntz").alias("expires_at")))
 
 
+def _packed(rows: DataFrame):
+    """Bars grouped as messages have them: a key's history in parts of HISTORY bars."""
+    return numbered(rows).groupBy(*KEY, F.floor((F.col("_rn") - 1) / HISTORY).alias("_part"))
+
+
 # --- decoders ------------------------------------------------------------------------------------------------------------------------
 @query(f"""WITH {sql.TICKS}, {sql.bars("4h")} SELECT symbol, "interval", ts, {sql.rounded(sql.OHLCV)}, symbol = 'view' AS poll FROM bars""")
 def decode_struct_of_arrays(spark, sf_dir):
-    """Bars packed into one message of arrays for each key, and decoded again."""
-    rows = bars(spark, sf_dir).groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("ts", "open", "high", "low", "close", "volume"))).alias("r"))
+    """Bars packed into messages of arrays, of up to HISTORY bars each, and decoded again."""
+    rows = _packed(bars(spark, sf_dir)).agg(F.sort_array(F.collect_list(F.struct("ts", "open", "high", "low", "close", "volume"))).alias("r"))
     part = lambda c: F.transform("r", lambda x: x[c])
     times = F.transform("r", lambda x: F.unix_millis(x["ts"].cast("timestamp")))
     data = F.to_json(F.struct(times.alias("time"), *[part(c).alias(c) for c in ("open", "high", "low", "close")], part("volume").alias("vol")))
@@ -587,9 +617,9 @@ def decode_struct_of_arrays(spark, sf_dir):
 
 @query(f"""WITH {sql.TICKS}, {sql.bars("4h")} SELECT symbol, "interval", ts, {sql.rounded(sql.OHLCV)} FROM bars""")
 def decode_array_rows(spark, sf_dir):
-    """Bars packed into one message of rows for each key, numbers as texts, and decoded again."""
+    """Bars packed into messages of rows, of up to HISTORY bars each, numbers as texts, and decoded again."""
     fields = F.array(F.unix_millis(F.col("ts").cast("timestamp")).cast("string"), *[F.col(c).cast("string") for c in ("open", "high", "low", "close", "volume")])
-    rows = bars(spark, sf_dir).groupBy(*KEY).agg(F.to_json(F.collect_list(fields)).alias("data"))
+    rows = _packed(bars(spark, sf_dir)).agg(F.to_json(F.collect_list(fields)).alias("data"))
     raw = rows.select(F.to_json(F.struct(F.lit("bnc_rest").alias("t"), *KEY, "data")).alias("value"))
     decoded = msg.array_rows(msg.messages(raw))
     return rounded(decoded.withColumn("ts", F.col("ts").cast("timestamp_ntz")).select(*KEY, "ts", "open", "high", "low", "close", "volume"))
