@@ -14,6 +14,7 @@ from tapewright.functions.indicators import columns_of, guarded, indicators
 from tapewright.operators import relational, reports, serving, store
 from tapewright.operators.bars import all_bars, derive, keep_last, merge_poll, resample
 from tapewright.operators.blocks import blocked, finished, numbered
+from tapewright.operators.quantile import exact_quantile
 from tapewright.operators.shared import scratch
 from tapewright.operators.upsert import UpsertTable
 from tapewright.plans import oracles as sql
@@ -414,6 +415,12 @@ def nearest_asof_tolerance(spark, sf_dir):
     return relational.nearest(placed.where("price > 470").select("symbol", "place"), placed.where("price < 15").select("symbol", F.col("place").alias("other")), "symbol", "place", "other", 10)
 
 
+@query("SELECT l_returnflag, count(l_extendedprice) AS n, round(quantile_cont(l_extendedprice, 0.7), 6) AS quantile FROM lineitem GROUP BY l_returnflag")
+def exact_quantiles(spark, sf_dir):
+    """The 0.7 quantile of each flag's prices, by counting in ranges: no key is put in order in one task."""
+    return rounded(exact_quantile(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", 0.7))
+
+
 # --- streams, run over all there is --------------------------------------------------------------------------------------------------
 def _tick_stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     """The ticks as a stream of a few files in the order of time; times become TIMESTAMP, as watermarks need them."""
@@ -603,6 +610,20 @@ def _packed(rows: DataFrame):
 
 
 # --- decoders ------------------------------------------------------------------------------------------------------------------------
+@query(
+    """WITH m AS (SELECT event_id, event_type, value, CASE event_id % 7 WHEN 1 THEN 'not json' WHEN 2 THEN 'unknown kind' WHEN 3 THEN 'no symbol' WHEN 4 THEN 'no object' END AS reason FROM events)
+SELECT CASE WHEN reason IS NULL THEN event_type END AS symbol, reason, count(*) AS n, round(sum(CASE WHEN reason IS NULL THEN value END), 6) AS total FROM m GROUP BY ALL"""
+)
+def message_judgement(spark, sf_dir):
+    """Deals as messages, some of them broken: counts and sums by symbol of the good ones, and counts of the others by reason."""
+    events = table(spark, sf_dir, "events").withColumn("n", F.col("event_id") % 7)
+    message = F.to_json(F.struct(F.when(F.col("n") == 2, "other").otherwise("mexc_deal").alias("t"), F.when(F.col("n") != 3, F.col("event_type")).alias("symbol"), F.col("value").alias("price")))
+    raw = F.when(F.col("n") == 1, F.substring(message, 1, 9)).when(F.col("n") == 4, F.concat(F.lit("["), message, F.lit("]"))).otherwise(message)
+    judged = msg.judged_messages(events.select(raw.alias("value")))
+    good = F.col("reason").isNull()
+    return rounded(judged.groupBy(F.when(good, F.col("symbol")).alias("symbol"), "reason").agg(F.count("*").alias("n"), F.sum(F.when(good, F.col("price"))).alias("total")))
+
+
 @query(f"""WITH {sql.TICKS}, {sql.bars("4h")} SELECT symbol, "interval", ts, {sql.rounded(sql.OHLCV)}, symbol = 'view' AS poll FROM bars""")
 def decode_struct_of_arrays(spark, sf_dir):
     """Bars packed into messages of arrays, of up to HISTORY bars each, and decoded again."""

@@ -16,6 +16,7 @@ from tapewright.functions.recursive import seeded
 from tapewright.operators import reports, serving, store
 from tapewright.operators.bars import derive, keep_last, merge_poll, resample
 from tapewright.operators.blocks import blocked, finished, recurrences, running_sum
+from tapewright.operators.quantile import exact_quantile
 from tapewright.plans.dims import BAR, DEFAULT_SET, PRESETS, matching_preset
 from tapewright.plans.registry import ORACLES, QUERIES
 from tapewright.sources import messages as msg
@@ -269,3 +270,28 @@ def test_averages_are_exact_whatever_the_span_and_the_blocks(spark, span, rows,
     got = finished(out).orderBy("ts").collect()
     assert [r.y for r in got] == pytest.approx(wanted, rel=1e-12) and [r.own for r in got] == pytest.approx(wanted, rel=1e-12)
     assert got[-1].total == pytest.approx(sum(closes)) and halos and all(wanted[n - 1] == pytest.approx(y, rel=1e-12) for n, y in halos.items())
+
+
+@pytest.mark.parametrize(("few", "cells", "q"), [(3, 4, 0.7), (1, 2, 0.0), (5, 1024, 1.0), (10_000, 1024, 0.5)])
+def test_exact_quantiles_of_ties_extremes_and_odd_rows(spark, few, cells, q):
+    import numpy as np
+
+    rng = random.Random(few)
+    values = {"a": [rng.gauss(0, 1e6) for _ in range(200)], "b": [float(rng.randrange(4)) for _ in range(150)], "c": [7.0] * 90, None: [1.0, 2.0], "d": [-1e308, 1e308, 0.0], "e": [3.5]}
+    rows = [(k, v) for k, vs in values.items() for v in [*vs, None, float("nan")]] + [("f", None)]
+    got = {r.k: (r.n, r.quantile) for r in exact_quantile(spark.createDataFrame(rows, "k string, v double").repartition(3), "k", "v", q, few, cells).collect()}
+    assert got.keys() == values.keys() and all(got[k] == (len(vs), pytest.approx(float(np.quantile(vs, q)))) for k, vs in values.items() if k != "d")
+    assert exact_quantile(spark.createDataFrame([], "k string, v double"), "k", "v", q).count() == 0
+
+
+def test_messages_are_judged_and_none_is_lost(spark):
+    texts = ['{"t":"bnc_kline","k":{"s":"x","c":"1"}}', '{"t":"mexc_deal","symbol":"y","price":2}', '{"t":"what"}', "[1]", "{", None, "", '{"t":"mexc_rest","symbol":"z","interval":"1m","poll":true,"data":{"time":[1]}}', '{"t":"mexc_deal","price":1}', "5"]
+    rows = msg.judged_messages(spark.createDataFrame([(t,) for t in texts], "value string")).collect()
+    assert [r.reason for r in rows] == [None, None, "unknown kind", "no object", "not json", "not json", "not json", None, "no symbol", "no object"]
+    assert [r.symbol for r in rows if r.reason is None] == ["x", "y", "z"] and rows[1].price == 2.0 and rows[7].poll and rows[7].payload.toPython() == {"time": [1]}
+
+
+def test_trade_levels_follow_the_divergence(spark):
+    rows = spark.createDataFrame([(100.0, 90.0, 4.0, 0.2, True), (100.0, 110.0, 4.0, 0.12, False), (100.0, 100.0, 0.0, 0.06, True)], "c double, s double, a double, g double, b boolean")
+    got = [tuple(r.t) for r in rows.select(divergence.trade(F.col("c"), F.col("s"), F.col("a"), F.col("g"), F.col("b")).alias("t")).collect()]
+    assert got == [(100.0, 88.0, 136.0, 12.0, 36.0, 3.0, 4.0), (100.0, 112.0, 70.0, 12.0, 30.0, 2.5, 4.0), (100.0, 100.0, 100.0, 0.0, 0.0, 0.0, 0.0)]
