@@ -10,6 +10,7 @@ k log k darts are thrown, however long the text is.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -52,6 +53,13 @@ def _poisson(area: np.ndarray, most: int = 14) -> np.ndarray:
     return out
 
 
+@lru_cache(64)
+def _grid(height: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the cells up to a height: bottoms, heights, seeds of their hashes, and cumulative probabilities of their numbers of darts. Heights are powers of 2, so there are few grids."""
+    bottoms, heights = _cells(height)
+    return bottoms, heights, mix(np.arange(1, len(bottoms) + 1, dtype=np.uint64) * _SEED), _poisson(heights)
+
+
 def weighted_elements(grams: np.ndarray) -> np.ndarray:
     """A multiset as a set: its first, second, ... copies of a shingle are elements (stripes of the shingle's region) of their own."""
     values, counts = np.unique(grams, return_counts=True)
@@ -67,23 +75,20 @@ def signature(elements: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
     found = np.zeros(k, bool)
     height = 2.0 ** math.ceil(math.log2(k * (math.log(k) + 2) / len(elements)))
     while True:
-        bottoms, heights = _cells(height)
-        seeds = mix(np.arange(1, len(bottoms) + 1, dtype=np.uint64) * _SEED)
+        bottoms, heights, seeds, chance = _grid(height)
         # cells one by one in blocks, so that memory stays in proportion to the text
         ranks_all, coords_all, ids_all = [], [], []
-        chance = _poisson(heights)
         block = max(1, 200_000 // len(elements))
         for at in range(0, len(bottoms), block):
             h = mix(elements[None, :] ^ seeds[at : at + block, None])
             u = (h >> np.uint64(11)) * 2.0**-53
-            count = np.zeros(h.shape, np.int64)
-            for column in chance[at : at + block].T:
-                over = u > column[:, None]
-                if not over.any():
+            cell, element = np.nonzero(u > chance[at : at + block, :1])
+            n, more, value = np.ones(len(cell), np.int64), np.arange(len(cell)), u[cell, element]
+            for i in range(1, chance.shape[1]):  # of the cells with i darts, those with one more
+                more = more[value[more] > chance[at + cell[more], i]]
+                if not len(more):
                     break
-                count += over
-            cell, element = np.nonzero(count)
-            n = count[cell, element]
+                n[more] += 1
             cell, start = np.repeat(cell, n), np.repeat(h[cell, element], n)
             turn = np.arange(len(start)) - np.repeat(np.cumsum(n) - n, n)
             dart = mix(start + (turn.astype(np.uint64) + np.uint64(1)) * _SEED)
