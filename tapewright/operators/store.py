@@ -1,7 +1,8 @@
 """The snapshot store: Parquet by interval, with a table of what is stored, a guard against shrinking, and freshness.
 
 Each write is a generation of its own under data/; meta/ says which generation a key's rows are read from. So a failed
-write leaves the old rows in place, and no file is rewritten for the sake of another key.
+write leaves the old rows in place, and no file is rewritten for the sake of another key. Compaction puts all current rows
+into one generation, sorted by key; vacuum takes away generations that no key is read from any more.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.operators.bars import keep_last
-from tapewright.plans.dims import KEY, SNAPSHOT_TTL_S
+from tapewright.plans.dims import BAR, KEY, SNAPSHOT_TTL_S
 
 LEAST_ROWS, LEAST_SHARE = 5, 0.5
-META = "symbol string, interval string, generation string, rows long, status string, updated_at timestamp"
+META = "symbol string, interval string, generation string, rows long, status string, updated_at timestamp, logged_at timestamp"
 BAR_NAMES = {"symbol", "interval", "ts", "open", "high", "low", "close", "volume"}
 
 
@@ -48,7 +49,8 @@ class SnapshotStore:
 
     def meta(self) -> DataFrame:
         """The newest entry of each key; deleted keys have none."""
-        return keep_last(self._log(), "updated_at", KEY).where(F.col("status") == "completed")
+        order = F.struct(F.coalesce("logged_at", "updated_at"), "updated_at")
+        return keep_last(self._log().withColumn("_order", order), "_order", KEY).where(F.col("status") == "completed").drop("_order")
 
     def write(self, rows: DataFrame) -> DataFrame:
         """Stores the keys that the guard lets through and returns the guard's table. Codec: LZ4."""
@@ -58,7 +60,7 @@ class SnapshotStore:
         out = rows.join(good.select(*KEY), list(KEY), "left_semi")
         # one file for each interval and hash of the symbol, however many keys there are
         out.repartition("interval", F.col("symbol")).write.option("compression", "lz4_raw").partitionBy("interval").parquet(f"{self.path}/data/generation={generation}")
-        entry = good.select(*KEY, F.lit(generation).alias("generation"), F.col("n").alias("rows"), F.lit("completed").alias("status"), F.current_timestamp().alias("updated_at"))
+        entry = good.select(*KEY, F.lit(generation).alias("generation"), F.col("n").alias("rows"), F.lit("completed").alias("status"), F.current_timestamp().alias("updated_at"), F.current_timestamp().alias("logged_at"))
         entry.coalesce(1).write.mode("append").parquet(f"{self.path}/meta")
         return judged
 
@@ -69,7 +71,11 @@ class SnapshotStore:
             known = known.where(F.col("symbol").isin(*symbols))
         if intervals is not None:
             known = known.where(F.col("interval").isin(*intervals))
-        data = self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/data")
+        # only generations that some key is read from, so old ones neither cost a listing nor bring their columns
+        used = [r.generation for r in known.select("generation").distinct().collect()]
+        if not used:
+            return self.spark.createDataFrame([], BAR)
+        data = self.spark.read.option("mergeSchema", "true").option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/data/generation={g}" for g in used])
         return data.join(known.select(*KEY, "generation"), [*KEY, "generation"], "left_semi").drop("generation")
 
     def last_rows(self) -> DataFrame:
@@ -85,12 +91,40 @@ class SnapshotStore:
 
     def delete(self, condition: Column) -> None:
         """Takes the keys of meta for which the condition holds out of what is read."""
-        gone = self.meta().where(condition).withColumns({"status": F.lit("deleted"), "updated_at": F.current_timestamp()})
+        gone = self.meta().where(condition).withColumns({"status": F.lit("deleted"), "updated_at": F.current_timestamp(), "logged_at": F.current_timestamp()})
         gone.write.mode("append").parquet(f"{self.path}/meta")
 
     def delete_expired(self, ttl_s: int = SNAPSHOT_TTL_S) -> None:
         self.delete(F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("updated_at") > ttl_s)
 
+    def compact(self) -> str | None:
+        """Puts all current rows into one generation, in ranges of the key and sorted, so that reads of some keys skip files and row groups. Times of update stay. The generation's name; None for an empty store."""
+        known = self.meta()
+        if known.limit(1).count() == 0:
+            return None
+        generation = uuid.uuid4().hex
+        rows = self.read()
+        rows.repartitionByRange("interval", "symbol", "ts").sortWithinPartitions("interval", "symbol", "ts").write.option("compression", "lz4_raw").partitionBy("interval").parquet(f"{self.path}/data/generation={generation}")
+        entry = known.withColumns({"generation": F.lit(generation), "logged_at": F.current_timestamp()}).select(*[c.split()[0] for c in META.split(", ")])
+        entry.coalesce(1).write.mode("append").parquet(f"{self.path}/meta")
+        return generation
+
+    def vacuum(self, older_s: int = 3600) -> list[str]:
+        """Deletes the generations that no key is read from and that were written so long ago, longer than any read takes. Their names."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/data")
+        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(path):
+            return []
+        used = {r.generation for r in self.meta().select("generation").distinct().collect()}
+        now = self.spark.sql("SELECT unix_millis(current_timestamp())").first()[0]
+        gone = []
+        for f in files.listStatus(path):
+            name = f.getPath().getName().partition("generation=")[2]
+            if name and name not in used and f.getModificationTime() <= now - 1000 * older_s:
+                files.delete(f.getPath(), True)
+                gone.append(name)
+        return gone
+
     def health(self) -> DataFrame:
         """interval, keys, rows, oldest and newest update."""
         return self.meta().groupBy("interval").agg(F.count("*").alias("keys"), F.sum("rows").alias("rows"), F.min("updated_at").alias("oldest"), F.max("updated_at").alias("newest"))

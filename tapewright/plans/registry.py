@@ -19,9 +19,10 @@ from tapewright.operators.shared import scratch
 from tapewright.operators.upsert import UpsertTable
 from tapewright.plans import oracles as sql
 from tapewright.plans.dims import DEFAULT_SET, HISTORY, KEY, PRESETS, derived_table
+from tapewright.sources import files
 from tapewright.sources import messages as msg
 from tapewright.sources.ticks import event_ticks, order_ticks, table
-from tapewright.streaming import live, stateful
+from tapewright.streaming import live, metrics, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -610,16 +611,38 @@ def _packed(rows: DataFrame):
 
 
 # --- decoders ------------------------------------------------------------------------------------------------------------------------
-@query(
-    """WITH m AS (SELECT event_id, event_type, value, CASE event_id % 7 WHEN 1 THEN 'not json' WHEN 2 THEN 'unknown kind' WHEN 3 THEN 'no symbol' WHEN 4 THEN 'no object' END AS reason FROM events)
-SELECT CASE WHEN reason IS NULL THEN event_type END AS symbol, reason, count(*) AS n, round(sum(CASE WHEN reason IS NULL THEN value END), 6) AS total FROM m GROUP BY ALL"""
-)
-def message_judgement(spark, sf_dir):
-    """Deals as messages, some of them broken: counts and sums by symbol of the good ones, and counts of the others by reason."""
+_BROKEN = "WITH m AS (SELECT event_id, ts, event_type, value, CASE event_id % 7 WHEN 1 THEN 'not json' WHEN 2 THEN 'unknown kind' WHEN 3 THEN 'no symbol' WHEN 4 THEN 'no object' END AS reason FROM events)"
+
+
+def _broken_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deals as messages (value, at), some of them broken."""
     events = table(spark, sf_dir, "events").withColumn("n", F.col("event_id") % 7)
     message = F.to_json(F.struct(F.when(F.col("n") == 2, "other").otherwise("mexc_deal").alias("t"), F.when(F.col("n") != 3, F.col("event_type")).alias("symbol"), F.col("value").alias("price")))
     raw = F.when(F.col("n") == 1, F.substring(message, 1, 9)).when(F.col("n") == 4, F.concat(F.lit("["), message, F.lit("]"))).otherwise(message)
-    judged = msg.judged_messages(events.select(raw.alias("value")))
+    return events.select(raw.alias("value"), F.col("ts").cast("timestamp").alias("at"))
+
+
+@query(f"{_BROKEN} SELECT count(*) AS judged, count(reason) AS rejected, max(ts) AS newest FROM m")
+def stream_metrics(spark, sf_dir):
+    """What a stream of deals tells of itself while it runs: messages, rejected ones and the newest time, over all micro-batches."""
+    log = metrics.MetricsLog(spark)
+    folder = scratch(spark, "streams")
+    rows = _broken_deals(spark, sf_dir)
+    rows.repartition(3).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    judged = metrics.observed(msg.judged_messages(stream, keep=("at",)), F.col("reason").isNotNull(), F.col("at"))
+    running = live.serve(judged, lambda df, i: df.drop("payload").write.mode("append").parquet(f"{folder}/out"), f"{folder}/state", mode="append")
+    running.awaitTermination()
+    log.wait(running)
+    log.close()
+    out = log.table().agg(F.sum("judged").alias("judged"), F.sum("rejected").alias("rejected"), F.max("newest").alias("newest"))
+    return out.withColumn("newest", F.col("newest").cast("timestamp_ntz"))
+
+
+@query(f"""{_BROKEN} SELECT CASE WHEN reason IS NULL THEN event_type END AS symbol, reason, count(*) AS n, round(sum(CASE WHEN reason IS NULL THEN value END), 6) AS total FROM m GROUP BY ALL""")
+def message_judgement(spark, sf_dir):
+    """Deals as messages, some of them broken: counts and sums by symbol of the good ones, and counts of the others by reason."""
+    judged = msg.judged_messages(_broken_deals(spark, sf_dir))
     good = F.col("reason").isNull()
     return rounded(judged.groupBy(F.when(good, F.col("symbol")).alias("symbol"), "reason").agg(F.count("*").alias("n"), F.sum(F.when(good, F.col("price"))).alias("total")))
 
@@ -636,11 +659,31 @@ def decode_struct_of_arrays(spark, sf_dir):
     return rounded(decoded.withColumn("ts", F.col("ts").cast("timestamp_ntz")).select(*KEY, "ts", "open", "high", "low", "close", "volume", "poll"))
 
 
+def _array_messages(rows: DataFrame) -> DataFrame:
+    """value, symbol, interval: bars as messages of rows, of up to HISTORY bars each, numbers as texts."""
+    fields = F.array(F.unix_millis(F.col("ts").cast("timestamp")).cast("string"), *[F.col(c).cast("string") for c in ("open", "high", "low", "close", "volume")])
+    packed = _packed(rows).agg(F.to_json(F.collect_list(fields)).alias("data"))
+    return packed.select(F.to_json(F.struct(F.lit("bnc_rest").alias("t"), *KEY, "data")).alias("value"), *KEY)
+
+
+@query(
+    f"""WITH {sql.TICKS}, {sql.bars("4h", "a")}, {sql.bars("1d", "b")}, u AS (SELECT * FROM a UNION ALL SELECT * FROM b)
+SELECT symbol, "interval", ts, round(CASE WHEN symbol = 'view' OR "interval" = '1d' THEN close + 1 ELSE close END, 6) AS close, CASE WHEN symbol = 'view' OR "interval" = '1d' THEN 'secondary' ELSE 'primary' END AS source FROM u"""
+)
+def message_files_of_two_sources(spark, sf_dir):
+    """Messages from files by symbol and interval: the second source where the first has no file of a pair."""
+    folder = scratch(spark, "messages")
+    own = all_bars(bars(spark, sf_dir), bars(spark, sf_dir, "1d"))
+    files.write_messages(_array_messages(own.where((F.col("symbol") != "view") & (F.col("interval") == "4h"))), f"{folder}/a")
+    files.write_messages(_array_messages(own.withColumn("close", F.col("close") + 1)), f"{folder}/b")
+    raw = files.first_source(files.read_messages(spark, f"{folder}/a"), files.read_messages(spark, f"{folder}/b"))
+    parts = [msg.array_rows(msg.messages(raw.where(F.col("source") == s))).withColumn("source", F.lit(s)) for s in ("primary", "secondary")]
+    return rounded(all_bars(*parts).select(*KEY, F.col("ts").cast("timestamp_ntz").alias("ts"), "close", "source"))
+
+
 @query(f"""WITH {sql.TICKS}, {sql.bars("4h")} SELECT symbol, "interval", ts, {sql.rounded(sql.OHLCV)} FROM bars""")
 def decode_array_rows(spark, sf_dir):
     """Bars packed into messages of rows, of up to HISTORY bars each, numbers as texts, and decoded again."""
-    fields = F.array(F.unix_millis(F.col("ts").cast("timestamp")).cast("string"), *[F.col(c).cast("string") for c in ("open", "high", "low", "close", "volume")])
-    rows = _packed(bars(spark, sf_dir)).agg(F.to_json(F.collect_list(fields)).alias("data"))
-    raw = rows.select(F.to_json(F.struct(F.lit("bnc_rest").alias("t"), *KEY, "data")).alias("value"))
+    raw = _array_messages(bars(spark, sf_dir))
     decoded = msg.array_rows(msg.messages(raw))
     return rounded(decoded.withColumn("ts", F.col("ts").cast("timestamp_ntz")).select(*KEY, "ts", "open", "high", "low", "close", "volume"))

@@ -31,17 +31,17 @@ def messages(raw: DataFrame, column: str = "value") -> DataFrame:
     return raw.select(F.from_json(F.col(column).cast("string"), _ENVELOPE).alias("m")).select("m.*").where(F.col("t").isin(*KINDS))
 
 
-def judged_messages(raw: DataFrame, column: str = "value") -> DataFrame:
-    """Every text of a column with its envelope's fields, its payload as VARIANT, and the reason why it is no message (null for one).
+def judged_messages(raw: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every text of a column with its envelope's fields, its payload as VARIANT, the reason why it is no message (null for one), and the columns `keep`.
 
     The payload is k, kd or data, whichever is there, as it came: numbers, texts, arrays or objects. Reasons: not json, no
     object, unknown kind, no symbol. Nothing is left out, so that what is rejected can be counted and kept aside.
     """
     text = F.col(column).cast("string")
-    rows = raw.select(text.alias("raw"), F.try_parse_json(text).alias("v"))
+    rows = raw.select(text.alias("raw"), F.try_parse_json(text).alias("v"), *keep)
     field = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind)
     payload = F.coalesce(*[F.try_variant_get("v", f"$.{name}", "variant") for name in ("k", "kd", "data")])
-    rows = rows.select("raw", "v", field("t", "string").alias("t"), field("symbol", "string").alias("symbol"), field("interval", "string").alias("interval"), field("price", "double").alias("price"), field("poll", "boolean").alias("poll"), payload.alias("payload"))
+    rows = rows.select(*keep, "raw", "v", field("t", "string").alias("t"), field("symbol", "string").alias("symbol"), field("interval", "string").alias("interval"), field("price", "double").alias("price"), field("poll", "boolean").alias("poll"), payload.alias("payload"))
     symbol = F.coalesce("symbol", F.try_variant_get("payload", "$.s", "string"))
     reason = (
         F.when(F.col("v").isNull(), "not json")

@@ -216,6 +216,23 @@ def test_store_refuses_to_shrink_and_deletes(spark, tmp_path):
     assert own.read().count() == 0
 
 
+def test_compaction_and_vacuum_keep_what_is_read(spark, tmp_path):
+    own = store.SnapshotStore(spark, str(tmp_path / "snap"))
+    rows = lambda n, symbol, **extra: bars_of(spark, range(1, n + 1), symbol=symbol).withColumns({"SMA": F.lit(1.0), **{k: F.lit(v) for k, v in extra.items()}})
+    assert own.read().count() == 0 and own.compact() is None and own.vacuum() == []
+    own.write(rows(20, "a", old=1))
+    own.write(rows(30, "b"))
+    own.write(rows(25, "a"))
+    assert "old" not in own.read().columns
+    before, updated = sorted(map(str, own.read().collect())), sorted(map(str, own.meta().select("symbol", "rows", "updated_at").collect()))
+    reader = own.read()
+    assert own.compact() and own.vacuum() == []
+    assert len(before) == 55 == reader.count() and sorted(map(str, own.read().select(*reader.columns).collect())) == before
+    assert sorted(map(str, own.meta().select("symbol", "rows", "updated_at").collect())) == updated
+    assert len(own.vacuum(0)) == 3 and own.read().count() == 55 and own.vacuum(0) == []
+    assert own.write(rows(40, "b")).first().write and own.read(["b"]).count() == 40 and own.read(["a"]).count() == 25
+
+
 def test_forming_bars_take_ticks_patches_and_late_bars():
     import pandas as pd
 

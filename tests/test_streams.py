@@ -13,7 +13,8 @@ from tapewright.functions.stepwise import OUTPUTS, Series
 from tapewright.operators.upsert import UpsertTable
 from tapewright.plans.dims import BAR
 from tapewright.plans.registry import ORACLES, QUERIES
-from tapewright.streaming import live, stateful
+from tapewright.sources import files
+from tapewright.streaming import live, metrics, stateful
 
 SF = "/root/testdata/sf0.001"
 T0 = datetime.datetime(2024, 1, 1)
@@ -31,7 +32,7 @@ def bar_rows(n, seed=1, interval="4h"):
     return out
 
 
-@pytest.mark.parametrize("name", ["stream_incremental_indicators", "stream_live_expiry", "stream_chained_bars", "stream_upsert_table", "stream_change_feed", "stream_snapshot_replace"])
+@pytest.mark.parametrize("name", ["stream_incremental_indicators", "stream_live_expiry", "stream_chained_bars", "stream_upsert_table", "stream_change_feed", "stream_snapshot_replace", "stream_metrics", "message_files_of_two_sources"])
 def test_query_equals_sql(spark, name):
     import duckdb
 
@@ -157,3 +158,22 @@ def test_a_batch_again_changes_nothing_and_vacuum_keeps_what_is_read(spark, tmp_
     assert [r.v for r in kept.read().where("k = 2").collect()] == [8] and kept.read().count() == 4
     kept.write(frame((2, 99)), 0)
     assert [r.v for r in kept.read().where("k = 2").collect()] == [8] and kept.changes(since=1).count() == 1
+
+
+def test_metrics_tell_of_silent_streams(spark):
+    rows = [("q", 0, "t", 5, 1.0, 1.0, 5, 1, T0), ("q", 1, "t", 0, 0.0, 0.0, 0, 0, None), ("r", 0, "t", 1, 1.0, 1.0, None, None, None)]
+    got = {r["query"]: (r.age_s, r.stale) for r in metrics.staleness(spark.createDataFrame(rows, metrics.METRICS), T0 + datetime.timedelta(seconds=9), 8).collect()}
+    assert got == {"q": (9.0, True), "r": (None, True)}
+    assert not metrics.staleness(spark.createDataFrame(rows[:1], metrics.METRICS), T0 + datetime.timedelta(seconds=8), 8).first().stale
+
+
+def test_message_files_prune_folders_and_are_read_once_by_a_stream(spark, tmp_path):
+    raw = spark.createDataFrame([(f'{{"t":"mexc_deal","symbol":"{s}","price":{p}}}', s, i) for s, i, p in (("a", "1m", 1), ("b", "1m", 2), ("a", "1h", 3))], "value string, symbol string, interval string")
+    files.write_messages(raw, f"{tmp_path}/in")
+    one = files.read_messages(spark, f"{tmp_path}/in", ["a"], ["1h"])
+    assert [r.value for r in one.collect()] == ['{"t":"mexc_deal","symbol":"a","price":3}']
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "(symbol#" in plan.partition("PartitionFilters")[2].partition("PushedFilters")[0]
+    for _ in range(2):
+        live.serve(files.read_messages(spark, f"{tmp_path}/in", stream=True), lambda df, i: df.write.mode("append").parquet(f"{tmp_path}/out"), f"{tmp_path}/state", mode="append").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 3
