@@ -58,11 +58,23 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return checked.withColumnRenamed("packed", "ids")
 
 
+#: Tables that the stage called last has written for itself.
+_of_last_stage: list[str] = []
+
+
 def in_bounded_batches(stage: Stage) -> Stage:
+    """The stage with small Arrow batches. A stage's output is written before the next one is called, so the tables that it wrote for itself go then."""
+
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         bounded_batches(spark)
-        return stage(spark, docs, sf_dir)
+        delete(spark, _of_last_stage)
+        _of_last_stage.clear()
+        before = len(written_paths)
+        out = stage(spark, docs, sf_dir)
+        _of_last_stage.extend(written_paths[before:])
+        del written_paths[before:]
+        return out
 
     return run_stage
 
@@ -83,12 +95,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, from its written table; all other tables that the stages wrote are deleted."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline/{uuid.uuid4().hex}"
-    before = len(written_paths)
     done = []
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}_{name}")
         docs = spark.read.parquet(f"{folder}/{i}_{name}")
         done.append(f"{folder}/{i}_{name}")
-    delete(spark, done[:-1] + written_paths[before:])
-    del written_paths[before:]
+    delete(spark, done[:-1] + _of_last_stage)
+    _of_last_stage.clear()
     return docs
