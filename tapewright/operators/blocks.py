@@ -38,7 +38,7 @@ def segment(ts: str = "ts") -> Column:
     return F.floor(F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")) / days)
 
 
-def numbered(rows: DataFrame, key: tuple[str, ...] = KEY, order: tuple[str, ...] = ("ts",), cut: Column | None = None) -> DataFrame:
+def numbered(rows: DataFrame, key: tuple[str, ...] = KEY, order: tuple[str | Column, ...] = ("ts",), cut: Column | None = None) -> DataFrame:
     """rows with _rn, the row's number in its series from 1 in the order given, and _rows, the length of the series.
 
     cut: a number that rises with the order and puts not too many rows of a key together; by default the time segment.

@@ -51,6 +51,19 @@ def test_query_equals_sql(spark, db, name):
     assert got == comparable(names, found.fetchall())
 
 
+def test_events_without_a_price_above_0_count_in_the_places_of_nearest(spark, tmp_path):
+    con, minute = duckdb.connect(), lambda i: T0 + datetime.timedelta(minutes=7 * i)
+    con.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+    values = [480.0, None, 0.0, -3.0, 20.0, 0.0, 475.0, *[50.0] * 9, None, 5.0, 471.0, 0.5]
+    rows = [(i, minute(i), t, v, "{}") for t in ("a", "b", None) for i, v in enumerate(values)]
+    rows += [(98, None, "a", 490.0, "{}"), (99, None, "a", 1.0, "{}"), (None, minute(3), "b", 472.0, "{}")]
+    con.executemany("INSERT INTO events VALUES (?, ?, ?, ?, ?)", rows)
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    df = QUERIES["nearest_asof_tolerance"](spark, str(tmp_path))
+    want = con.execute(ORACLES["nearest_asof_tolerance"]).fetchall()
+    assert len(want) > 6 and comparable(df.columns, df.collect()) == comparable(["symbol", "place", "other"], want)
+
+
 def bars_of(spark, closes, interval="4h", volume=10.0, start=T0, symbol="s", spread=0.0):
     rows = [(symbol, interval, start + datetime.timedelta(hours=4 * i), float(c), float(c) + spread, float(c) - spread, float(c), volume) for i, c in enumerate(closes)]
     return spark.createDataFrame(rows, BAR)
