@@ -17,6 +17,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from collections import Counter
+from itertools import repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,7 @@ HEAD_PIECES, HEAD_LENGTH = 1 << 17, 32
 #: A task reports the blank-separated words that it met so often at least; the pieces of others can't be frequent ones.
 TASK_LEAST = 4
 _NONE = 2**31 - 1
+_BYTES = [bytes([i]) for i in range(256)]
 #: Encoded pieces that a Python worker remembers at most, besides the broadcast ones.
 _REMEMBERED = 150_000
 #: Rows that are encoded at once, so that a worker holds few texts and ids at a time.
@@ -94,16 +97,17 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [whole]
     get, n = ranks.get, len(piece)
     if n <= 200:
-        starts = list(range(n + 1))
-        pairs = [get(piece[i : i + 2], _NONE) for i in range(n - 1)]
-        pairs.append(_NONE)
-        while (low := min(pairs)) != _NONE:
+        parts = list(map(_BYTES.__getitem__, piece))
+        pairs = list(map(get, map(add, parts, parts[1:]), repeat(_NONE)))
+        while pairs and (low := min(pairs)) != _NONE:
             k = pairs.index(low)
-            del starts[k + 1], pairs[k + 1]
-            pairs[k] = get(piece[starts[k] : starts[k + 2]], _NONE) if k + 2 < len(starts) else _NONE
+            joined = parts[k] = parts[k] + parts.pop(k + 1)
+            del pairs[k]
+            if k < len(pairs):
+                pairs[k] = get(joined + parts[k + 1], _NONE)
             if k:
-                pairs[k - 1] = get(piece[starts[k - 1] : starts[k + 1]], _NONE)
-        return [ranks[piece[a:b]] for a, b in zip(starts, starts[1:])]  # noqa: B905
+                pairs[k - 1] = get(parts[k - 1] + joined, _NONE)
+        return [ranks[p] for p in parts]
     parts = [piece[i : i + 1] for i in range(n)]
     # long pieces: a heap of pairs, so that time stays near the length
     after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
@@ -139,11 +143,32 @@ class _Pieces(dict):
         return out
 
 
+class _Counts(dict):
+    """Numbers of tokens of pieces; a piece that isn't there is merged, and remembered if short.
+
+    Where there are too many, those are forgotten that weren't asked for since the last time; so frequent pieces stay.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.ranks, self.older = ranks, {}
+
+    def __missing__(self, piece: str) -> int:
+        if (n := self.older.get(piece)) is None:
+            n = len(merge_bytes(piece.encode("utf-8", "replace"), self.ranks))
+        if len(piece) <= HEAD_LENGTH:
+            if len(self) >= _REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = n
+        return n
+
+
 class Encoder:
     """Texts to ids inside a task, remembering a bounded number of pieces."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, known: dict[str, bytes] | None = None):
-        self.split, self.pieces = regex.compile(pattern).findall, _Pieces(ranks, known or {})
+        self.split, self.pieces, self.counts = regex.compile(pattern).findall, _Pieces(ranks, known or {}), _Counts(ranks)
 
     def text(self, text: str | None) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text))) if text else b""

@@ -47,7 +47,7 @@ class CountTree:
         out = []
         for i in range(0, len(pieces), LEAF):
             part = pieces[i : i + LEAF]
-            out.append((sum(map(len, part)), sum(map(len, map(self.own.pieces.__getitem__, part))) // 4))
+            out.append((sum(map(len, part)), sum(map(self.own.counts.__getitem__, part))))
             self.encoded += out[-1][0]
         return out
 

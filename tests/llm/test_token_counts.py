@@ -1,10 +1,12 @@
 import random
+from collections import Counter
 
 import public_tokenizers as P
 
 import pytest
 from pyspark.sql import functions as F
 
+from tapewright.llm import bpe
 from tapewright.llm.bpe import Encoder, read_ranks
 from tapewright.llm.common import table
 from tapewright.llm.queries import QUERIES, three_edits
@@ -39,6 +41,18 @@ def test_a_small_edit_of_a_long_text_encodes_little():
     assert tree.encoded < 2000
 
 
+def test_frequent_pieces_are_merged_once_however_many_rare_ones_pass(monkeypatch):
+    merged, merge = Counter(), bpe.merge_bytes
+    monkeypatch.setattr(bpe, "_REMEMBERED", 100)
+    monkeypatch.setattr(bpe, "merge_bytes", lambda piece, ranks: (merged.update([piece]), merge(piece, ranks))[1])
+    often = [f" qx{a}vz" for a in "abcdefgh"]
+    text = "".join(often[i % 8] + f" zq{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]}j" for i in range(1000))
+    own = Encoder(OWN.counts.ranks, P.PATTERN)
+    tree = CountTree.of(text, own)
+    assert [merged[p.encode()] for p in often] == [1] * 8
+    assert tree.count == recount(text, OWN)
+
+
 def test_the_query_counts_every_document_before_and_after(spark):
     sf = "/root/testdata/sf0.001"
     got = {r.doc_id: r for r in QUERIES["op8_edited_counts"](spark, sf).collect()}
