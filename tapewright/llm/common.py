@@ -19,6 +19,7 @@ SHINGLE_WORDS = 5
 BROADCAST_BYTES = 32 << 20
 HOT_ROWS, HOT_KEYS = 10_000, 100_000
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+FILE_ROWS = 100_000
 #: Powers of 2 of the bits of a filter of hashes that is broadcast (32 MB at most), and bits for each hash below that. What a fuller filter lets through besides, a join drops.
 FILTER_LEAST, FILTER_MOST, FILTER_SPREAD = 20, 28, 16
 
@@ -51,10 +52,16 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows, written once as Parquet to the shared folder and read back: lineage ends here and work isn't repeated."""
+def written(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The same rows, written once as Parquet to the shared folder and read back: lineage ends here and work isn't repeated.
+
+    rows: about how many it has, if they are short. They then go to a file for each FILE_ROWS of them, or for each core if
+    those are more, instead of one for each partition: on a local disk Hadoop starts processes for each file.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/written/{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // FILE_ROWS))
     df.write.option("compression", "zstd").parquet(path)
     written_paths.append(path)
     return spark.read.schema(df.schema).parquet(path)

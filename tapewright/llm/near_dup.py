@@ -175,19 +175,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     are spread (join_spread), as its component may hold a third of all nodes.
     """
     edges = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col("u") != F.col("v")).distinct())
-    mark = None
-    nearest = lambda df: written(df.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    mark, n = None, edges.count()
+    nearest = lambda df: written(df.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), n)
     with_nearest = lambda df, near: join_spread(df, near, "u", "n", F.lit(64), "v")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         moved = with_nearest(both, nearest(both)).withColumn("m", F.least("u", "m"))
-        large = written(moved.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct())
+        large = written(moved.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct(), n)
         small = with_nearest(large, nearest(large)).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = written(small.where(F.col("u") != F.col("v")).distinct())
+        edges = written(small.where(F.col("u") != F.col("v")).distinct(), n)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == mark:
             break
-        mark = now
+        mark, n = now, now.n
     return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
 
 

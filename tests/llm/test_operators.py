@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import duckdb
 import public_tokenizers as P
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tapewright.llm import bpe, decontamination, html_template, language_id, line_dedup, near_dup, quality, toxicity, url_graph
-from tapewright.llm.common import table
+from tapewright.llm.common import table, written_paths
 from tapewright.llm.queries import QUERIES, URL_RULES
 
 SF = "/root/testdata/sf0.001"
@@ -138,6 +139,20 @@ def test_one_row_of_each_class_is_kept(spark):
     assert got == sorted(wanted, key=str)
 
 
+def test_small_tables_of_components_take_few_files(spark):
+    had = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    before = len(written_paths)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r.node: r.root for r in near_dup.components(spark.range(1, 300).selectExpr("id AS a", "id % 3 AS b")).collect()}
+    finally:
+        for k, v in had.items():
+            spark.conf.set(k, v)
+    assert got == {i: i % 3 for i in range(3, 300)}
+    assert all(len(list(Path(p).glob("part-*"))) <= spark.sparkContext.defaultParallelism for p in written_paths[before + 1 :])
+
+
 def test_components_of_hubs_and_chains(spark, monkeypatch):
     from tapewright.llm import common
 
